@@ -3,7 +3,7 @@
 Lengths are whole numbers up to the capacity, so a histogram of at most ``capacity``
 entries describes any corpus, and the plan is made from it on the driver:
 
-1. Large lengths are sorted and cut into ``GROUPS`` groups of equal cardinality; each is
+1. Large lengths are sorted and cut into groups of equal cardinality; each is
    rounded up to its group's largest.
 2. The few rounded sizes are packed by configurations: the linear programme over all ways
    to fill a sequence, solved by column generation, rounded down.
@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from .common import short_batches, written
 from .tokens import byte_bpe
 
-GROUPS = 24
-#: Lengths above this share of the capacity are large.
-LARGE = 1 / 8
+#: Groups, and the share of the capacity above which lengths are large. All are tried on the
+#: histogram, and the plan with the fewest sequences is taken.
+SCHEMES = ((24, 1 / 2), (8, 1 / 4), (24, 1 / 4))
 
 
 def _columns(sizes: list[int], need: list[int], capacity: int) -> list[tuple[tuple[int, ...], float]]:
@@ -68,12 +68,16 @@ def _columns(sizes: list[int], need: list[int], capacity: int) -> list[tuple[tup
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """Kinds of sequences: (((length, how many), ...), how many such sequences), for lengths of 1 to ``capacity``."""
+    return min((_planned(histogram, capacity, *s) for s in SCHEMES), key=lambda kinds: sum(count for _, count in kinds))
+
+
+def _planned(histogram: dict[int, int], capacity: int, groups_wanted: int, share: float) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     left = {n: c for n, c in histogram.items() if c > 0}
     open_: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)  # by room: contents and count
-    large = sorted((n for n in left if n > capacity * LARGE), reverse=True)
+    large = sorted((n for n in left if n > capacity * share), reverse=True)
     total = sum(left[n] for n in large)
     if total:
-        each = -(-total // GROUPS)
+        each = -(-total // groups_wanted)
         groups: list[list[list[int]]] = []  # of [length, count]
         space = 0
         for n in large:
