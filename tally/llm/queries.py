@@ -14,7 +14,9 @@ from .common import table
 from .exact_dedup import exact_groups
 from .near_dedup import near_groups
 from .packing import pack
+from .pii import pseudonyms
 from .top_k import top_k
+from .toxicity import toxicity
 
 _LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -35,6 +37,17 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), byte_bpe_path(), capacity=2048, end=0)
 
 
+def op2_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with pseudonyms for the personal data in it."""
+    docs = table(spark, sf_dir, "documents")
+    return pseudonyms(docs.select("doc_id", "text"))
+
+
+def op4_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every text."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts; the largest doc_id stays."""
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
@@ -90,4 +103,4 @@ FROM c LEFT JOIN n USING (doc_id)
 """,
 }
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op3_best_fit_packing, op5_exact_dedup, op10_exact_top_k)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_pii_feistel, op3_best_fit_packing, op4_toxicity_grammar, op5_exact_dedup, op10_exact_top_k)}
