@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_groups
+from .licenses import license_scan
 from .near_dedup import near_groups
 from .packing import pack
+from .pieces import piece_digests
 from .pii import pseudonyms
 from .top_k import top_k
 from .toxicity import toxicity
@@ -53,6 +55,22 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def piece_model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again."""
+    return piece_digests(table(spark, sf_dir, "documents"), piece_model_path())
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every text."""
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best of all vectors for every vector whose id is divisible by 20."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -103,4 +121,4 @@ FROM c LEFT JOIN n USING (doc_id)
 """,
 }
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_pii_feistel, op3_best_fit_packing, op4_toxicity_grammar, op5_exact_dedup, op10_exact_top_k)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_pii_feistel, op3_best_fit_packing, op4_toxicity_grammar, op5_exact_dedup, op8_sentencepiece, op9_license_scan, op10_exact_top_k)}

@@ -54,7 +54,7 @@ class ByteBpe:
         if None in found:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            for p in set(pieces) - self.known.keys():
+            for p in [p for p in set(pieces) if p not in self.known]:
                 self.known[p] = np.array(self.words.encode_ordinary(p), "<u4").tobytes()
             found = list(map(self.known.__getitem__, pieces))
         return b"".join(found)
