@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_groups
+from .language import languages
 from .licenses import license_scan
 from .near_dedup import near_groups
 from .packing import pack
 from .pieces import piece_digests
 from .pii import pseudonyms
+from .scoring import scores
 from .top_k import top_k
 from .toxicity import toxicity
 
@@ -55,6 +57,16 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every text."""
+    return scores(table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text."""
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def piece_model_path() -> str:
     import public_tokenizers
 
@@ -121,4 +133,4 @@ FROM c LEFT JOIN n USING (doc_id)
 """,
 }
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_pii_feistel, op3_best_fit_packing, op4_toxicity_grammar, op5_exact_dedup, op8_sentencepiece, op9_license_scan, op10_exact_top_k)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_pii_feistel, op3_best_fit_packing, op4_toxicity_grammar, op5_exact_dedup, op6_context_mixing, op7_language_id, op8_sentencepiece, op9_license_scan, op10_exact_top_k)}
