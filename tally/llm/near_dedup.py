@@ -11,12 +11,13 @@ inverted lists of retained values:
   under its smallest values; if one of these is common, under so many of its rare
   values that any partner must meet it (prefix filter on the sketch, non-rare
   values last). Such lists are short by definition, so their pairs are few.
-* A text whose sketch is nearly all common values (large groups of near copies)
-  is *crowded*. Crowded texts are first compared with the hub of each list; hubs
-  are found with a map-side minimum. What hubs link is in one group already.
-  Since 1 - Jaccard is a metric, two texts whose distances to a hub differ by more
-  than the allowed distance can't be linked: only pairs of different groups
-  that pass this test remain, and all of these are compared.
+* A text whose sketch is nearly all common values (large groups of near copies) is
+  *crowded*. Each list of crowded texts has a hub, its most ordinary member, found with a
+  map-side maximum, and every member is compared with it. Members that are linked to the
+  hub are one group; those that aren't are compared with all members, a block of sets
+  against a block of sets: one matrix product gives the exact overlaps of all pairs of
+  two blocks, and only a spanning forest of the links found leaves the task. No group
+  is in one task as a whole, and no pair becomes a row.
 
 A partner is missed only if fewer than ``SHARED`` of the union's 64 smallest values
 are in both sets (probability 5e-6 at similarity 0.8 exactly, far less above) or
@@ -41,6 +42,8 @@ SKETCH = 64
 PREFIX = 10
 SHARED = 36
 RARE = 64
+#: Bytes of a block of sets of crowded texts.
+BLOCK = 1 << 19
 #: The list of common values is broadcast; RARE is doubled until it has no more entries than this.
 MAX_COMMON = 1 << 17
 
@@ -69,12 +72,12 @@ def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _postings(common, least: float):
-    """(v, node, n, crowded): the lists a representative goes to; crowded ones go to PREFIX lists more."""
+    """(v, node, n, crowded, usual): the lists a representative goes to; crowded ones go to PREFIX lists more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.frombuffer(common.value, np.uint64)
         for batch in batches:
-            v, node, size, full = [], [], [], []
+            v, node, size, full, usual = [], [], [], [], []
             for i, n, sketch in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 kept = np.frombuffer(sketch, np.uint64)
                 place = np.minimum(np.searchsorted(often, kept), max(len(often) - 1, 0))
@@ -92,8 +95,9 @@ def _postings(common, least: float):
                     node += [i] * len(values)
                     size += [n] * len(values)
                     full += [crowded] * len(values)
+                    usual += [int(hot.sum())] * len(values)
             flat = np.concatenate(v).view(np.int64) if v else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(full, pa.bool_())], ["v", "node", "n", "crowded"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(full, pa.bool_()), pa.array(usual, pa.int32())], ["v", "node", "n", "crowded", "usual"])
 
     return run
 
@@ -119,14 +123,16 @@ def _estimated(least: float):
     return run
 
 
+def _sets(column: pa.Array, size: int) -> list[np.ndarray]:
+    return [words.shingles(row, size) for _, rows in words.word_hashes(column) for row in rows]
+
+
 def _overlaps(size: int):
     """Intersection and union sizes of the full sets of two texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = []
-            for name in ("ta", "tb"):
-                sets.append([words.shingles(row, size) for _, rows in words.word_hashes(batch.column(name)) for row in rows])
+            sets = _sets(batch.column("ta"), size), _sets(batch.column("tb"), size)
             inter = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets, strict=True)]
             union = [len(x) + len(y) - i for x, y, i in zip(*sets, inter, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(inter, pa.int64()), pa.array(union, pa.int64())], ["a", "b", "inter", "both"])
@@ -134,11 +140,72 @@ def _overlaps(size: int):
     return run
 
 
+def _at_hub(size: int, percent: int):
+    """A crowded text's set, and whether it is linked to its hub."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hubs: dict[int, np.ndarray] = {}
+            sets, linked = _sets(batch.column("ta"), size), []
+            for i, (hub, x) in enumerate(zip(batch.column("b").to_pylist(), sets, strict=True)):
+                if hub not in hubs:
+                    hubs[hub] = _sets(batch.column("tb").slice(i, 1), size)[0]
+                inter = len(np.intersect1d(x, hubs[hub], assume_unique=True))
+                linked.append(100 * inter >= percent * (len(x) + len(hubs[hub]) - inter))
+            arrays = [batch.column("a"), batch.column("b"), pa.array([len(x) for x in sets], pa.int64()), pa.array(linked, pa.bool_()), pa.array([x.tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["node", "hub", "n", "linked", "set"])
+
+    return run
+
+
+def _forest(percent: int):
+    """A spanning forest of the links between two blocks of sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a: list[int] = []
+            b: list[int] = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                ids, n, sets = [], [], []
+                for side in (x, y):
+                    ids.append(np.array([m["node"] for m in side]))
+                    n.append(np.array([m["n"] for m in side]))
+                    sets.append([np.frombuffer(m["set"], np.uint64) for m in side])
+                shared = np.intersect1d(np.concatenate(sets[0]), np.concatenate(sets[1]))
+                member = []
+                for side in sets:
+                    m = np.zeros((len(side), max(1, len(shared))), np.float32)
+                    for i, s in enumerate(side):
+                        m[i, np.searchsorted(shared, s[np.isin(s, shared, assume_unique=True)])] = 1
+                    member.append(m)
+                inter = np.rint(member[0] @ member[1].T).astype(np.int64)
+                link = (100 * inter >= percent * (n[0][:, None] + n[1][None, :] - inter)) & (ids[0][:, None] != ids[1][None, :])
+                # The smallest id that each reaches inside the two blocks.
+                left, right = ids[0].copy(), ids[1].copy()
+                far = np.iinfo(np.int64).max
+                while True:
+                    new_right = np.minimum(right, np.where(link, left[:, None], far).min(0))
+                    new_left = np.minimum(left, np.where(link, new_right[None, :], far).min(1))
+                    if (new_left == left).all() and (new_right == right).all():
+                        break
+                    left, right = new_left, new_right
+                for own, least in ((ids[0], left), (ids[1], right)):
+                    a += own[own != least].tolist()
+                    b += least[own != least].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
 def _compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """``pairs`` (a, b) with the overlap of their full sets, from the texts of the documents."""
+    return _with_texts(pairs, texts).mapInArrow(_overlaps(size), "a long, b long, inter long, both long")
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(_overlaps(size), "a long, b long, inter long, both long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
 
 
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -167,7 +234,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         limit *= 2
     often = np.sort(np.array([r.v for r in held.filter(f"count > {limit}").select("v").collect()], np.int64).view(np.uint64))
     common = spark.sparkContext.broadcast(often.tobytes())
-    lists = written(reps.mapInArrow(_postings(common, least), "v long, node long, n long, crowded boolean"), "lists")
+    lists = written(reps.mapInArrow(_postings(common, least), "v long, node long, n long, crowded boolean, usual int"), "lists")
 
     sized = F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
     rare = lists.filter("not crowded")
@@ -188,24 +255,23 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     linked = F.expr(f"100 * inter >= {percent} * both")
     links = written(_compared(candidates, texts, size).filter(linked).select("a", "b"), "links")
     if not crowd.isEmpty():
-        hubs = crowd.groupBy("v").agg(F.min_by("node", F.xxhash64("node")).alias("hub"))
-        at_hub = crowd.join(hubs, "v")
-        apart = written(_compared(at_hub.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), texts, size), "hubs")
-        links = written(links.unionByName(apart.filter(linked).select("a", "b")), "links")
-        groups = written(components(links), "groups")
-        far = apart.groupBy("a", "b").agg(F.max(1 - F.col("inter") / F.col("both")).alias("far"))
-        placed = (
-            at_hub.join(far.select(F.col("a").alias("node"), F.col("b").alias("hub"), "far"), ["node", "hub"], "left")
-            .join(groups, "node", "left")
-            .select("v", "node", "n", F.when(F.col("node") == F.col("hub"), 0.0).otherwise(F.col("far")).alias("far"), F.coalesce("component", "node").alias("grp"))
-        )
-        placed = written(placed, "placed")
-        mixed = placed.groupBy("v").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low < high").select("v")
-        placed = placed.join(mixed, "v", "left_semi")
-        near = F.expr(f"x.grp <> y.grp and x.node < y.node and coalesce(abs(x.far - y.far) <= {1 - least + 1e-9}, true)")
-        rest = placed.alias("x").join(placed.alias("y"), "v").filter(near).filter(sized).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        rest = written(_compared(likely(rest), texts, size).filter(linked).select("a", "b"), "rest")
-        links = links.unionByName(rest)
+        hubs = crowd.groupBy("v").agg(F.max_by("node", F.struct("usual", F.xxhash64("node"))).alias("hub"))
+        at_hub = crowd.join(hubs, "v").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+        apart = _with_texts(at_hub, texts).mapInArrow(_at_hub(size, percent), "node long, hub long, n long, linked boolean, set binary")
+        apart = written(apart, "apart")
+        links = links.unionByName(apart.filter("linked and node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+        member = F.struct("node", "n", "set")
+
+        def blocks(side: DataFrame, name: str) -> DataFrame:
+            """Members of a hub dealt by hash to blocks of about BLOCK bytes."""
+            many = side.groupBy("hub").agg(F.ceil(F.sum(8 * F.col("n")) / BLOCK).alias("many"))
+            dealt = side.join(many, "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.col("many")))
+            return dealt.groupBy("hub", "block").agg(F.collect_list(member).alias(name)).select("hub", name)
+
+        met = blocks(apart.filter("not linked"), "x").join(blocks(apart, "y"), "hub")
+        # Dealt anew: a task gets a few pairs of blocks, whatever hub they have.
+        met = met.select("x", "y").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2))
+        links = links.unionByName(met.mapInArrow(_forest(percent), "a long, b long"))
 
     groups = components(links)
     of_set = one_each.select("sig", "node").join(groups, "node", "left").select("sig", F.coalesce("component", "node").alias("grp"))
