@@ -1,4 +1,6 @@
 """The registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import matches
+
+QUERIES = {**matches.QUERIES}
+ORACLES = {**matches.ORACLES}
