@@ -1,6 +1,6 @@
 """The registered queries and their SQL."""
 
-from . import matches
+from . import analytics, matches
 
-QUERIES = {**matches.QUERIES}
-ORACLES = {**matches.ORACLES}
+QUERIES = {**matches.QUERIES, **analytics.QUERIES}
+ORACLES = {**matches.ORACLES, **analytics.ORACLES}
