@@ -244,7 +244,11 @@ def both_counts(left: DataFrame, right: DataFrame, rule: Rule) -> tuple[DataFram
 
 def mutual(left: DataFrame, right: DataFrame, rule: Rule) -> DataFrame:
     """(left_ids, right_ids, left_c, right_c) of pairs that are each other's one candidate."""
-    a, b = both_counts(left, right, rule)
+    return accepted(*both_counts(left, right, rule), left, right)
+
+
+def accepted(a: DataFrame, b: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Mutual matches from the counts of both sides."""
     hit = a.filter("n = 1").join(b.filter("n = 1").select(F.col("g").alias("partner"), F.col("partner").alias("back")), "partner").filter("back = g").select("g", "partner")
     return (
         hit.join(left.select("g", F.col("ids").alias("left_ids"), F.col("c").alias("left_c")), "g")
@@ -274,9 +278,9 @@ def resolve(left: DataFrame, right: DataFrame, rules: list[Rule], end: int | Non
     all_matches, all_reasons = None, None
     for i, rule in enumerate(rules):
         lu, ru = units(open_l, rule.group_left), units(open_r, rule.group_right)
-        hit = mutual(lu, ru, rule).select(F.lit(i).alias("rule_no"), F.lit(rule.name).alias("rule"), "left_ids", "right_ids", "left_c", "right_c")
+        a, b = (cut(x) for x in both_counts(lu, ru, rule))
+        hit = accepted(a, b, lu, ru).select(F.lit(i).alias("rule_no"), F.lit(rule.name).alias("rule"), "left_ids", "right_ids", "left_c", "right_c")
         hit = cut(hit)
-        a, b = both_counts(lu, ru, rule)
         several = None
         for side, n, u in (("left", a, lu), ("right", b, ru)):
             # The first rule by which an item had several candidates, or one that had several itself.
