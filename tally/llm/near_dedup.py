@@ -277,7 +277,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     of_set = one_each.select("sig", "node").join(groups, "node", "left").select("sig", F.coalesce("component", "node").alias("grp"))
     # Rows that share an id share its smallest group.
     named = rows.select("doc_id", F.col("n").alias("n_shingles"), "sig").join(of_set, "sig", "left")
-    named = named.select("doc_id", "n_shingles", F.coalesce("grp", "doc_id").alias("component_id"))
+    named = named.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("grp", "doc_id")).alias("component_id"))
     return named.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
