@@ -60,6 +60,7 @@ def months_elapsed(start: Column, at: Column) -> Column:
 
 
 def carrying_amount(amount: Column, start: Column, months: int, at: Column) -> Column:
-    """What is left of an amount that is written off in a straight line."""
-    left = F.greatest(F.lit(0), F.lit(months) - months_elapsed(start, at))
-    return F.round(amount.cast("decimal(18,6)") * left / F.lit(months), 2)
+    """What is left of an amount written off in a straight line; what is written off so far is rounded to the cent."""
+    value = amount.cast("decimal(18,6)")
+    gone = F.round(value * F.least(F.lit(months), months_elapsed(start, at)) / F.lit(months), 2)
+    return F.round(value - gone, 2)

@@ -246,7 +246,7 @@ def months_elapsed_fn(spark, sf_dir):
     return t(spark, sf_dir, "orders").select("o_orderkey", MF.months_elapsed(F.col("o_orderdate"), F.lit(date(1998, 6, 30))).alias("months"))
 
 
-@query(f"SELECT year(o_orderdate)::INTEGER AS y, count(*) AS n, CAST(sum(round({CENTS.format('o_totalprice')} * greatest(0, 36 - {_ME}) / 36.0)) AS BIGINT) // 1000 AS c1000 FROM orders GROUP BY 1")
+@query(f"SELECT year(o_orderdate)::INTEGER AS y, count(*) AS n, CAST(sum({CENTS.format('o_totalprice')} - (2 * {CENTS.format('o_totalprice')} * least(36, {_ME}) + 36) // 72) AS BIGINT) // 1000 AS c1000 FROM orders GROUP BY 1")
 def carrying_amount_schedule(spark, sf_dir):
     left = MF.carrying_amount(F.col("o_totalprice"), F.col("o_orderdate"), 36, F.lit(date(1998, 6, 30)))
     o = t(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("y"), left.alias("v"))
