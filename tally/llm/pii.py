@@ -285,11 +285,11 @@ def pseudonyms(docs: DataFrame, key: str = "tally", text: str = "text") -> DataF
     has = F.coalesce(F.col(text).rlike(HINT), F.lit(False))
     values = F.when(has, _found(F.col(text))).otherwise(F.array().cast("array<string>"))
     # Values are mapped on rows of their own columns, so that each expression is computed once.
-    out = docs.drop("pii_found", "pii_changed").withColumn("pii_values", values)
-    new = F.transform(F.col("pii_values"), lambda v: pseudonym(v, key))
-    out = out.withColumn("pii_new", F.when(F.size("pii_values") > 0, new).otherwise(F.array().cast("array<string>")))
-    parts = F.zip_with(_between(F.col(text)), F.concat(F.col("pii_new"), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
-    changed = F.when(F.size("pii_values") > 0, F.concat_ws("", parts)).otherwise(F.col(text))
-    count = F.size(F.filter(F.zip_with("pii_values", "pii_new", lambda a, b: a != b), lambda x: x))
-    out = out.withColumn(text, changed).withColumn("pii_found", F.size("pii_values")).withColumn("pii_changed", count)
-    return out.drop("pii_values", "pii_new")
+    out = docs.drop("pii_found", "pii_changed").withColumn("__pii_values", values)
+    new = F.transform(F.col("__pii_values"), lambda v: pseudonym(v, key))
+    out = out.withColumn("__pii_new", F.when(F.size("__pii_values") > 0, new).otherwise(F.array().cast("array<string>")))
+    parts = F.zip_with(_between(F.col(text)), F.concat(F.col("__pii_new"), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
+    changed = F.when(F.size("__pii_values") > 0, F.concat_ws("", parts)).otherwise(F.col(text))
+    count = F.size(F.filter(F.zip_with("__pii_values", "__pii_new", lambda a, b: a != b), lambda x: x))
+    out = out.withColumn(text, changed).withColumn("pii_found", F.size("__pii_values")).withColumn("pii_changed", count)
+    return out.drop("__pii_values", "__pii_new")
