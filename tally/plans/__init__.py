@@ -1,6 +1,6 @@
 """The registered queries and their SQL."""
 
-from . import analytics, matches
+from . import analytics, audit, matches
 
-QUERIES = {**matches.QUERIES, **analytics.QUERIES}
-ORACLES = {**matches.ORACLES, **analytics.ORACLES}
+QUERIES = {**matches.QUERIES, **analytics.QUERIES, **audit.QUERIES}
+ORACLES = {**matches.ORACLES, **analytics.ORACLES, **audit.ORACLES}
