@@ -214,12 +214,19 @@ def pairs(left: DataFrame, right: DataFrame, rule: Rule) -> DataFrame:
                 raise MatchError(f"{rule.name}: {n} pairs; narrow the rule")
             both = l.join(r, on)
         elif rule.days is not None:
-            # No key: an equi-join on weeks that the window reaches.
+            # No key: an equi-join on weeks that the window reaches, and on amount buckets where the band is in money.
             d0, d1 = rule.days
             week = lambda x: F.floor(x / 7)
-            lw = left.withColumn("week", F.explode(F.sequence(week(F.col("lo") + d0), week(F.col("hi") + d1)))).alias("l")
-            rw = right.withColumn("week", F.explode(F.sequence(week(F.col("lo")), week(F.col("hi"))))).alias("r")
-            both = lw.join(rw, F.col("l.week") == F.col("r.week"))
+            lw = left.withColumn("week", F.explode(F.sequence(week(F.col("lo") + d0), week(F.col("hi") + d1))))
+            rw = right.withColumn("week", F.explode(F.sequence(week(F.col("lo")), week(F.col("hi")))))
+            on = [F.col("l.week") == F.col("r.week")]
+            if rule.percent is None:
+                reach = max(map(abs, rule.tolerance)) + 1
+                bucket = lambda x: F.floor(x / (2 * reach))
+                lw = lw.withColumn("near", F.explode(F.sequence(bucket(F.col("c") - reach), bucket(F.col("c") + reach))))
+                rw = rw.withColumn("near", bucket(F.col("c")))
+                on.append(F.col("l.near") == F.col("r.near"))
+            both = lw.alias("l").join(rw.alias("r"), on)
         else:
             raise MatchError(f"{rule.name}: a tolerance rule needs a key or days")
     both = both.filter(_guard(rule))
