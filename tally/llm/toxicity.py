@@ -16,7 +16,8 @@ Insults are words, or word beginnings (for languages that inflect and compound).
 fixed seed they are learned from labelled rows: one by one, the word or beginning is taken that
 stands in the most toxic texts not explained yet, each clean text counting against it.
 Weights are log odds; a logistic regression on the summed clause scores and the text's
-length turns them into a probability.
+length turns them into a probability. Texts without a match get the rate of such texts, capped
+below the threshold.
 """
 
 from __future__ import annotations
@@ -66,6 +67,7 @@ class Grammar:
         self.lengths = sorted({len(w) for w in self.starts}, reverse=True)
         self.known: dict[str, tuple[str, float]] = {}
         self.fit = np.array([-4.0, 1.0, 0.0])
+        self.plain = 0.02  # score of a text without matches: below the threshold, whatever its length
 
     def tag(self, w: str) -> tuple[str, float]:
         found = self.known.get(w)
@@ -109,6 +111,8 @@ class Grammar:
         return total, clauses, found, len(words)
 
     def probability(self, total: float, words: int) -> float:
+        if total <= 0:
+            return self.plain
         x = float(self.fit @ (1.0, min(total, 60.0), math.log1p(words)))
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, x))))
 
@@ -172,6 +176,8 @@ def learn(rows: list[tuple[str, int]]) -> Grammar:
         p = 1 / (1 + np.exp(-np.clip(x @ fit, -40, 40)))
         fit -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3), x.T @ (p - y) + 0.05 * fit)
     grammar.fit = fit
+    rest = y[x[:, 1] <= 0]
+    grammar.plain = min(0.2, (rest.sum() + 0.5) / (len(rest) + 2))
     return grammar
 
 
@@ -204,7 +210,7 @@ def _scored(shared):
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, clauses, matches), a row for each row of ``docs`` (doc_id, text).
 
-    Null and empty texts have no matches and get the base score. held_out is false for a null doc_id.
+    Null and empty texts have no matches and get the score of such texts. held_out is false for a null doc_id.
     Repeated rows are scored each. An empty table gives an empty one; without labels the seed lexicon decides.
     """
     spark = docs.sparkSession
