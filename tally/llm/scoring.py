@@ -69,7 +69,7 @@ def _counted(classes: int):
 
         def flush() -> pa.RecordBatch:
             every = list(set().union(*counts))
-            columns = [pa.array([c[w] for w in every], pa.int64()) for c in counts]
+            columns = [pa.array([get(w, 0) for w in every], pa.int64()) for get in (c.get for c in counts)]
             return pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), *columns], ["word", *(f"c{i}" for i in range(classes + 2))])
 
         for batch in batches:
@@ -95,17 +95,12 @@ class Bits:
         self.word = np.repeat(np.arange(len(lot)), sizes)
         start = np.repeat(np.cumsum(sizes) - sizes, sizes)
         place = np.arange(len(data)) - start
-        nodes = np.empty((8, len(data)), np.uint64)
-        bits = np.empty((8, len(data)), np.uint8)
-        node = np.ones(len(data), np.uint64)
-        for i in range(8):
-            nodes[i] = node
-            bits[i] = (data >> np.uint64(7 - i)).astype(np.uint8) & 1
-            node = node * np.uint64(2) + bits[i]
-        self.bits = bits.T.ravel()
+        # The nodes of a byte's bits: 1, then the bits so far behind a one.
+        nodes = (data[:, None] | np.uint64(256)) >> np.arange(8, 0, -1, dtype=np.uint64)[None, :]
+        self.bits = ((data[:, None] >> np.arange(7, -1, -1, dtype=np.uint64)[None, :]) & np.uint64(1)).astype(np.uint8).ravel()
+        nodes *= np.uint64(0xD6E8FEB86659FD93)
         mult = np.uint64(0x9E3779B97F4A7C15)
         slots = []
-        # The word so far, by prefix sums of a polynomial hash that starts anew with each word.
         for k, order in enumerate(ORDERS):
             if order < 99:
                 h = np.zeros(len(data), np.uint64)
@@ -114,12 +109,14 @@ class Bits:
                     h = h * np.uint64(257) + np.where(place >= back, data[at] + np.uint64(1), np.uint64(0))
             else:
                 h = self._prefixes(data, place)
-            key = (h * mult + np.uint64(k + 1))[None, :] ^ (nodes * np.uint64(0xD6E8FEB86659FD93))
-            key ^= key >> np.uint64(32)
+            h = (h + np.uint64(k + 1)) * mult
+            h ^= h >> np.uint64(32)
+            key = nodes + h[:, None]
             key *= np.uint64(0xBF58476D1CE4E5B9)
-            slots.append((key >> np.uint64(64 - BITS)).T.ravel().astype(np.int64) + (k << BITS))
-        self.slots = np.array(slots)
-        self.at = np.tile(np.arange(8), len(data))
+            key >>= np.uint64(64 - BITS)
+            key += np.uint64(k << BITS)
+            slots.append(key.ravel().view(np.int64))
+        self.slots = slots
         self.of = np.repeat(self.word, 8)
 
     @staticmethod
@@ -155,60 +152,58 @@ def _lots(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator
 
 
 def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(slice, zeros, ones): counts of the bits of (word), each word once."""
-    n = len(ORDERS) << BITS
-    zeros, ones = np.zeros(n, np.float32), np.zeros(n, np.float32)
+    """(slice, counts): zeros and ones, side by side, of the bits of (word), each word once."""
+    counts = np.zeros(2 * (len(ORDERS) << BITS), np.float32)
     for (lot,) in _lots(batches, ("word",)):
         b = Bits(lot)
         for slots in b.slots:
-            np.add.at(ones, slots[b.bits == 1], np.float32(1))
-            np.add.at(zeros, slots[b.bits == 0], np.float32(1))
-    yield from _sliced(zeros, ones)
-
-
-def _sliced(zeros: np.ndarray, ones: np.ndarray, only: list[int] | None = None) -> Iterator[pa.RecordBatch]:
-    for i in range(len(zeros) >> SLICE) if only is None else only:
-        part = slice(i << SLICE, (i + 1) << SLICE)
-        if zeros[part].any() or ones[part].any():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([zeros[part].tobytes()]), pa.array([ones[part].tobytes()])], ["slice", "zeros", "ones"])
+            np.add.at(counts, 2 * slots + b.bits, np.float32(1))
+    for i in range(len(counts) >> SLICE):
+        part = counts[i << SLICE : (i + 1) << SLICE]
+        if part.any():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([part.tobytes()])], ["slice", "counts"])
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of equal slices, held one table's slices at most."""
-    total: dict[int, list[np.ndarray]] = {}
+    total: dict[int, np.ndarray] = {}
     for batch in batches:
-        for i, zeros, ones in zip(*(batch.column(n).to_pylist() for n in ("slice", "zeros", "ones")), strict=True):
-            z, o = np.frombuffer(zeros, np.float32), np.frombuffer(ones, np.float32)
+        for i, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            c = np.frombuffer(counts, np.float32)
             if i in total:
-                total[i][0] += z
-                total[i][1] += o
+                total[i] += c
             else:
-                total[i] = [z.copy(), o.copy()]
-    for i, (z, o) in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([z.tobytes()]), pa.array([o.tobytes()])], ["slice", "zeros", "ones"])
+                total[i] = c.copy()
+    for i, c in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([c.tobytes()])], ["slice", "counts"])
 
 
 class Speller:
     """Probabilities of words' spellings. Weights: a row of len(ORDERS) + 1 for each gate; last: ones and bits seen."""
 
-    def __init__(self, zeros: np.ndarray, ones: np.ndarray):
-        self.zeros, self.ones = zeros, ones
+    def __init__(self, counts: np.ndarray):
+        self.counts = counts.reshape(-1, 2)
         self.weights = np.full((_GATES, len(ORDERS) + 1), 0.3, np.float32)
         self.weights[:, -1] = 0
         self.last = np.zeros((_GATES * _STEPS, 2))
 
     def inputs(self, b: Bits, learning: bool) -> tuple[np.ndarray, np.ndarray]:
         """Stretched predictions (contexts + bias, bits), and the gate of each bit."""
-        zeros, ones = self.zeros[b.slots], self.ones[b.slots]
-        if learning:  # without the word's own count
-            zeros = np.maximum(zeros - (b.bits == 0), 0)
-            ones = np.maximum(ones - (b.bits == 1), 0)
         x = np.empty((len(ORDERS) + 1, len(b.bits)), np.float32)
-        x[:-1] = np.log((ones + np.float32(0.02)) / (zeros + np.float32(0.02)))
         x[-1] = 0.3
-        seen = zeros + ones
-        level = [np.searchsorted([0.5, 2.5, 15.5, 127.5], seen[i]) for i in (3, 4)]
-        return x, level[1] * 5 + level[0]
+        gate = np.zeros(len(b.bits), np.int64)
+        one = b.bits.astype(np.float32)
+        for i, slots in enumerate(b.slots):
+            seen = np.take(self.counts, slots, axis=0)
+            zeros, ones = seen[:, 0], seen[:, 1]
+            if learning:  # without the word's own count
+                zeros, ones = np.maximum(zeros - (1 - one), 0), np.maximum(ones - one, 0)
+            np.log((ones + np.float32(0.02)) / (zeros + np.float32(0.02)), out=x[i])
+            if i >= 3:
+                n = zeros + ones
+                level = (n > 0.5).astype(np.int64) + (n > 2.5) + (n > 15.5) + (n > 127.5)
+                gate += level * (5 if i == 4 else 1)
+        return x, gate
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         dot = np.einsum("ij,ji->i", self.weights[gate], x)
@@ -223,7 +218,8 @@ class Speller:
         b = Bits(lot)
         x, gate = self.inputs(b, True)
         p = self.mixed(x, gate)
-        self.last += np.stack([np.bincount(self.step(p, gate), b.bits == 1, len(self.last)), np.bincount(self.step(p, gate), minlength=len(self.last))], 1)
+        step = self.step(p, gate)
+        self.last += np.stack([np.bincount(step, b.bits, len(self.last)), np.bincount(step, minlength=len(self.last))], 1)
         error = (b.bits - p).astype(np.float32)
         many = np.maximum(np.bincount(gate, minlength=_GATES), 1)
         for i in range(len(ORDERS) + 1):
@@ -244,7 +240,7 @@ def _mixers(tables):
     """(gate, weights, last, lots): what a task's part of the words teaches, as sums weighted by lots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller = Speller(*tables.value)
+        speller = Speller(tables.value)
         n = 0
         for (lot,) in _lots(batches, ("word",)):
             speller.learn(lot, RATE / (1 + n / 200))
@@ -293,7 +289,10 @@ def _documents(head):
         row = TaskContext.get().partitionId() << 33
         alphas = np.array(ALPHAS)
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(6)]
+            words: list[bytes] = []
+            times: list[np.ndarray] = []
+            ends = [0]
             for text in batch.column(1).to_pylist():
                 text = text or ""
                 counts = Counter(tokens(text))
@@ -310,14 +309,18 @@ def _documents(head):
                 other = ks[at_ < 0]
                 urn += (len(other) * np.log10(alphas) + (_log10_gamma(other[other > 1]).sum()))[:, None]
                 urn -= (_log10_gamma(alphas + n) - _log10_gamma(alphas))[:, None]
-                rest = [{"word": w, "k": c} for (w, c), a in zip(counts.items(), at, strict=True) if a < 0]
-                values = (row, n, int((k * seen_of[i]).sum()), float((k * base_of[i]).sum()), urn.ravel().tolist(), len(text.encode()), rest)
+                words += [w for w, x in zip(counts, at, strict=True) if x < 0]
+                times.append(other)
+                ends.append(len(words))
+                values = (row, n, int((k * seen_of[i]).sum()), float((k * base_of[i]).sum()), urn.ravel().tolist(), len(text.encode()))
                 for o, v in zip(out, values, strict=True):
                     o.append(v)
                 row += 1
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.int64(), pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())]))]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.int64()]
+            rest = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(np.concatenate(times).astype(np.int64) if times else np.zeros(0, np.int64))], ["word", "k"])
             names = ["row", "n_tokens", "n_known", "base_score", "urn", "bytes", "rest"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(o, k) for o, k in zip(out, kinds, strict=True))], ["doc_id", *names])
+            columns = [*(pa.array(o, k) for o, k in zip(out, kinds, strict=True)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rest)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names])
 
     return run
 
@@ -358,15 +361,14 @@ def scores(docs: DataFrame) -> DataFrame:
     discount = min(0.95, max(0.3, facts.once / max(1, facts.once + 2 * facts.twice)))
 
     learned = vocabulary.filter("train > 0").select("word")
-    sliced = learned.mapInArrow(_tables, "slice long, zeros binary, ones binary")
-    slices = len(ORDERS) << (BITS - SLICE)
-    merged = sliced.repartition(min(slices, int(spark.conf.get("spark.sql.shuffle.partitions"))), "slice").mapInArrow(_merged, "slice long, zeros binary, ones binary")
-    zeros, ones = (np.zeros(len(ORDERS) << BITS, np.float32) for _ in range(2))
+    sliced = learned.mapInArrow(_tables, "slice long, counts binary")
+    slices = 2 * len(ORDERS) << (BITS - SLICE)
+    merged = sliced.repartition(min(slices, int(spark.conf.get("spark.sql.shuffle.partitions"))), "slice").mapInArrow(_merged, "slice long, counts binary")
+    counts = np.zeros(2 * (len(ORDERS) << BITS), np.float32)
     for r in merged.toLocalIterator():  # the tables' size is fixed
-        part = slice(r.slice << SLICE, (r.slice + 1) << SLICE)
-        zeros[part], ones[part] = np.frombuffer(r.zeros, np.float32), np.frombuffer(r.ones, np.float32)
-    speller = Speller(zeros, ones)
-    tables = sc.broadcast((zeros, ones))
+        counts[r.slice << SLICE : (r.slice + 1) << SLICE] = np.frombuffer(r.counts, np.float32)
+    speller = Speller(counts)
+    tables = sc.broadcast(counts)
     taught = learned.mapInArrow(_mixers(tables), "i long, x double, n long").groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect()
     size = speller.weights.size
     body, lots = np.zeros(size + speller.last.size), max([1, *(r.n for r in taught)])

@@ -199,8 +199,7 @@ def test_scores(spark, docs, empty):
 
 def test_spelling_is_a_distribution():
     """The bits of a byte are predicted by their own nodes: all bytes after a context sum to one."""
-    n = len(scoring.ORDERS) << scoring.BITS
-    s = scoring.Speller(np.zeros(n, np.float32), np.zeros(n, np.float32))
+    s = scoring.Speller(np.zeros(2 * (len(scoring.ORDERS) << scoring.BITS), np.float32))
     s.learn([b"abc", b"abd"], 0.02)
     # Words of one byte and its space, against the first byte alone.
     first = sum(10.0 ** s.score([bytes([b])])[0] for b in range(256) if b not in (9, 10, 11, 12, 13, 32))
