@@ -1,28 +1,23 @@
 """Language-model scores by online logistic context mixing.
 
-A text is its tokens: words, lower-cased, then one end. From the bottom up:
-
-* A model of spelling predicts a word's bytes and the space after it bit by bit. Hashed
-  contexts (the last one, two, three and four bytes, and the word so far) each give a
-  prediction from their counts of zeros and ones; a logistic mixer adds these in the logistic
-  domain, with weights that a gate chooses by how much the longer contexts have been seen.
-  Weights are learned online, a word's own counts left out, so that they hold for words
-  not seen. A last table maps the mixed probability, by gate, to how often such bits were ones.
-* Word counts of all training texts, less a discount; what the discounts free goes to the spelling.
-  They are held for each class of texts (their language, where training texts name one), too.
-* Inside a text, a word's probability is refined by its earlier places there: with weight
-  ALPHAS[j], the class's distribution is the prior of an urn that each token adds to. Experts
-  (a class and a weight each) are mixed with weights that follow how well each has predicted the
-  text so far. As an urn doesn't depend on the order of its tokens, the text's
-  probability under this online mixture is that of the counts: a sum over experts.
-
-Each layer is a probability distribution (or less than one: for rare words the urn's prior share
-is left out), so a text's score is the log of a true probability, and its bits per byte follow.
-
-Counts are gathered over all training texts: words by a distributed count, spelling counts as
-tables of fixed size that tasks fill and merge by slice. A text's frequent words (HEAD of
-them, a broadcast of bounded size) are scored where it lies; its other words, counted, meet
-the scored vocabulary in a join.
+A text's bytes, and one end after them, are predicted bit by bit from what stands before them in the text:
+
+* Hashed contexts (the last one, two, three and five bytes, the word so far, and that with the
+  word before it; they reach over word ends) each give a prediction from their counts of zeros
+  and ones in all training texts.
+* A logistic mixer adds these in the logistic domain, with weights that a gate chooses by how
+  much the longer contexts have been seen. Weights are learned online over the training texts,
+  a bit's own count left out, and refined online inside each text, block by block.
+* A last table maps the mixed probability, by gate, to how often such bits were ones.
+
+Each bit's probability follows from earlier bits only, so a text's score is the log of a true
+probability, and its bits per byte follow. Beside it stands a base score from word counts:
+words, lower-cased, then one end.
+
+Counts are gathered over all training texts: words by a distributed count, contexts as tables of
+fixed size that tasks fill and merge by slice; contexts that share a slot add up. A text's frequent
+words (HEAD of them, a broadcast of bounded size) are looked up where it lies; its other words,
+counted, meet the vocabulary in a join.
 """
 
 from __future__ import annotations
@@ -38,22 +33,25 @@ from pyspark.sql import functions as F
 
 from .common import remainder, short_batches, written
 
-#: Contexts: bytes before the current one; 99: all of the word.
-ORDERS = (1, 2, 3, 4, 99)
+#: Contexts: bytes before the current one; 99: all of the word; 100: and the word before it.
+ORDERS = (1, 2, 3, 5, 99, 100)
 #: Slots of each context's table, as a power of two, and of the slices in which tables are merged.
-BITS, SLICE = 20, 16
+BITS, SLICE = 22, 16
 #: Frequent words that every task knows.
 HEAD = 1 << 18
 #: Words that a task counts before it passes the counts on.
 COUNTED = 200_000
-#: Weights of the urns' priors, in tokens; classes of texts at most; share of a class's own counts.
-ALPHAS = (100_000.0, 3_000.0, 100.0)
-CLASSES, OWN = 8, 0.8
-#: Bits that are predicted at once; rate of the mixer.
-LOT, RATE = 1 << 15, 0.02
+#: Bytes that are predicted at once; rate of the mixer and bits of its steps; bytes of a text between its own steps, and their rate.
+LOT, RATE, STEP = 1 << 15, 0.02, 1 << 13
+BLOCK, OWN_RATE = 32, 0.006
 END = b"\n"
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _GATES, _STEPS = 5 * 5, 33
+#: Ends a text's bytes; no text has it.
+LAST = b"\xff"
+#: A factor of the words' hashes and its inverse modulo 2^64.
+_UP = np.uint64(0x9E3779B97F4A7C15)
+_DOWN = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def tokens(text: str) -> list[bytes]:
@@ -86,64 +84,78 @@ def _counted(classes: int):
 
 
 class Bits:
-    """The bits of a lot of words, with the slot of each in each context's table."""
+    """The bytes of a lot of texts, with the hash of each one's contexts. Bits are made of a part at once, as texts may be long."""
 
     def __init__(self, lot: list[bytes]):
-        spelled = [w if w == END else w + b" " for w in lot]
-        sizes = np.array([len(w) for w in spelled])
+        spelled = [x + LAST for x in lot]
+        sizes = np.array([len(x) for x in spelled])
         data = np.frombuffer(b"".join(spelled), np.uint8).astype(np.uint64)
-        self.word = np.repeat(np.arange(len(lot)), sizes)
+        self.text = np.repeat(np.arange(len(lot)), sizes)
         start = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        place = np.arange(len(data)) - start
-        # The nodes of a byte's bits: 1, then the bits so far behind a one.
-        nodes = (data[:, None] | np.uint64(256)) >> np.arange(8, 0, -1, dtype=np.uint64)[None, :]
-        self.bits = ((data[:, None] >> np.arange(7, -1, -1, dtype=np.uint64)[None, :]) & np.uint64(1)).astype(np.uint8).ravel()
-        nodes *= np.uint64(0xD6E8FEB86659FD93)
-        mult = np.uint64(0x9E3779B97F4A7C15)
+        at = np.arange(len(data))
+        self.place = at - start
+        self.data = data
+        before, hashes = np.zeros(len(data), np.uint64), {}
+        for back in range(1, 6):
+            before |= np.where(self.place >= back, data[np.maximum(at - back, 0)], np.uint64(0)) << np.uint64(8 * (back - 1))
+            hashes[back] = before.copy()
+        hashes[99], hashes[100] = self._words(data, start, at)
+        self.hashes = [hashes[order] for order in ORDERS]
+
+    def parts(self) -> Iterator[np.ndarray]:
+        """All bytes' numbers, by the blocks of their texts, in parts of about LOT that end where blocks do."""
+        block = self.place // BLOCK
+        order = np.argsort(block, kind="stable")
+        ends = np.cumsum(np.bincount(block))
+        first = 0
+        for end in ends.tolist():
+            if end - first >= LOT or end == len(order):
+                yield order[first:end]
+                first = end
+
+    def of(self, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The bits of some bytes, and their slots in each context's table."""
+        data = self.data[at]
+        bits = ((data[:, None] >> np.arange(7, -1, -1, dtype=np.uint64)[None, :]) & np.uint64(1)).astype(np.uint8).ravel()
+        # The nodes of a half byte's bits, beside each other: 1, then the bits so far behind a one.
+        high, low = data >> np.uint64(4), data & np.uint64(15)
+        nodes = np.stack([(x[:, None] | np.uint64(16)) >> np.arange(4, 0, -1, dtype=np.uint64)[None, :] for x in (high, low)], 1)
         slots = []
-        for k, order in enumerate(ORDERS):
-            if order < 99:
-                h = np.zeros(len(data), np.uint64)
-                for back in range(order, 0, -1):
-                    at = np.maximum(np.arange(len(data)) - back, 0)
-                    h = h * np.uint64(257) + np.where(place >= back, data[at] + np.uint64(1), np.uint64(0))
-            else:
-                h = self._prefixes(data, place)
-            h = (h + np.uint64(k + 1)) * mult
+        for k, hashes in enumerate(self.hashes):
+            h = (hashes[at] + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(32)
-            key = nodes + h[:, None]
-            key *= np.uint64(0xBF58476D1CE4E5B9)
-            key >>= np.uint64(64 - BITS)
-            key += np.uint64(k << BITS)
-            slots.append(key.ravel().view(np.int64))
-        self.slots = slots
-        self.of = np.repeat(self.word, 8)
+            key = np.stack([h, h + (high + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)], 1) * np.uint64(0xBF58476D1CE4E5B9)
+            key ^= key >> np.uint64(29)
+            key *= np.uint64(0x94D049BB133111EB)
+            key = ((key >> np.uint64(64 - BITS + 4)) << np.uint64(4)) + np.uint64(k << BITS)
+            slots.append((key[:, :, None] + nodes).ravel().view(np.int64))
+        return bits, slots
 
     @staticmethod
-    def _prefixes(data: np.ndarray, place: np.ndarray) -> np.ndarray:
-        h = np.zeros(len(data), np.uint64)
-        for p in range(1, int(place.max(initial=0)) + 1):
-            at = np.flatnonzero(place == p) if p < 40 else np.flatnonzero(place >= p)
-            if p < 40:
-                h[at] = (h[at - 1] + data[at - 1] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-                h[at] ^= h[at] >> np.uint64(29)
-            else:
-                for i in at.tolist():  # very long words, byte by byte
-                    x = ((int(h[i - 1]) + int(data[i - 1]) + 1) * 0x9E3779B97F4A7C15) & (2**64 - 1)
-                    h[i] = x ^ (x >> 29)
-                break
-        return h
+    def _words(data: np.ndarray, start: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the word before each byte, as far as it has come, and of it and the word before it."""
+        gap = (data == 32) | ((data >= 9) & (data <= 13))
+        first = np.maximum.accumulate(np.where((at == start) | np.r_[True, gap[:-1]], at, 0))
+        up, down = np.full(len(data), _UP), np.full(len(data), _DOWN)
+        up[0] = down[0] = 1
+        up, down = np.cumprod(up), np.cumprod(down)
+        total = np.cumsum((data + np.uint64(1)) * up)
+        total = np.r_[np.uint64(0), total[:-1]]
+        word = (total - total[first]) * down[first]
+        word ^= word >> np.uint64(31)
+        former = np.where(first > start, word[np.maximum(first - 1, 0)], np.uint64(0))
+        return word, word + (former + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _lots(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple]:
-    """The rows of batches in lots of about LOT bytes of words."""
+    """The rows of batches in lots of about LOT bytes."""
     held: list[list] = [[] for _ in names]
     size = 0
     for batch in batches:
         for row in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
             for h, x in zip(held, row, strict=True):
                 h.append(x)
-            size += len(row[0]) + 1
+            size += len(row[0] or "") + 1
             if size >= LOT:
                 yield tuple(held)
                 held, size = [[] for _ in names], 0
@@ -152,12 +164,14 @@ def _lots(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator
 
 
 def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(slice, counts): zeros and ones, side by side, of the bits of (word), each word once."""
+    """(slice, counts): zeros and ones, side by side, of the bits of (text)."""
     counts = np.zeros(2 * (len(ORDERS) << BITS), np.float32)
-    for (lot,) in _lots(batches, ("word",)):
-        b = Bits(lot)
-        for slots in b.slots:
-            np.add.at(counts, 2 * slots + b.bits, np.float32(1))
+    for (lot,) in _lots(batches, ("text",)):
+        b = Bits([(x or "").encode() for x in lot])
+        for at in b.parts():
+            bits, each = b.of(at)
+            for slots in each:
+                np.add.at(counts, 2 * slots + bits, np.float32(1))
     for i in range(len(counts) >> SLICE):
         part = counts[i << SLICE : (i + 1) << SLICE]
         if part.any():
@@ -165,21 +179,23 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of equal slices, held one table's slices at most."""
+    """Sums of equal slices, as half floats; a pair too large for these keeps its ratio."""
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for i, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            c = np.frombuffer(counts, np.float32)
+            c = np.frombuffer(counts, np.float32).astype(np.float64)
             if i in total:
                 total[i] += c
             else:
-                total[i] = c.copy()
+                total[i] = c
     for i, c in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([c.tobytes()])], ["slice", "counts"])
+        pairs = c.reshape(-1, 2)
+        pairs *= np.minimum(1, 60_000 / np.maximum(pairs.max(1, keepdims=True), 1))
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([c.astype(np.float16).tobytes()])], ["slice", "counts"])
 
 
 class Speller:
-    """Probabilities of words' spellings. Weights: a row of len(ORDERS) + 1 for each gate; last: ones and bits seen."""
+    """Probabilities of texts. Weights: a row of len(ORDERS) + 1 for each gate; last: ones and bits seen."""
 
     def __init__(self, counts: np.ndarray):
         self.counts = counts.reshape(-1, 2)
@@ -187,22 +203,22 @@ class Speller:
         self.weights[:, -1] = 0
         self.last = np.zeros((_GATES * _STEPS, 2))
 
-    def inputs(self, b: Bits, learning: bool) -> tuple[np.ndarray, np.ndarray]:
+    def inputs(self, bits: np.ndarray, each: list[np.ndarray], learning: bool) -> tuple[np.ndarray, np.ndarray]:
         """Stretched predictions (contexts + bias, bits), and the gate of each bit."""
-        x = np.empty((len(ORDERS) + 1, len(b.bits)), np.float32)
+        x = np.empty((len(ORDERS) + 1, len(bits)), np.float32)
         x[-1] = 0.3
-        gate = np.zeros(len(b.bits), np.int64)
-        one = b.bits.astype(np.float32)
-        for i, slots in enumerate(b.slots):
-            seen = np.take(self.counts, slots, axis=0)
+        gate = np.zeros(len(bits), np.int64)
+        one = bits.astype(np.float32)
+        for i, slots in enumerate(each):
+            seen = np.take(self.counts, slots, axis=0).astype(np.float32)
             zeros, ones = seen[:, 0], seen[:, 1]
-            if learning:  # without the word's own count
+            if learning:  # without the bit's own count
                 zeros, ones = np.maximum(zeros - (1 - one), 0), np.maximum(ones - one, 0)
             np.log((ones + np.float32(0.02)) / (zeros + np.float32(0.02)), out=x[i])
-            if i >= 3:
+            if i in (3, 5):
                 n = zeros + ones
                 level = (n > 0.5).astype(np.int64) + (n > 2.5) + (n > 15.5) + (n > 127.5)
-                gate += level * (5 if i == 4 else 1)
+                gate += level * (5 if i == 5 else 1)
         return x, gate
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
@@ -214,36 +230,57 @@ class Speller:
         return gate * _STEPS + np.clip(np.rint((s + 12) * (_STEPS - 1) / 24), 0, _STEPS - 1).astype(np.int64)
 
     def learn(self, lot: list[bytes], rate: float) -> None:
-        """One online step of the mixer, and the last table's counts."""
+        """Online steps of the mixer, and the last table's counts."""
         b = Bits(lot)
-        x, gate = self.inputs(b, True)
-        p = self.mixed(x, gate)
-        step = self.step(p, gate)
-        self.last += np.stack([np.bincount(step, b.bits, len(self.last)), np.bincount(step, minlength=len(self.last))], 1)
-        error = (b.bits - p).astype(np.float32)
-        many = np.maximum(np.bincount(gate, minlength=_GATES), 1)
-        for i in range(len(ORDERS) + 1):
-            self.weights[:, i] += rate * np.bincount(gate, error * x[i], _GATES).astype(np.float32) / np.sqrt(many)
+        for at in b.parts():
+            bits, each = b.of(at)
+            x_all, gates = self.inputs(bits, each, True)
+            for i in range(0, len(bits), STEP):
+                x, gate, bit = x_all[:, i : i + STEP], gates[i : i + STEP], bits[i : i + STEP]
+                p = self.mixed(x, gate)
+                step = self.step(p, gate)
+                self.last += np.stack([np.bincount(step, bit, len(self.last)), np.bincount(step, minlength=len(self.last))], 1)
+                error = (bit - p).astype(np.float32)
+                many = np.maximum(np.bincount(gate, minlength=_GATES), 1)
+                for k in range(len(x)):
+                    self.weights[:, k] += rate * np.bincount(gate, error * x[k], _GATES).astype(np.float32) / np.sqrt(many)
 
     def score(self, lot: list[bytes]) -> np.ndarray:
-        """log10 of each word's probability."""
+        """log10 of each text's probability. Weights start as learned and follow each text in steps of BLOCK bytes."""
         b = Bits(lot)
-        x, gate = self.inputs(b, False)
-        p = self.mixed(x, gate)
-        ones, bits = self.last[self.step(p, gate)].T
-        refined = (ones + 16 * p) / (bits + 16)
-        p = np.clip((p + refined) / 2, 1e-6, 1 - 1e-6)
-        return np.bincount(b.of, np.log10(np.where(b.bits == 1, p, 1 - p)), len(lot))
+        weights = np.tile(self.weights, (len(lot), 1))
+        total = np.zeros(len(lot))
+        for at in b.parts():
+            bits, each = b.of(at)
+            x, gate = self.inputs(bits, each, False)
+            text = np.repeat(b.text[at], 8)
+            key = text * _GATES + gate
+            block = b.place[at] // BLOCK
+            starts = 8 * np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+            p = np.empty(len(bits), np.float64)
+            for i, j in zip(starts, np.r_[starts[1:], len(bits)], strict=True):
+                near, own = x[:, i:j], key[i:j]
+                q = 1 / (1 + np.exp(-np.clip(np.einsum("ij,ji->i", weights[own], near), -12, 12)))
+                p[i:j] = q
+                some, which = np.unique(own, return_inverse=True)
+                error = bits[i:j] - q
+                for k in range(len(near)):
+                    weights[some, k] += np.float32(OWN_RATE) * np.bincount(which, error * near[k], len(some)).astype(np.float32)
+            ones, seen = self.last[self.step(p, gate)].T
+            refined = (ones + 16 * p) / (seen + 16)
+            p = np.clip((p + refined) / 2, 1e-6, 1 - 1e-6)
+            total += np.bincount(text, np.log10(np.where(bits == 1, p, 1 - p)), len(lot))
+        return total
 
 
 def _mixers(tables):
-    """(gate, weights, last, lots): what a task's part of the words teaches, as sums weighted by lots."""
+    """(i, x, n): weights and the last table as a task's part of the texts teaches them, as sums weighted by lots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         speller = Speller(tables.value)
         n = 0
-        for (lot,) in _lots(batches, ("word",)):
-            speller.learn(lot, RATE / (1 + n / 200))
+        for (lot,) in _lots(batches, ("text",)):
+            speller.learn([(x or "").encode() for x in lot], RATE / (1 + n / 200))
             n += 1
         body = np.concatenate([(speller.weights * n).ravel().astype(float), speller.last.ravel()])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(body))), pa.array(body), pa.array(np.full(len(body), n))], ["i", "x", "n"])
@@ -251,125 +288,81 @@ def _mixers(tables):
     return run
 
 
-def _word_scores(model, n_all: float, distinct: float, discount: float, per_class: list[tuple[float, float]]):
-    """(word, train, total, base, p): log10 of the base's probability, and of each class's."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller = model.value
-        own = [f"c{i}" for i in range(len(per_class))]
-        for lot, train, total, *each in _lots(batches, ("word", "train", "total", *own)):
-            low = 10.0 ** np.maximum(speller.score(lot), -300)
-            c = np.array(train, float)
-
-            def discounted(c: np.ndarray, n: float, types: float, low: np.ndarray = low) -> np.ndarray:
-                return np.maximum(c - discount, 0) / n + discount * types / n * low if n else low
-
-            every = discounted(c, n_all, distinct)
-            p = [OWN * discounted(np.array(x, float), *nt) + (1 - OWN) * every for x, nt in zip(each, per_class, strict=True)] or [every]
-            p = np.log10(np.maximum(np.array(p), 1e-300)).T.astype(np.float32)
-            base = np.log10((c + 0.1) / (n_all + 0.1 * (distinct + 1)))
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(p).ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(lot, pa.binary()), pa.array(train, pa.int64()), pa.array(total, pa.int64()), pa.array(base), flat], ["word", "train", "total", "base", "p"])
-
-    return run
-
-
-def _log10_gamma(x: np.ndarray) -> np.ndarray:
-    """log10 of the gamma function for x > 0, by Stirling's series from x + 8 on."""
-    y = x + 8
-    series = (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3)
-    return (series - sum(np.log(x + i) for i in range(8))) / np.log(10)
-
-
-def _documents(head):
-    """Each text's sums over frequent words, one for each expert, and its other words, counted."""
+def _documents(head, tables, weights: np.ndarray, last: np.ndarray):
+    """Each text's score, its sums over frequent words, and its other words, counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, base_of, seen_of, p_of = head.value
+        place, base_of, seen_of = head.value
+        speller = Speller(tables.value)
+        speller.weights, speller.last = weights, last
         row = TaskContext.get().partitionId() << 33
-        alphas = np.array(ALPHAS)
-        for batch in batches:
+        for ids, lot in _lots_of_texts(batches):
+            score = speller.score(lot)
             out: list[list] = [[] for _ in range(6)]
             words: list[bytes] = []
-            times: list[np.ndarray] = []
+            times: list[int] = []
             ends = [0]
-            for text in batch.column(1).to_pylist():
-                text = text or ""
-                counts = Counter(tokens(text))
+            for text, x in zip(lot, score.tolist(), strict=True):
+                counts = Counter(text.translate(_LOWER).split())
                 n = sum(counts.values()) + 1
                 counts[END] += 1
-                at = [place.get(w, -1) for w in counts]
-                ks = np.array(list(counts.values()), float)
-                at_ = np.array(at)
-                k, i = ks[at_ >= 0], at_[at_ >= 0]
-                # The urn of weight alpha: gamma(alpha p + k) / gamma(alpha p) for each word, over the same for the text.
-                prior = alphas[:, None, None] * 10.0 ** p_of[i].astype(float)[None, :, :]
-                once = k == 1
-                urn = np.log10(prior[:, once]).sum(1) + (_log10_gamma(prior[:, ~once] + k[~once][None, :, None]) - _log10_gamma(prior[:, ~once])).sum(1)
-                other = ks[at_ < 0]
-                urn += (len(other) * np.log10(alphas) + (_log10_gamma(other[other > 1]).sum()))[:, None]
-                urn -= (_log10_gamma(alphas + n) - _log10_gamma(alphas))[:, None]
-                words += [w for w, x in zip(counts, at, strict=True) if x < 0]
-                times.append(other)
+                at = np.array([place.get(w, -1) for w in counts])
+                k = np.array(list(counts.values()), float)
+                i, k = at[at >= 0], k[at >= 0]
+                for (w, m), j in zip(counts.items(), at.tolist(), strict=True):
+                    if j < 0:
+                        words.append(w)
+                        times.append(m)
                 ends.append(len(words))
-                values = (row, n, int((k * seen_of[i]).sum()), float((k * base_of[i]).sum()), urn.ravel().tolist(), len(text.encode()))
+                values = (row, n, int((k * seen_of[i]).sum()), float((k * base_of[i]).sum()), x, len(text))
                 for o, v in zip(out, values, strict=True):
                     o.append(v)
                 row += 1
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.int64()]
-            rest = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(np.concatenate(times).astype(np.int64) if times else np.zeros(0, np.int64))], ["word", "k"])
-            names = ["row", "n_tokens", "n_known", "base_score", "urn", "bytes", "rest"]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+            rest = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64())], ["word", "k"])
+            names = ["row", "n_tokens", "n_known", "base_score", "score", "bytes", "rest"]
             columns = [*(pa.array(o, k) for o, k in zip(out, kinds, strict=True)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rest)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *columns], ["doc_id", *names])
 
     return run
 
 
+def _lots_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
+    for texts, ids in _lots(batches, ("text", "doc_id")):
+        yield ids, [(x or "").encode() for x in texts]
+
+
 def scores(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte), a row for each row of ``docs``.
 
     Learns from the texts whose crc32(doc_id) modulo 10 is not 0; rows without a doc_id are held out.
-    Their lang, if ``docs`` has it, gives classes; it is never looked at when a text is scored.
     A null text counts as empty: its one token is the end. bits_per_byte is null for empty texts.
     Repeated rows count, and are scored, each. Without training texts base_score is that of unknown
-    tokens, and score the untrained speller's. An empty table gives an empty one.
+    tokens, and score that of the untrained mixer. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
     short_batches(spark)
     ids = F.col("doc_id").cast("long").alias("doc_id")
     learn = F.coalesce(remainder(F.col("doc_id"), 10) != 0, F.lit(False))
-    kind = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    named = docs.filter(learn & F.col("lang").isNotNull()) if "lang" in docs.columns else None
-    classes = [r.lang for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(CLASSES).collect()] if named is not None else []
-    of = F.lit(-1)
-    for i, name in enumerate(classes):
-        of = F.when(kind == name, i).otherwise(of)
-    of = F.when(learn, of).otherwise(-2)
-    own = [f"c{i}" for i in range(len(classes))]
-    partial = "word binary, " + ", ".join(f"c{i} long" for i in range(len(classes) + 2))
-    # The last two counters are those of -2 and -1.
-    counted = docs.select("text", of.cast("int").alias("of")).mapInArrow(_counted(len(classes)), partial)
-    sums = counted.groupBy("word").agg(*(F.sum(f"c{i}").alias(f"c{i}") for i in range(len(classes) + 2)))
-    train = sum((F.col(c) for c in [*own, f"c{len(classes) + 1}"]), F.lit(0).cast("long"))
-    vocabulary = written(sums.select("word", train.alias("train"), (train + F.col(f"c{len(classes)}")).alias("total"), *own), "vocabulary")
-    facts = vocabulary.agg(
-        F.coalesce(F.sum("train"), F.lit(0)).alias("n"), F.count_if(F.col("train") > 0).alias("types"), F.count_if(F.col("train") == 1).alias("once"), F.count_if(F.col("train") == 2).alias("twice"),
-        *(F.coalesce(F.sum(c), F.lit(0)).alias(f"n_{c}") for c in own), *(F.count_if(F.col(c) > 0).alias(f"t_{c}") for c in own),
-    ).first()
+    of = F.when(learn, -1).otherwise(-2)
+    # Two counters: those of -2 and -1.
+    counted = docs.select("text", of.cast("int").alias("of")).mapInArrow(_counted(0), "word binary, c0 long, c1 long")
+    sums = counted.groupBy("word").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("train"))
+    vocabulary = written(sums.select("word", "train", (F.col("train") + F.col("c0")).alias("total")), "vocabulary")
+    facts = vocabulary.agg(F.coalesce(F.sum("train"), F.lit(0)).alias("n"), F.count_if(F.col("train") > 0).alias("types")).first()
     n, distinct = facts.n, facts.types
-    discount = min(0.95, max(0.3, facts.once / max(1, facts.once + 2 * facts.twice)))
 
-    learned = vocabulary.filter("train > 0").select("word")
+    learned = docs.filter(learn).select("text")
     sliced = learned.mapInArrow(_tables, "slice long, counts binary")
     slices = 2 * len(ORDERS) << (BITS - SLICE)
     merged = sliced.repartition(min(slices, int(spark.conf.get("spark.sql.shuffle.partitions"))), "slice").mapInArrow(_merged, "slice long, counts binary")
-    counts = np.zeros(2 * (len(ORDERS) << BITS), np.float32)
+    counts = np.zeros(2 * (len(ORDERS) << BITS), np.float16)
     for r in merged.toLocalIterator():  # the tables' size is fixed
-        counts[r.slice << SLICE : (r.slice + 1) << SLICE] = np.frombuffer(r.counts, np.float32)
-    speller = Speller(counts)
+        counts[r.slice << SLICE : (r.slice + 1) << SLICE] = np.frombuffer(r.counts, np.float16)
     tables = sc.broadcast(counts)
     taught = learned.mapInArrow(_mixers(tables), "i long, x double, n long").groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect()
+    speller = Speller(counts)
     size = speller.weights.size
     body, lots = np.zeros(size + speller.last.size), max([1, *(r.n for r in taught)])
     for r in taught:
@@ -377,35 +370,22 @@ def scores(docs: DataFrame) -> DataFrame:
     if taught and max(r.n for r in taught):
         speller.weights = (body[:size] / lots).reshape(speller.weights.shape).astype(np.float32)
         speller.last = body[size:].reshape(speller.last.shape)
-    model = sc.broadcast(speller)
-
-    per_class = [(float(facts[f"n_{c}"]), float(facts[f"t_{c}"])) for c in own]
-    experts = max(1, len(own))
-    scored = vocabulary.mapInArrow(_word_scores(model, float(n), float(distinct), discount, per_class), "word binary, train long, total long, base double, p array<float>")
-    scored = written(scored, "words")
-    frequent = scored.orderBy((F.col("word") == F.lit(END)).desc(), F.desc("total"), "word").limit(HEAD)
-    place, base_of, seen_of, p_of = {}, [], [], []
+
+    based = vocabulary.withColumn("base", F.log10((F.col("train") + 0.1) / F.lit(float(n + 0.1 * (distinct + 1)))))
+    frequent = based.orderBy((F.col("word") == F.lit(END)).desc(), F.desc("total"), "word").limit(HEAD)
+    place, base_of, seen_of = {}, [], []
     for r in frequent.toLocalIterator():
         place[bytes(r.word)] = len(place)
         base_of.append(r.base)
         seen_of.append(r.train > 0)
-        p_of.append(np.array(r.p, np.float32))
-    head = sc.broadcast((place, np.array(base_of), np.array(seen_of), np.array(p_of, np.float32).reshape(len(place), experts)))
-    schema = "doc_id long, row long, n_tokens long, n_known long, base_score double, urn array<double>, bytes long, rest array<struct<word: binary, k: long>>"
-    texts = written(docs.select(ids, "text").mapInArrow(_documents(head), schema), "texts")
+    head = sc.broadcast((place, np.array(base_of, float), np.array(seen_of, bool)))
+    schema = "doc_id long, row long, n_tokens long, n_known long, base_score double, score double, bytes long, rest array<struct<word: binary, k: long>>"
+    texts = written(docs.select(ids, "text").mapInArrow(_documents(head, tables, speller.weights, speller.last), schema), "texts")
     rest = texts.select("row", F.explode("rest").alias("x")).select("row", "x.word", "x.k")
-    found = rest.join(scored.select("word", "train", "base", "p"), "word")
-    more = found.groupBy("row").agg(
-        F.sum(F.when(F.col("train") > 0, F.col("k")).otherwise(0)).alias("m_known"), F.sum(F.col("k") * F.col("base")).alias("m_base"),
-        *(F.sum(F.col("p")[i].cast("double")).alias(f"m{i}") for i in range(experts)),
-    )
+    found = rest.join(based.select("word", "train", "base"), "word")
+    more = found.groupBy("row").agg(F.sum(F.when(F.col("train") > 0, F.col("k")).otherwise(0)).alias("m_known"), F.sum(F.col("k") * F.col("base")).alias("m_base"))
     zero = F.lit(0)
-    both = texts.drop("rest").join(more, "row", "left")
-    # Experts are ordered by urn, then class; a rare word's prior is the same in each urn.
-    each = F.array(*(F.col("urn")[j * experts + i] + F.coalesce(f"m{i}", F.lit(0.0)) for j in range(len(ALPHAS)) for i in range(experts)))
-    both = both.withColumn("each", each).withColumn("top", F.array_max("each"))
-    mixed = F.col("top") + F.log10(F.aggregate("each", F.lit(0.0), lambda a, x: a + F.pow(F.lit(10.0), x - F.col("top"))) / (len(ALPHAS) * experts))
-    return both.withColumn("score", mixed).select(
+    return texts.drop("rest").join(more, "row", "left").select(
         "doc_id", F.coalesce(remainder(F.col("doc_id"), 10) == 0, F.lit(True)).alias("held_out"), "n_tokens",
         (F.col("n_known") + F.coalesce("m_known", zero)).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("m_base", zero)).alias("base_score"), "score",

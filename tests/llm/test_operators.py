@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,6 +207,32 @@ def test_spelling_is_a_distribution():
     assert first <= 1.0001
 
 
+def test_scores_read_texts_in_order(spark):
+    """Contexts reach over word ends: words in the order that training texts have them score better than shuffled ones."""
+    r = random.Random(8)
+    held = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 10 == 0]
+    phrases = [" ".join(r.choice(VOCABULARY) for _ in range(6)) for _ in range(12)]
+    text = lambda: " ".join(r.choice(phrases) for _ in range(8))
+    rows = [(i, text()) for i in range(300) if zlib.crc32(str(i).encode()) % 10]
+    told = [text() for _ in range(20)]
+    rows += [(held[k], t) for k, t in enumerate(told)] + [(held[100 + k], " ".join(r.sample(t.split(), len(t.split())))) for k, t in enumerate(told)]
+    got = {x.doc_id: x for x in scoring.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[held[k]].score > 1.2 * got[held[100 + k]].score and got[held[k]].held_out for k in range(20))
+
+
+def test_scores_of_long_texts_and_ratios(monkeypatch):
+    """A text in several parts scores as in one, and counts too large for a half float keep their ratio."""
+    long = sentence(400).encode()
+    s = scoring.Speller(np.zeros(2 * (len(scoring.ORDERS) << scoring.BITS), np.float32))
+    whole = s.score([long, b"x"])
+    monkeypatch.setattr(scoring, "LOT", 100)
+    assert np.allclose(s.score([long, b"x"]), whole)
+    part = pa.RecordBatch.from_arrays([pa.array([3]), pa.array([np.array([300_000, 100_000, 2, 1], np.float32).tobytes()])], ["slice", "counts"])
+    (out,) = scoring._merged(iter([part, part]))
+    c = np.frombuffer(out.column(1)[0].as_py(), np.float16).astype(float)
+    assert abs(c[0] / c[1] - 3) < 0.01 and c[2:].tolist() == [4, 2]
+
+
 def test_languages(spark, docs, empty):
     en, de = "the and of tion ing with that".split(), "der und ung schaft mit dass ich".split()
     rows = []
