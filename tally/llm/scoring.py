@@ -14,8 +14,9 @@ Each bit's probability follows from earlier bits only, so a text's score is the
 probability, and its bits per byte follow. Beside it stands a base score from word counts:
 words, lower-cased, then one end.
 
-Counts are gathered over all training texts: words by a distributed count, contexts as tables of
-fixed size that tasks fill and merge by slice; contexts that share a slot add up. A text's frequent
+Counts are gathered over all training texts: words by a distributed count, contexts as tables that
+tasks fill and merge by slice; their size follows the training texts' bytes up to 2^MOST slots,
+and a mark of the context's hash keeps those that meet in one line of slots apart. A text's frequent
 words (HEAD of them, a broadcast of bounded size) are looked up where it lies; its other words,
 counted, meet the vocabulary in a join.
 """
@@ -35,8 +36,8 @@ from .common import remainder, short_batches, written
 
 #: Contexts: bytes before the current one; 99: all of the word; 100: and the word before it.
 ORDERS = (1, 2, 3, 5, 99, 100)
-#: Slots of each context's table, as a power of two, and of the slices in which tables are merged.
-BITS, SLICE = 22, 16
+#: Slots of each context's table at least and at most, as powers of two, and of the slices in which tables are merged.
+BITS, MOST, SLICE = 20, 22, 16
 #: Frequent words that every task knows.
 HEAD = 1 << 18
 #: Words that a task counts before it passes the counts on.
@@ -86,7 +87,8 @@ def _counted(classes: int):
 class Bits:
     """The bytes of a lot of texts, with the hash of each one's contexts. Bits are made of a part at once, as texts may be long."""
 
-    def __init__(self, lot: list[bytes]):
+    def __init__(self, lot: list[bytes], size: int):
+        self.size = size
         spelled = [x + LAST for x in lot]
         sizes = np.array([len(x) for x in spelled])
         data = np.frombuffer(b"".join(spelled), np.uint8).astype(np.uint64)
@@ -113,8 +115,8 @@ class Bits:
                 yield order[first:end]
                 first = end
 
-    def of(self, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The bits of some bytes, and their slots in each context's table."""
+    def of(self, at: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """The bits of some bytes, and for each context their slots, the lines of 16 slots of each half byte, and its mark there."""
         data = self.data[at]
         bits = ((data[:, None] >> np.arange(7, -1, -1, dtype=np.uint64)[None, :]) & np.uint64(1)).astype(np.uint8).ravel()
         # The nodes of a half byte's bits, beside each other: 1, then the bits so far behind a one.
@@ -127,8 +129,9 @@ class Bits:
             key = np.stack([h, h + (high + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)], 1) * np.uint64(0xBF58476D1CE4E5B9)
             key ^= key >> np.uint64(29)
             key *= np.uint64(0x94D049BB133111EB)
-            key = ((key >> np.uint64(64 - BITS + 4)) << np.uint64(4)) + np.uint64(k << BITS)
-            slots.append((key[:, :, None] + nodes).ravel().view(np.int64))
+            mark = np.maximum((key >> np.uint64(20)) & np.uint64(0xFFFF), 1).astype(np.uint16)
+            line = (key >> np.uint64(64 - self.size + 4)) + np.uint64(k << (self.size - 4))
+            slots.append((((line << np.uint64(4))[:, :, None] + nodes).ravel().view(np.int64), line.ravel().view(np.int64), mark.ravel()))
         return bits, slots
 
     @staticmethod
@@ -163,54 +166,77 @@ def _lots(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator
         yield tuple(held)
 
 
-def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(slice, counts): zeros and ones, side by side, of the bits of (text)."""
-    counts = np.zeros(2 * (len(ORDERS) << BITS), np.float32)
-    for (lot,) in _lots(batches, ("text",)):
-        b = Bits([(x or "").encode() for x in lot])
-        for at in b.parts():
-            bits, each = b.of(at)
-            for slots in each:
-                np.add.at(counts, 2 * slots + bits, np.float32(1))
-    for i in range(len(counts) >> SLICE):
-        part = counts[i << SLICE : (i + 1) << SLICE]
-        if part.any():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([part.tobytes()])], ["slice", "counts"])
+def _tables(size: int):
+    """(slice, task, counts, marks): zeros and ones, side by side, of the bits of (text), in tables of 2^size slots.
+
+    A line belongs to the first context that comes to it; others that meet there are not counted.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(2 * (len(ORDERS) << size), np.float32)
+        marks = np.zeros(len(counts) >> 5, np.uint16)
+        for (lot,) in _lots(batches, ("text",)):
+            b = Bits([(x or "").encode() for x in lot], size)
+            for at in b.parts():
+                bits, each = b.of(at)
+                for slots, line, mark in each:
+                    free = marks[line] == 0
+                    marks[line[free]] = mark[free]
+                    held = np.repeat(marks[line] == mark, 4)
+                    np.add.at(counts, 2 * slots[held] + bits[held], np.float32(1))
+        task = TaskContext.get().partitionId() if TaskContext.get() else 0
+        for i in range(len(counts) >> SLICE):
+            part, mark = counts[i << SLICE : (i + 1) << SLICE], marks[i << (SLICE - 5) : (i + 1) << (SLICE - 5)]
+            if mark.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([task], pa.int64()), pa.array([part.tobytes()]), pa.array([mark.tobytes()])], ["slice", "task", "counts", "marks"])
+
+    return run
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of equal slices, as half floats; a pair too large for these keeps its ratio."""
-    total: dict[int, np.ndarray] = {}
+    """Sums of equal slices, as half floats; a pair too large for these keeps its ratio.
+
+    Where tasks gave a line to different contexts, the one seen more often stays.
+    """
+    total: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
-        for i, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            c = np.frombuffer(counts, np.float32).astype(np.float64)
-            if i in total:
-                total[i] += c
-            else:
-                total[i] = c
-    for i, c in total.items():
+        for i, counts, marks in zip(*(batch.column(n).to_pylist() for n in ("slice", "counts", "marks")), strict=True):
+            c, m = np.frombuffer(counts, np.float32).astype(np.float64).reshape(-1, 32), np.frombuffer(marks, np.uint16).copy()
+            if i not in total:
+                total[i] = c, m
+                continue
+            sums, held = total[i]
+            same = m == held
+            sums[same] += c[same]
+            # Slot 1 holds a half byte's first bit: one count for each visit.
+            more = ~same & (c[:, 2:4].sum(1) > sums[:, 2:4].sum(1))
+            sums[more], held[more] = c[more], m[more]
+    for i, (c, m) in total.items():
         pairs = c.reshape(-1, 2)
         pairs *= np.minimum(1, 60_000 / np.maximum(pairs.max(1, keepdims=True), 1))
-        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([c.astype(np.float16).tobytes()])], ["slice", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([pairs.astype(np.float16).tobytes()]), pa.array([m.tobytes()])], ["slice", "counts", "marks"])
 
 
 class Speller:
     """Probabilities of texts. Weights: a row of len(ORDERS) + 1 for each gate; last: ones and bits seen."""
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, counts: np.ndarray, marks: np.ndarray | None = None):
+        self.marks = np.zeros(len(counts) >> 5, np.uint16) if marks is None else marks
         self.counts = counts.reshape(-1, 2)
+        self.size = (len(self.counts) // len(ORDERS)).bit_length() - 1
         self.weights = np.full((_GATES, len(ORDERS) + 1), 0.3, np.float32)
         self.weights[:, -1] = 0
         self.last = np.zeros((_GATES * _STEPS, 2))
 
-    def inputs(self, bits: np.ndarray, each: list[np.ndarray], learning: bool) -> tuple[np.ndarray, np.ndarray]:
+    def inputs(self, bits: np.ndarray, each: list[tuple[np.ndarray, np.ndarray, np.ndarray]], learning: bool) -> tuple[np.ndarray, np.ndarray]:
         """Stretched predictions (contexts + bias, bits), and the gate of each bit."""
         x = np.empty((len(ORDERS) + 1, len(bits)), np.float32)
         x[-1] = 0.3
         gate = np.zeros(len(bits), np.int64)
         one = bits.astype(np.float32)
-        for i, slots in enumerate(each):
+        for i, (slots, line, mark) in enumerate(each):
             seen = np.take(self.counts, slots, axis=0).astype(np.float32)
+            seen *= np.repeat(self.marks[line] == mark, 4)[:, None]  # nothing of other contexts
             zeros, ones = seen[:, 0], seen[:, 1]
             if learning:  # without the bit's own count
                 zeros, ones = np.maximum(zeros - (1 - one), 0), np.maximum(ones - one, 0)
@@ -231,7 +257,7 @@ class Speller:
 
     def learn(self, lot: list[bytes], rate: float) -> None:
         """Online steps of the mixer, and the last table's counts."""
-        b = Bits(lot)
+        b = Bits(lot, self.size)
         for at in b.parts():
             bits, each = b.of(at)
             x_all, gates = self.inputs(bits, each, True)
@@ -247,7 +273,7 @@ class Speller:
 
     def score(self, lot: list[bytes]) -> np.ndarray:
         """log10 of each text's probability. Weights start as learned and follow each text in steps of BLOCK bytes."""
-        b = Bits(lot)
+        b = Bits(lot, self.size)
         weights = np.tile(self.weights, (len(lot), 1))
         total = np.zeros(len(lot))
         for at in b.parts():
@@ -277,7 +303,7 @@ def _mixers(tables):
     """(i, x, n): weights and the last table as a task's part of the texts teaches them, as sums weighted by lots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller = Speller(tables.value)
+        speller = Speller(*tables.value)
         n = 0
         for (lot,) in _lots(batches, ("text",)):
             speller.learn([(x or "").encode() for x in lot], RATE / (1 + n / 200))
@@ -293,7 +319,7 @@ def _documents(head, tables, weights: np.ndarray, last: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, base_of, seen_of = head.value
-        speller = Speller(tables.value)
+        speller = Speller(*tables.value)
         speller.weights, speller.last = weights, last
         row = TaskContext.get().partitionId() << 33
         for ids, lot in _lots_of_texts(batches):
@@ -354,15 +380,19 @@ def scores(docs: DataFrame) -> DataFrame:
     n, distinct = facts.n, facts.types
 
     learned = docs.filter(learn).select("text")
-    sliced = learned.mapInArrow(_tables, "slice long, counts binary")
-    slices = 2 * len(ORDERS) << (BITS - SLICE)
-    merged = sliced.repartition(min(slices, int(spark.conf.get("spark.sql.shuffle.partitions"))), "slice").mapInArrow(_merged, "slice long, counts binary")
-    counts = np.zeros(2 * (len(ORDERS) << BITS), np.float16)
-    for r in merged.toLocalIterator():  # the tables' size is fixed
+    read = learned.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    bits = min(MOST, max(BITS, (read // 2).bit_length()))
+    sliced = learned.mapInArrow(_tables(bits), "slice long, task long, counts binary, marks binary")
+    slices = 2 * len(ORDERS) << (bits - SLICE)
+    merged = sliced.repartition(min(slices, int(spark.conf.get("spark.sql.shuffle.partitions"))), "slice").sortWithinPartitions("slice", "task").mapInArrow(_merged, "slice long, counts binary, marks binary")
+    counts = np.zeros(2 * (len(ORDERS) << bits), np.float16)
+    marks = np.zeros(len(counts) >> 5, np.uint16)
+    for r in merged.toLocalIterator():  # the tables' size is bounded by MOST
         counts[r.slice << SLICE : (r.slice + 1) << SLICE] = np.frombuffer(r.counts, np.float16)
-    tables = sc.broadcast(counts)
+        marks[r.slice << (SLICE - 5) : (r.slice + 1) << (SLICE - 5)] = np.frombuffer(r.marks, np.uint16)
+    tables = sc.broadcast((counts, marks))
     taught = learned.mapInArrow(_mixers(tables), "i long, x double, n long").groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect()
-    speller = Speller(counts)
+    speller = Speller(counts, marks)
     size = speller.weights.size
     body, lots = np.zeros(size + speller.last.size), max([1, *(r.n for r in taught)])
     for r in taught:

@@ -227,10 +227,28 @@ def test_scores_of_long_texts_and_ratios(monkeypatch):
     whole = s.score([long, b"x"])
     monkeypatch.setattr(scoring, "LOT", 100)
     assert np.allclose(s.score([long, b"x"]), whole)
-    part = pa.RecordBatch.from_arrays([pa.array([3]), pa.array([np.array([300_000, 100_000, 2, 1], np.float32).tobytes()])], ["slice", "counts"])
-    (out,) = scoring._merged(iter([part, part]))
+    part = lambda counts, mark: pa.RecordBatch.from_arrays([pa.array([3]), pa.array([np.array(counts + [0] * 26, np.float32).tobytes()]), pa.array([np.array([mark], np.uint16).tobytes()])], ["slice", "counts", "marks"])
+    (out,) = scoring._merged(iter([part([0, 0, 300_000, 100_000, 2, 1], 5), part([0, 0, 300_000, 100_000, 2, 1], 5), part([0, 0, 7, 9, 9, 9], 6)]))
     c = np.frombuffer(out.column(1)[0].as_py(), np.float16).astype(float)
-    assert abs(c[0] / c[1] - 3) < 0.01 and c[2:].tolist() == [4, 2]
+    assert abs(c[2] / c[3] - 3) < 0.01 and c[4:6].tolist() == [4, 2]
+
+
+def test_contexts_that_meet_are_kept_apart(monkeypatch):
+    """In tables far too small, a context that holds no line has no counts, instead of those of others."""
+    monkeypatch.setattr(scoring, "SLICE", 8)
+    r = random.Random(4)
+    text = "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(20_000))
+    texts = pa.RecordBatch.from_arrays([pa.array([text])], ["text"])
+    counts, marks = np.zeros(2 * (len(scoring.ORDERS) << 12), np.float32), np.zeros(len(scoring.ORDERS) << 8, np.uint16)
+    for out in scoring._tables(12)(iter([texts])):
+        i = out.column(0)[0].as_py()
+        counts[i << 8 : (i + 1) << 8] = np.frombuffer(out.column(2)[0].as_py(), np.float32)
+        marks[i << 3 : (i + 1) << 3] = np.frombuffer(out.column(3)[0].as_py(), np.uint16)
+    b = scoring.Bits(["".join(r.choice("0123456789") for _ in range(2000)).encode()], 12)
+    bits, each = b.of(np.arange(10, 2000))
+    x, _ = scoring.Speller(counts, marks).inputs(bits, each, False)
+    # Five digits were nowhere in the text.
+    assert np.mean(x[3] != 0) < 0.01
 
 
 def test_languages(spark, docs, empty):
