@@ -52,6 +52,33 @@ def best_overlap(steps: DataFrame, runs: DataFrame, key: str, width: int) -> Dat
     return best.select(key, F.col("bid").alias("run"), (-F.col("x.col3")).alias("step"), F.col("x.overlap").alias("overlap"))
 
 
+def nearest(asked: DataFrame, pool: DataFrame, v: str) -> DataFrame:
+    """``asked`` with low and high: the pool's nearest values at or below and at or above each row's ``v``; null where there is none.
+
+    Both sides are stacked and cut into ranges at quantiles; each range is sorted by itself, and
+    what it lacks comes from the nearest ranges that hold a pool value (one row a range).
+    """
+    spark = asked.sparkSession
+    cols = asked.columns
+    values = pool.select(F.col(v).cast("double").alias("__v")).filter("__v is not null").distinct()
+    both = asked.select(F.col(v).cast("double").alias("__v"), F.struct(*cols).alias("__row"), F.lit(None).cast("double").alias("__pool"))
+    both = both.unionByName(values.select("__v", F.lit(None).cast(both.schema["__row"].dataType).alias("__row"), F.col("__v").alias("__pool")))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted(set(both.approxQuantile("__v", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
+    cut = lambda x: F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= x)) if cuts else F.lit(0)
+    ends = {r.at: (r.low, r.high) for r in values.groupBy(cut(F.col("__v")).alias("at")).agg(F.min("__v").alias("low"), F.max("__v").alias("high")).collect()}
+    below = [max((ends[j][1] for j in ends if j < i), default=None) for i in range(len(cuts) + 1)]
+    above = [min((ends[j][0] for j in ends if j > i), default=None) for i in range(len(cuts) + 1)]
+    pick = lambda xs: F.element_at(F.array(*(F.lit(x).cast("double") for x in xs)), F.col("__at") + 1)
+    w = Window.partitionBy("__at").orderBy("__v")  # equal values are peers
+    low = F.coalesce(F.max("__pool").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)), pick(below))
+    high = F.coalesce(F.min("__pool").over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing)), pick(above))
+    known = both.filter("__v is not null").withColumn("__at", cut(F.col("__v"))).withColumn("low", low).withColumn("high", high).filter("__row is not null")
+    none = both.filter("__v is null and __row is not null").withColumn("low", F.lit(None).cast("double")).withColumn("high", F.lit(None).cast("double"))
+    out = known.select("__row", "low", "high").unionByName(none.select("__row", "low", "high"))
+    return out.select(*(F.col(f"__row.{c}").alias(c) for c in cols), "low", "high")
+
+
 def quantile(column: str, q: float) -> Column:
     """With linear interpolation."""
     return F.percentile(column, q)

@@ -299,16 +299,35 @@ def money_tokens(spark, sf_dir):
     " SELECT k.v, min(abs(pool - k.v)) AS gap, min(abs(pool - k.v)) <= 0.5 AS backed FROM k, p GROUP BY 1"
 )
 def prose_backing(spark, sf_dir):
-    """Numbers in prose against a pool of values: the nearest one below and above, by one sorted pass each."""
+    """Whole numbers of up to three digits in prose, as its SQL has them, against a pool of values. ``prose_backing_all`` takes every number."""
     x = F.explode(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0)))
     k = t(spark, sf_dir, "documents").select(x.alias("x")).filter("length(x) <= 3").select(F.col("x").cast("double").alias("v")).distinct()
-    pool = t(spark, sf_dir, "part").select(F.col("p_size").cast("double").alias("v")).distinct().select("v", F.col("v").alias("pool"))
-    # Buckets of one hundred keep each sort small.
-    both = k.select("v", F.lit(None).cast("double").alias("pool"), F.lit(True).alias("asked")).unionByName(pool.select("v", "pool", F.lit(False).alias("asked")))
-    w = Window.orderBy("v", "asked")
-    near = both.withColumn("low", F.last("pool", True).over(w)).withColumn("high", F.first("pool", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    gap = F.least(F.abs(F.col("v") - F.col("low")), F.abs(F.col("high") - F.col("v")))
-    return near.filter("asked").select("v", gap.alias("gap"), (gap <= 0.5).alias("backed"))
+    pool = t(spark, sf_dir, "part").select(F.col("p_size").cast("double").alias("v"))
+    return _backing(k, pool)
+
+
+def _backing(asked: DataFrame, pool: DataFrame) -> DataFrame:
+    """``asked`` with the distance of v to the nearest pool value, and whether that is 0.5 at most."""
+    gap = F.least(F.col("v") - F.col("low"), F.col("high") - F.col("v"))
+    return intervals.nearest(asked, pool, "v").select(*asked.columns, gap.alias("gap"), (gap <= 0.5).alias("backed"))
+
+
+_NUMBER = "^([0-9]+|[0-9]{1,3}(,[0-9]{3})+)([.][0-9]+)?$"
+
+
+@query(
+    "WITH k AS (SELECT DISTINCT x AS token, CASE WHEN regexp_matches(x, '" + _NUMBER + "') THEN CAST(replace(x, ',', '') AS DOUBLE) END AS v"
+    " FROM (SELECT unnest(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*')) AS x FROM documents)),"
+    " p AS (SELECT DISTINCT CAST(p_size AS DOUBLE) AS pool FROM part),"
+    " n AS (SELECT k.token, k.v, least(k.v - a.pool, b.pool - k.v) AS gap FROM k ASOF LEFT JOIN p a ON k.v >= a.pool ASOF LEFT JOIN p b ON k.v <= b.pool)"
+    " SELECT token, v, gap, gap <= 0.5 AS backed FROM n"
+)
+def prose_backing_all(spark, sf_dir):
+    """All numbers in prose, with groups and decimals, against a pool of values. Tokens that are not one number (dates, addresses) have a null v."""
+    x = F.explode(F.regexp_extract_all("text", F.lit("[0-9]+(?:[.,][0-9]+)*"), F.lit(0)))
+    k = t(spark, sf_dir, "documents").select(x.alias("token")).distinct()
+    k = k.withColumn("v", F.when(F.col("token").rlike(_NUMBER), F.regexp_replace("token", ",", "").cast("double")))
+    return _backing(k, t(spark, sf_dir, "part").select(F.col("p_size").cast("double").alias("v")))
 
 
 # Lineage

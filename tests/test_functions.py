@@ -91,3 +91,23 @@ def test_entry():
 
     assert "resolve_summary" in e.queries()
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_prose_backing_takes_every_number(spark, tmp_path):
+    from tally.plans import analytics
+
+    text = "In 2024, 1,204 of 12.50 and 7 or 50,000.4; see 192.0.2.1, 1,2 and 48454"
+    spark.createDataFrame([(1, text), (2, None), (3, "7")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(x,) for x in (7, 12, 2024, 50_000, None)], "p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.token: (r.v, r.gap, r.backed) for r in analytics.prose_backing_all(spark, str(tmp_path)).collect()}
+    assert set(got) == {"2024", "1,204", "12.50", "7", "50,000.4", "192.0.2.1", "1,2", "48454"}
+    assert got["2024"] == (2024.0, 0.0, True) and got["12.50"] == (12.5, 0.5, True) and got["192.0.2.1"] == got["1,2"] == (None, None, None)
+    assert got["1,204"] == (1204.0, 820.0, False) and got["48454"] == (48454.0, 1546.0, False) and got["50,000.4"][2]
+
+
+def test_nearest(spark):
+    pool, asked = [3.0, 9.0, 9.5, 700.0], [float(x) for x in range(-5, 1000, 3)] + [9.0, 9.0]
+    got = intervals.nearest(spark.createDataFrame([(x,) for x in asked], "v double"), spark.createDataFrame([(x,) for x in pool], "v double"), "v").collect()
+    assert len(got) == len(asked)
+    for r in got:
+        assert r.low == max((x for x in pool if x <= r.v), default=None) and r.high == min((x for x in pool if x >= r.v), default=None)
