@@ -24,8 +24,10 @@ from .common import remainder, short_batches
 
 #: State size of each direction, bytes of a window, windows computed at once.
 HIDDEN, WINDOW, COLUMNS = 8, 64, 2048
-#: Training: documents of each language (a sample chosen by a hash of the id), languages, steps, windows a step.
-SAMPLE, LANGUAGES, STEPS, BATCH = 400, 64, 260, 160
+#: Training: documents of each language (a sample chosen by a hash of the id), steps, windows a step.
+SAMPLE, STEPS, BATCH = 400, 260, 160
+#: Languages that STEPS teach; more take steps in proportion, and fewer windows at once.
+LANGUAGES = 64
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -110,7 +112,8 @@ class Network:
         r = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
-        for step in range(1, STEPS + 1):
+        steps = -(-STEPS * max(LANGUAGES, len(self.languages)) // LANGUAGES)
+        for step in range(1, steps + 1):
             pick = r.integers(0, len(windows), BATCH)
             x, y = np.ascontiguousarray(windows[pick].T), labels[pick]
             prob, flat, kf, kb = self.positions(x, True)
@@ -122,7 +125,7 @@ class Network:
             back = (self.p["o"].T @ d).reshape(2 * HIDDEN, WINDOW, BATCH).transpose(1, 0, 2)
             g["wf"], g["uf"] = _back(x, self.p["uf"], kf, np.ascontiguousarray(back[:, :HIDDEN]))
             g["wb"], g["ub"] = _back(x[::-1], self.p["ub"], kb, np.ascontiguousarray(back[::-1, HIDDEN:]))
-            rate = 0.02 * (1 - step / (STEPS + 1)) + 0.001
+            rate = 0.02 * (1 - step / (steps + 1)) + 0.001
             for k in self.p:
                 m[k] += 0.1 * (g[k] - m[k])
                 s[k] += 0.005 * (g[k] ** 2 - s[k])
@@ -137,13 +140,14 @@ class Network:
         last = np.repeat(offsets[1:], many)
         total, letters = np.zeros((len(sizes), len(self.languages))), np.zeros(len(sizes))
         steps = np.arange(WINDOW)[:, None]
-        for at in range(0, len(doc), COLUMNS):
-            place = first[at : at + COLUMNS][None, :] + steps
-            inside = place < last[at : at + COLUMNS][None, :]
+        columns = max(1, COLUMNS * LANGUAGES // max(LANGUAGES, len(self.languages)))
+        for at in range(0, len(doc), columns):
+            place = first[at : at + columns][None, :] + steps
+            inside = place < last[at : at + columns][None, :]
             x = np.where(inside, _FOLD[data[np.minimum(place, len(data) - 1)]], 0).astype(np.uint8)
             prob = self.positions(x)[0].reshape(len(self.languages), WINDOW, -1)
             weight = _IS_LETTER[x]
-            here = doc[at : at + COLUMNS]
+            here = doc[at : at + columns]
             starts = np.flatnonzero(np.r_[True, here[1:] != here[:-1]])
             total[here[starts]] += np.add.reduceat((prob * weight).sum(1), starts, axis=1).T
             letters[here[starts]] += np.add.reduceat(weight.sum(0), starts)
@@ -153,16 +157,17 @@ class Network:
 def fit(docs: DataFrame) -> Network:
     """Trains on about SAMPLE documents of each language, of those whose crc32(doc_id) modulo 4 is not 2.
 
-    The LANGUAGES most frequent languages are learned.
+    Every language of these is learned.
     """
     known = docs.select("doc_id", "text", "lang").filter("doc_id is not null and text is not null and lang is not null and length(text) > 0")
     known = known.filter(remainder(F.col("doc_id"), 4) != 2)
-    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return Network([])
     share = F.broadcast(docs.sparkSession.createDataFrame([(k, min(1.0, SAMPLE / n)) for k, n in counts.items()], "lang string, share double"))
     picked = known.join(share, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
     languages = sorted(counts)
+    number = {x: i for i, x in enumerate(languages)}
     windows, labels = [], []
     r = np.random.default_rng(5)
     taken = dict.fromkeys(languages, 0)
@@ -173,7 +178,7 @@ def fit(docs: DataFrame) -> Network:
         data = _FOLD[np.frombuffer(row.text.encode(), np.uint8)]
         for at in r.integers(0, max(1, len(data) - WINDOW + 1), 12):
             windows.append(np.pad(data[at : at + WINDOW], (0, max(0, WINDOW - len(data[at : at + WINDOW])))))
-            labels.append(languages.index(row.lang))
+            labels.append(number[row.lang])
     net = Network(languages)
     labels = np.array(labels)
     # Languages count alike, however many documents each has.

@@ -265,6 +265,22 @@ def test_languages(spark, docs, empty):
     assert language.languages(empty).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    """More languages than a round number of them, the small ones too."""
+    r = random.Random(6)
+    names = [f"l{i:02d}" for i in range(70)]
+    rows = []
+    for i, name in enumerate(names):
+        letters = [chr(0x4E00 + 64 * i + k) for k in range(20)]
+        for _ in range(24 if i < 64 else 12):
+            rows.append((len(rows), " ".join("".join(r.choice(letters) for _ in range(3)) for _ in range(30)), name))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language.fit(docs).languages == names
+    got = {x.doc_id: x.lang_pred for x in language.languages(docs).collect()}
+    small = [(got[i], lang) for i, _, lang in rows if lang >= "l64"]
+    assert np.mean([a == b for a, b in small]) > 0.5
+
+
 def test_pieces(spark, docs, empty):
     import sentencepiece
 
