@@ -134,6 +134,7 @@ class PieceModel:
         self.cut = None if inside or user else re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if lone_line else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.normal = {t: str(i) for t, i in self.ids.items() if self.kinds[i] == NORMAL}
         self.known: dict[str, tuple[int, str, str]] = {}
+        self.cut_known: dict[str, tuple[list[int], list[int]]] = {}
 
     def normalised(self, text: str) -> tuple[str, list[int]]:
         """The normalised text, and for each of its characters and its end the source byte it starts at."""
@@ -266,13 +267,22 @@ class PieceModel:
             found = list(map(self.known.__getitem__, cut))
         return found
 
+    def cut_pieces(self, word: str) -> tuple[list[int], list[int]]:
+        """``pieces``, remembered."""
+        found = self.cut_known.get(word)
+        if found is None:
+            if len(self.cut_known) > REMEMBERED:
+                self.cut_known.clear()
+            found = self.cut_known[word] = self.pieces(word)
+        return found
+
     def encode(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
         """Ids and the source byte span of each. The bytes of one character share its span; a dummy prefix adds nothing."""
         normal, source = self.normalised(text)
         ids: list[int] = []
         spans: list[tuple[int, int]] = []
         at = 0
-        for of, sizes in map(self.pieces, self.cuts(normal)):
+        for of, sizes in map(self.cut_pieces, self.cuts(normal)):
             ids += of
             start = at
             waiting = 0
@@ -344,6 +354,16 @@ class PieceModel:
         return "".join(out)
 
 
+def covered(spans: list[tuple[int, int]]) -> int:
+    """Bytes in the union of spans, which come by their starts."""
+    total = reach = 0
+    for a, b in spans:
+        if b > reach:
+            total += b - (a if a > reach else reach)
+            reach = b
+    return total
+
+
 _LOADED: dict[str, PieceModel] = {}
 
 
@@ -364,8 +384,8 @@ def _digests(path: str):
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
-                n, ids, decoded, covered = model.text_ids(text or "")
-                rows.append((n, _sha(ids), _sha(decoded), covered))
+                ids, spans = model.encode(text or "")
+                rows.append((len(ids), _sha(",".join(map(str, ids))), _sha(model.decode(ids)), covered(spans)))
             kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes"])
 
@@ -375,7 +395,7 @@ def _digests(path: str):
 def piece_digests(docs: DataFrame, model: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, covered_bytes), a row for each row of ``docs`` (doc_id, text).
 
-    covered_bytes: the source bytes that the pieces' spans cover. A null text counts as empty: no ids,
+    covered_bytes: the source bytes in the union of the pieces' spans. A null text counts as empty: no ids,
     and the digests of the empty string. Repeated rows and null ids stay as they are.
     """
     short_batches(docs.sparkSession)

@@ -304,6 +304,18 @@ def test_pieces(spark, docs, empty):
     assert back.first().text == TEXTS[11]
 
 
+def test_digests_come_from_spans_and_ids(monkeypatch):
+    """A lost span shows in covered_bytes, and a changed id in the decoded text."""
+    batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array(["naïve words € and more"])], ["doc_id", "text"])
+    run = pieces._digests(piece_model_path())
+    (whole,) = (b.to_pylist()[0] for b in run(iter([batch])))
+    encode = pieces.PieceModel.encode
+    monkeypatch.setattr(pieces.PieceModel, "encode", lambda self, t: tuple(x[:-1] for x in encode(self, t)))
+    (less,) = (b.to_pylist()[0] for b in run(iter([batch])))
+    assert whole["covered_bytes"] == len("naïve words € and more".encode()) > less["covered_bytes"]
+    assert whole["decoded_sha256"] != less["decoded_sha256"] and whole["n_tokens"] == less["n_tokens"] + 1
+
+
 def test_licenses(docs, empty):
     got = {r.doc_id: r for r in licenses.license_scan(docs).collect()}
     for i, t in enumerate(TEXTS):
