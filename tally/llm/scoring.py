@@ -1,28 +1,38 @@
 """Language-model scores by online logistic context mixing.
 
-A text's bytes, and one end after them, are predicted bit by bit from what stands before them in the text:
+A text's tokens are its words, lower-cased, then one end. The model predicts their bytes (a word's
+own and a space after it; the end is a line feed), bit by bit, from what stands before them:
 
-* Hashed contexts (the last one, two, three and five bytes, the word so far, and that with the
-  word before it; they reach over word ends) each give a prediction from their counts of zeros
-  and ones in all training texts.
+* Hashed contexts give a prediction each, from their counts of zeros and ones in all training
+  texts: the last byte; the last two; the last three; the word so far; and the word so far with
+  the last frequent word before it, however far back that stands (it tells language and kind).
 * A logistic mixer adds these in the logistic domain, with weights that a gate chooses by how
-  much the longer contexts have been seen. Weights are learned online over the training texts,
-  a bit's own count left out, and refined online inside each text, block by block.
+  often the last two contexts have been seen. Weights are learned online, a position's own count
+  left out, and go on from bit to bit.
 * A last table maps the mixed probability, by gate, to how often such bits were ones.
 
-Each bit's probability follows from earlier bits only, so a text's score is the log of a true
-probability, and its bits per byte follow. Beside it stands a base score from word counts:
-words, lower-cased, then one end.
-
-Counts are gathered over all training texts: words by a distributed count, contexts as tables that
-tasks fill and merge by slice; their size follows the training texts' bytes up to 2^MOST slots,
-and a mark of the context's hash keeps those that meet in one line of slots apart. A text's frequent
-words (HEAD of them, a broadcast of bounded size) are looked up where it lies; its other words,
-counted, meet the vocabulary in a join.
+Every probability depends on earlier bytes only, so a text's score is the log of a true
+probability, and its bits per byte follow. Beside it stands a base score from word counts.
+
+How it is spread. A position's bits depend on two things: its word and the frequent word before. So
+the work is done once for each distinct pair of these, whose number grows much slower than the
+texts. Pairs with their counts are a distributed table. It is cut into buckets by the words' first
+bytes (two, and more where very many pairs share these), so that a bucket holds all that is to be counted for the
+word-so-far contexts of its words: sorted, these counts are sums over runs of words, exact, and
+grow with the input. Mixer and last table are learned for each bucket, in the order of its sorted
+words; a bucket is fixed by bytes that are already predicted, and by nothing of the cluster, so the
+number of tasks changes no score. The first bytes are predicted in the same way, from one bucket of
+beginnings. Contexts of the last bytes are finite in number and have tables of fixed size.
+
+Texts then sum their pairs' scores: the most frequent words' are broadcast (HEAD words, which bounds
+the broadcast and changes no result), the others' joined. Words over 63 bytes are predicted in
+pieces of 64 bytes, texts are read in pieces of CHUNK bytes, so neither needs memory for its length.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,25 +44,30 @@ from pyspark.sql import functions as F
 
 from .common import remainder, short_batches, written
 
-#: Contexts: bytes before the current one; 99: all of the word; 100: and the word before it.
-ORDERS = (1, 2, 3, 5, 99, 100)
-#: Slots of each context's table at least and at most, as powers of two, and of the slices in which tables are merged.
-BITS, MOST, SLICE = 20, 22, 16
-#: Frequent words that every task knows.
+#: Frequent words that contexts know; classes: none of them yet, each, and that a piece of a long word came before.
+FREQUENT = 32
+CONTINUED, LONG = FREQUENT + 1, FREQUENT + 2
+KINDS = LONG + 1
+#: Bytes of a piece.
+PIECE = 64
+#: Words whose scores every task knows.
 HEAD = 1 << 18
-#: Words that a task counts before it passes the counts on.
-COUNTED = 200_000
-#: Bytes that are predicted at once; rate of the mixer and bits of its steps; bytes of a text between its own steps, and their rate.
-LOT, RATE, STEP = 1 << 15, 0.02, 1 << 13
-BLOCK, OWN_RATE = 32, 0.006
+#: Words that a task counts before it passes the counts on; bytes that a task reads at once.
+COUNTED, CHUNK = 300_000, 1 << 22
+#: Pairs of a bucket, about; pairs that may share a beginning before it is lengthened.
+BUCKET, SHARED = 1 << 17, 1 << 19
+#: Slots of the tables for one, two and three bytes; slots of a part in which they are merged.
+SIZES = (1 << 16, 1 << 22, 1 << 22)
+SLICE = 1 << 16
+#: Inputs of the mixer: three tables, two word contexts, bias. Rows of an online step.
+INPUTS, STEP = 6, 1 << 13
+_LEVELS, _STEPS = 6, 33
+_GATES = _LEVELS * _LEVELS
+#: Added to counts of zeros and ones.
+SMALL = 0.02
 END = b"\n"
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_GATES, _STEPS = 5 * 5, 33
-#: Ends a text's bytes; no text has it.
-LAST = b"\xff"
-#: A factor of the words' hashes and its inverse modulo 2^64.
-_UP = np.uint64(0x9E3779B97F4A7C15)
-_DOWN = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_GAPS = b" \t\n\x0b\x0c\r"
 
 
 def tokens(text: str) -> list[bytes]:
@@ -60,364 +75,526 @@ def tokens(text: str) -> list[bytes]:
     return text.encode().translate(_LOWER).split()
 
 
-def _counted(classes: int):
-    """(word, total, c0, c1, ...): partial counts of (text, class); class: -2 not learned from, -1 no class of its own."""
+def chunks(text: str | None) -> Iterator[bytes]:
+    """A text's bytes, lower-cased, in pieces of about CHUNK that end where words do."""
+    data = (text or "").encode().translate(_LOWER)
+    first = 0
+    while len(data) - first > CHUNK:
+        last = first + CHUNK
+        while last < len(data) and data[last] not in _GAPS:
+            last += 1
+        yield data[first:last]
+        first = last
+    yield data[first:]
+
+
+def digest(word: bytes) -> bytes:
+    """Stands for a long word among the pairs; no word begins with 0xFF."""
+    return b"\xff" + hashlib.sha256(word).digest()
+
+
+class Tokens:
+    """The tokens of a lot of texts, as numbers of their own vocabulary, with the frequent word before each."""
+
+    def __init__(self, frequent: dict[bytes, int]):
+        self.frequent = frequent
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.ranks: list[int] = []
+
+    def number(self, word: bytes) -> int:
+        at = self.place.get(word)
+        if at is None:
+            at = self.place[word] = len(self.place)
+            self.ranks.append(self.frequent.get(word, 0))
+        return at
+
+    def lot(self, pieces: list[tuple[int, bytes, bool]], before: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(word, class, row) of all tokens of (row, bytes, whether the text ends here), and the class after them."""
+        get, number = self.place.get, self.number
+        flat: list[int] = []
+        sizes, rows = [], []
+        continued = []
+        for row, data, ends in pieces:
+            words = data.split()
+            if len(data) >= PIECE and max(map(len, words), default=0) >= PIECE:
+                at = len(flat)
+                for w in words:
+                    if len(w) < PIECE:
+                        flat.append(number(w + b" "))
+                        continue
+                    spelled = w + b" "
+                    for i in range(0, len(spelled), PIECE):
+                        if i:
+                            continued.append(len(flat))
+                        flat.append(number(spelled[i : i + PIECE]))
+                    continued.append(~len(flat))
+                    flat.append(number(digest(w)))
+                sizes.append(len(flat) - at + ends)
+            else:
+                found = [get(w + b" ") for w in words]
+                if None in found:
+                    found = [number(w + b" ") if i is None else i for w, i in zip(words, found, strict=True)]
+                flat += found
+                sizes.append(len(found) + ends)
+            if ends:
+                flat.append(number(END))
+            rows.append(row)
+        word = np.array(flat, np.int64)
+        row = np.repeat(np.array(rows, np.int64), sizes)
+        new = np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, bool)
+        at = np.arange(len(word))
+        start = np.maximum.accumulate(np.where(new, at, 0))
+        rank = np.array(self.ranks, np.int64)[word] if len(word) else word
+        last = np.r_[-1, np.maximum.accumulate(np.where(rank > 0, at, -1))[:-1]] if len(word) else at
+        kind = np.where(last >= start, rank[np.maximum(last, 0)] if len(word) else at, 0)
+        if before >= 0:  # the first row goes on from the lot before
+            kind[(start == 0) & (last < 0)] = before
+        after = int(rank[-1] or kind[-1]) if len(word) else before
+        if continued:
+            of = np.array(continued)
+            kind[of[of >= 0]] = CONTINUED
+            kind[~of[of < 0]] = LONG
+        return word, kind, row, after
+
+
+def _lots(batches: Iterator[pa.RecordBatch], tokens_: Tokens, number: int) -> Iterator[tuple]:
+    """(batch's other columns by row, word, class, row) of texts in the first column, in lots of about CHUNK bytes."""
+    held: list[tuple[int, bytes, bool]] = []
+    others: dict[int, tuple] = {}
+    size, before, row = 0, -1, number
+    for batch in batches:
+        for text, *other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            row += 1
+            parts = chunks(text)
+            part = next(parts)
+            while part is not None:
+                following = next(parts, None)
+                held.append((row, part, following is None))
+                others[row] = tuple(other)
+                size += len(part)
+                if size >= CHUNK:
+                    *found, before = tokens_.lot(held, before)
+                    yield others, *found
+                    if following is None:
+                        before = -1
+                    held, others, size = [], {}, 0
+                part = following
+    if held:
+        yield others, *tokens_.lot(held, before)[:3]
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n): partial counts of words that fit in one piece."""
+    counts: Counter = Counter()
+
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            for part in chunks(text):
+                counts.update(part.split())
+            if len(counts) > COUNTED:
+                yield flush()
+                counts = Counter()
+    yield flush()
+
+
+def _pairs(frequent: dict[bytes, int]):
+    """(spelled, kind, n) of (text, learn): partial counts of pairs, n of them in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: list[Counter] = [Counter() for _ in range(classes + 2)]
+        found = Tokens(frequent)
+        total: dict[int, int] = {}
 
         def flush() -> pa.RecordBatch:
-            every = list(set().union(*counts))
-            columns = [pa.array([get(w, 0) for w in every], pa.int64()) for get in (c.get for c in counts)]
-            return pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), *columns], ["word", *(f"c{i}" for i in range(classes + 2))])
-
-        for batch in batches:
-            for text, of in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                into = counts[of]
-                into.update(tokens(text or ""))
-                into[END] += 1
-                if sum(map(len, counts)) > COUNTED:
-                    yield flush()
-                    counts = [Counter() for _ in range(classes + 2)]
+            keys = np.fromiter(total, np.int64, len(total))
+            words = np.array([*found.place, b""], object)[keys // KINDS]
+            columns = [pa.array(words, pa.binary()), pa.array((keys % KINDS).astype(np.int32)), pa.array(np.fromiter(total.values(), np.int64, len(total)))]
+            return pa.RecordBatch.from_arrays(columns, ["spelled", "kind", "n"])
+
+        for others, word, kind, row in _lots(batches, found, -1):
+            if not len(word):
+                continue
+            first = int(row[0])
+            learn = np.array([others.get(r, (False,))[0] for r in range(first, int(row[-1]) + 1)], bool)
+            key, at = np.unique(word * KINDS + kind, return_inverse=True)
+            n = np.bincount(at, learn[row - first], len(key)).astype(np.int64)
+            for k, c in zip(key.tolist(), n.tolist(), strict=True):
+                total[k] = total.get(k, 0) + c
+            if len(total) > COUNTED:
+                yield flush()
+                total.clear()
+                found.clear()
         yield flush()
 
     return run
 
 
-class Bits:
-    """The bytes of a lot of texts, with the hash of each one's contexts. Bits are made of a part at once, as texts may be long."""
-
-    def __init__(self, lot: list[bytes], size: int):
-        self.size = size
-        spelled = [x + LAST for x in lot]
-        sizes = np.array([len(x) for x in spelled])
-        data = np.frombuffer(b"".join(spelled), np.uint8).astype(np.uint64)
-        self.text = np.repeat(np.arange(len(lot)), sizes)
-        start = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        at = np.arange(len(data))
-        self.place = at - start
-        self.data = data
-        before, hashes = np.zeros(len(data), np.uint64), {}
-        for back in range(1, 6):
-            before |= np.where(self.place >= back, data[np.maximum(at - back, 0)], np.uint64(0)) << np.uint64(8 * (back - 1))
-            hashes[back] = before.copy()
-        hashes[99], hashes[100] = self._words(data, start, at)
-        self.hashes = [hashes[order] for order in ORDERS]
-
-    def parts(self) -> Iterator[np.ndarray]:
-        """All bytes' numbers, by the blocks of their texts, in parts of about LOT that end where blocks do."""
-        block = self.place // BLOCK
-        order = np.argsort(block, kind="stable")
-        ends = np.cumsum(np.bincount(block))
-        first = 0
-        for end in ends.tolist():
-            if end - first >= LOT or end == len(order):
-                yield order[first:end]
-                first = end
-
-    def of(self, at: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-        """The bits of some bytes, and for each context their slots, the lines of 16 slots of each half byte, and its mark there."""
-        data = self.data[at]
-        bits = ((data[:, None] >> np.arange(7, -1, -1, dtype=np.uint64)[None, :]) & np.uint64(1)).astype(np.uint8).ravel()
-        # The nodes of a half byte's bits, beside each other: 1, then the bits so far behind a one.
-        high, low = data >> np.uint64(4), data & np.uint64(15)
-        nodes = np.stack([(x[:, None] | np.uint64(16)) >> np.arange(4, 0, -1, dtype=np.uint64)[None, :] for x in (high, low)], 1)
-        slots = []
-        for k, hashes in enumerate(self.hashes):
-            h = (hashes[at] + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(32)
-            key = np.stack([h, h + (high + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)], 1) * np.uint64(0xBF58476D1CE4E5B9)
-            key ^= key >> np.uint64(29)
-            key *= np.uint64(0x94D049BB133111EB)
-            mark = np.maximum((key >> np.uint64(20)) & np.uint64(0xFFFF), 1).astype(np.uint16)
-            line = (key >> np.uint64(64 - self.size + 4)) + np.uint64(k << (self.size - 4))
-            slots.append((((line << np.uint64(4))[:, :, None] + nodes).ravel().view(np.int64), line.ravel().view(np.int64), mark.ravel()))
-        return bits, slots
+class Bucket:
+    """Distinct (spelled word, class) pairs, sorted by both, with counts; bits of words from byte ``first`` on."""
+
+    def __init__(self, spelled: list[bytes], kind: np.ndarray, n: np.ndarray, first: np.ndarray):
+        new = np.array([True, *(a != b for a, b in zip(spelled, spelled[1:], strict=False))], bool)[: len(spelled)]
+        self.of = np.cumsum(new) - 1
+        self.starts = np.flatnonzero(new)
+        words = [spelled[i] for i in self.starts]
+        self.n = n.astype(np.float64)
+        self.c = np.add.reduceat(self.n, self.starts) if len(words) else np.zeros(0)
+        self.bytes = np.frombuffer(b"".join([w.ljust(PIECE, b"\0") for w in words]), np.uint8).reshape(-1, PIECE)
+        self.sizes = np.array([len(w) for w in words], np.int64)
+        self.first = first[self.starts] if len(words) else first
+        self.alike = self._alike(self.bytes[:-1], self.bytes[1:])
+        self.order = np.lexsort((self.of, kind))
+        by = self.of[self.order]
+        self.alike_kind = self._alike(self.bytes[by[:-1]], self.bytes[by[1:]])
+        if len(by):
+            self.alike_kind[1:][np.diff(kind[self.order]) != 0] = -1
 
     @staticmethod
-    def _words(data: np.ndarray, start: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the word before each byte, as far as it has come, and of it and the word before it."""
-        gap = (data == 32) | ((data >= 9) & (data <= 13))
-        first = np.maximum.accumulate(np.where((at == start) | np.r_[True, gap[:-1]], at, 0))
-        up, down = np.full(len(data), _UP), np.full(len(data), _DOWN)
-        up[0] = down[0] = 1
-        up, down = np.cumprod(up), np.cumprod(down)
-        total = np.cumsum((data + np.uint64(1)) * up)
-        total = np.r_[np.uint64(0), total[:-1]]
-        word = (total - total[first]) * down[first]
-        word ^= word >> np.uint64(31)
-        former = np.where(first > start, word[np.maximum(first - 1, 0)], np.uint64(0))
-        return word, word + (former + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-def _lots(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple]:
-    """The rows of batches in lots of about LOT bytes."""
-    held: list[list] = [[] for _ in names]
-    size = 0
-    for batch in batches:
-        for row in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
-            for h, x in zip(held, row, strict=True):
-                h.append(x)
-            size += len(row[0] or "") + 1
-            if size >= LOT:
-                yield tuple(held)
-                held, size = [[] for _ in names], 0
-    if held[0]:
-        yield tuple(held)
+    def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Equal leading bytes of each word and the one before it."""
+        if not len(a):
+            return np.full(1, -1)
+        unlike = a != b
+        return np.r_[-1, np.where(unlike.any(1), unlike.argmax(1), PIECE)]
+
+    def depths(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each byte's number, and the words that have to be predicted there."""
+        for d in range(int(self.sizes.max(initial=0))):
+            active = np.flatnonzero((self.first <= d) & (d < self.sizes))
+            if len(active):
+                yield d, active
+
+    def slots(self, d: int, active: np.ndarray) -> list[np.ndarray]:
+        """Each table's slot before the node within the byte is added (spaces stand before a word)."""
+        b1, b2, b3 = (self.bytes[active, d - k].astype(np.int64) if d >= k else np.full(len(active), 32) for k in (1, 2, 3))
+        return [b1 << 8, ((b2 << 8 | b1) << 8), ((b3 << 16 | b2 << 8 | b1) << 8)]
 
+    @staticmethod
+    def slot(table: int, base: np.ndarray, node: np.ndarray) -> np.ndarray:
+        if not table:
+            return base + node
+        key = (base + node).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (key >> np.uint64(42)).astype(np.int64) + sum(SIZES[:table])
+
+    def count(self, counts: np.ndarray) -> None:
+        """Adds all bits of all words to (zeros, ones) of the tables."""
+        for d, active in self.depths():
+            byte, c = self.bytes[active, d].astype(np.int64), self.c[active]
+            seen = c > 0
+            byte, c = byte[seen], c[seen].astype(np.float32)
+            bases = [b[seen] for b in self.slots(d, active)]
+            for j in range(8):
+                node, bit = 1 << j | byte >> (8 - j), byte >> (7 - j) & 1
+                for t, base in enumerate(bases):
+                    np.add.at(counts, 2 * self.slot(t, base, node) + bit, c)
 
-def _tables(size: int):
-    """(slice, task, counts, marks): zeros and ones, side by side, of the bits of (text), in tables of 2^size slots.
+    @staticmethod
+    def _runs(c: np.ndarray, bit: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Zeros and ones of each element's run."""
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.r_[starts, len(c)])
+        every, ones = np.add.reduceat(c, starts), np.add.reduceat(c * bit, starts)
+        return np.repeat(every - ones, sizes), np.repeat(ones, sizes)
+
+    def bits(self, counts: np.ndarray, learning: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, bits, inputs, gates) of each bit's place. Learning: without the position's own count."""
+        pairs = counts.reshape(-1, 2)
+        for d, active in self.depths():
+            mark = np.full(len(self.sizes), -1)
+            mark[active] = np.arange(len(active))
+            rows = np.flatnonzero(mark[self.of] >= 0)
+            up = mark[self.of[rows]]
+            ranked = self.order[mark[self.of[self.order]] >= 0]
+            back = np.empty(len(self.of), np.int64)
+            back[ranked] = np.arange(len(ranked))
+            back = back[rows]
+            byte = self.bytes[active, d].astype(np.int64)
+            byte_kind = byte[mark[self.of[ranked]]]
+            new = self.alike[active] < d
+            new[0] = True
+            new_kind = self.alike_kind[np.flatnonzero(mark[self.of[self.order]] >= 0)] < d
+            new_kind[0] = True
+            bases, c, n = self.slots(d, active), self.c[active], self.n[ranked]
+            own = learning * 1.0
+            x = np.empty((INPUTS, len(rows)), np.float32)
+            x[-1] = 0.3
+            for j in range(8):
+                bit = byte >> (7 - j) & 1
+                one, zero = own * bit, own * (1 - bit)
+                node = 1 << j | byte >> (8 - j)
+                for t, base in enumerate(bases):
+                    seen = pairs[self.slot(t, base, node)].astype(np.float32)
+                    x[t] = np.log((np.maximum(seen[:, 1] - one, 0) + SMALL) / (np.maximum(seen[:, 0] - zero, 0) + SMALL))[up]
+                zeros, ones = self._runs(c, bit, new)
+                zeros, ones = np.maximum(zeros - zero, 0), np.maximum(ones - one, 0)
+                x[3] = np.log((ones + SMALL) / (zeros + SMALL))[up]
+                gate = self._level(zeros + ones)[up] * _LEVELS
+                bit_kind = byte_kind >> (7 - j) & 1
+                zeros, ones = self._runs(n, bit_kind, new_kind)
+                zeros, ones = np.maximum(zeros - own * (1 - bit_kind), 0), np.maximum(ones - own * bit_kind, 0)
+                x[4] = np.log((ones + SMALL) / (zeros + SMALL))[back]
+                gate += self._level(zeros + ones)[back]
+                yield rows, bit[up], x, gate
+                new[1:] |= bit[1:] != bit[:-1]
+                new_kind[1:] |= bit_kind[1:] != bit_kind[:-1]
 
-    A line belongs to the first context that comes to it; others that meet there are not counted.
-    """
+    @staticmethod
+    def _level(n: np.ndarray) -> np.ndarray:
+        return np.digitize(n, (0.5, 1.5, 4.5, 20.5, 200.5))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(2 * (len(ORDERS) << size), np.float32)
-        marks = np.zeros(len(counts) >> 5, np.uint16)
-        for (lot,) in _lots(batches, ("text",)):
-            b = Bits([(x or "").encode() for x in lot], size)
-            for at in b.parts():
-                bits, each = b.of(at)
-                for slots, line, mark in each:
-                    free = marks[line] == 0
-                    marks[line[free]] = mark[free]
-                    held = np.repeat(marks[line] == mark, 4)
-                    np.add.at(counts, 2 * slots[held] + bits[held], np.float32(1))
-        task = TaskContext.get().partitionId() if TaskContext.get() else 0
-        for i in range(len(counts) >> SLICE):
-            part, mark = counts[i << SLICE : (i + 1) << SLICE], marks[i << (SLICE - 5) : (i + 1) << (SLICE - 5)]
-            if mark.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([task], pa.int64()), pa.array([part.tobytes()]), pa.array([mark.tobytes()])], ["slice", "task", "counts", "marks"])
 
-    return run
+class Mixer:
+    """Weights: a row of INPUTS for each gate. Last table: ones and bits seen. Both are learned online."""
 
+    def __init__(self):
+        self.weights = np.full((_GATES, INPUTS), 0.2, np.float32)
+        self.weights[:, -1] = 0
+        self.last = np.zeros((_GATES * _STEPS, 2))
+        self.steps = np.zeros(_GATES)
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of equal slices, as half floats; a pair too large for these keeps its ratio.
+    def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        dot = x[0] * self.weights[gate, 0]
+        for k in range(1, INPUTS):
+            dot += x[k] * self.weights[gate, k]
+        return np.clip(dot, -12, 12)
 
-    Where tasks gave a line to different contexts, the one seen more often stays.
-    """
-    total: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for batch in batches:
-        for i, counts, marks in zip(*(batch.column(n).to_pylist() for n in ("slice", "counts", "marks")), strict=True):
-            c, m = np.frombuffer(counts, np.float32).astype(np.float64).reshape(-1, 32), np.frombuffer(marks, np.uint16).copy()
-            if i not in total:
-                total[i] = c, m
-                continue
-            sums, held = total[i]
-            same = m == held
-            sums[same] += c[same]
-            # Slot 1 holds a half byte's first bit: one count for each visit.
-            more = ~same & (c[:, 2:4].sum(1) > sums[:, 2:4].sum(1))
-            sums[more], held[more] = c[more], m[more]
-    for i, (c, m) in total.items():
-        pairs = c.reshape(-1, 2)
-        pairs *= np.minimum(1, 60_000 / np.maximum(pairs.max(1, keepdims=True), 1))
-        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([pairs.astype(np.float16).tobytes()]), pa.array([m.tobytes()])], ["slice", "counts", "marks"])
+    @staticmethod
+    def step(dot: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        return gate * _STEPS + np.rint((dot + 12) * ((_STEPS - 1) / 24)).astype(np.int64)
+
+    def learn(self, bucket: Bucket, counts: np.ndarray) -> None:
+        """Steps over the bits of the bucket's training positions, a pair counting as often as it occurs."""
+        for rows, bits, x, gates in bucket.bits(counts, True):
+            weight = bucket.n[rows]
+            for i in range(0, len(rows), STEP):
+                near, gate, bit, w = x[:, i : i + STEP], gates[i : i + STEP], bits[i : i + STEP], weight[i : i + STEP]
+                dot = self.mixed(near, gate)
+                step = self.step(dot, gate)
+                self.last[:, 0] += np.bincount(step, w * bit, len(self.last))
+                self.last[:, 1] += np.bincount(step, w, len(self.last))
+                error = (bit - 1 / (1 + np.exp(-dot))) * w
+                many = np.bincount(gate, w, _GATES)
+                rate = (0.02 + 0.4 / (1 + self.steps / 30)) / np.maximum(many, 1e-9)
+                for k in range(INPUTS):
+                    self.weights[:, k] += rate * np.bincount(gate, error * near[k], _GATES)
+                self.steps += many > 0
+
+    def score(self, bucket: Bucket, counts: np.ndarray) -> np.ndarray:
+        """log10 of each pair's probability, given the bytes before ``first``."""
+        total = np.zeros(len(bucket.of))
+        for rows, bits, x, gate in bucket.bits(counts, False):
+            dot = self.mixed(x, gate)
+            p = 1 / (1 + np.exp(-dot))
+            ones, seen = self.last[self.step(dot, gate)].T
+            p = np.clip((p + (ones + 16 * p) / (seen + 16)) / 2, 1e-6, 1 - 1e-6)
+            total[rows] += np.log10(np.where(bits == 1, p, 1 - p))
+        return total
 
 
-class Speller:
-    """Probabilities of texts. Weights: a row of len(ORDERS) + 1 for each gate; last: ones and bits seen."""
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, np.ndarray, np.ndarray, np.ndarray]]:
+    """Whole buckets of (bucket, begins, spelled, kind, n), which come sorted by bucket, word and class."""
+    held: list[pa.RecordBatch] = []
 
-    def __init__(self, counts: np.ndarray, marks: np.ndarray | None = None):
-        self.marks = np.zeros(len(counts) >> 5, np.uint16) if marks is None else marks
-        self.counts = counts.reshape(-1, 2)
-        self.size = (len(self.counts) // len(ORDERS)).bit_length() - 1
-        self.weights = np.full((_GATES, len(ORDERS) + 1), 0.3, np.float32)
-        self.weights[:, -1] = 0
-        self.last = np.zeros((_GATES * _STEPS, 2))
+    def whole() -> tuple[int, list, np.ndarray, np.ndarray, np.ndarray]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        return t["bucket"][0].as_py(), t["spelled"].to_pylist(), *(t[c].to_numpy() for c in ("kind", "n", "begins"))
 
-    def inputs(self, bits: np.ndarray, each: list[tuple[np.ndarray, np.ndarray, np.ndarray]], learning: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Stretched predictions (contexts + bias, bits), and the gate of each bit."""
-        x = np.empty((len(ORDERS) + 1, len(bits)), np.float32)
-        x[-1] = 0.3
-        gate = np.zeros(len(bits), np.int64)
-        one = bits.astype(np.float32)
-        for i, (slots, line, mark) in enumerate(each):
-            seen = np.take(self.counts, slots, axis=0).astype(np.float32)
-            seen *= np.repeat(self.marks[line] == mark, 4)[:, None]  # nothing of other contexts
-            zeros, ones = seen[:, 0], seen[:, 1]
-            if learning:  # without the bit's own count
-                zeros, ones = np.maximum(zeros - (1 - one), 0), np.maximum(ones - one, 0)
-            np.log((ones + np.float32(0.02)) / (zeros + np.float32(0.02)), out=x[i])
-            if i in (3, 5):
-                n = zeros + ones
-                level = (n > 0.5).astype(np.int64) + (n > 2.5) + (n > 15.5) + (n > 127.5)
-                gate += level * (5 if i == 5 else 1)
-        return x, gate
+    for batch in batches:
+        of = batch.column("bucket").to_numpy()
+        ends = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+        for i, j in zip(ends, ends[1:], strict=False):
+            if i == j:
+                continue
+            if held and held[-1].column("bucket")[0].as_py() != int(of[i]):
+                yield whole()
+                held = []
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield whole()
+
+
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, at, zeros and ones): what this task's words add to the tables, the slots that aren't zero only."""
+    counts = np.zeros(2 * sum(SIZES), np.float32)
+    for _, spelled, kind, n, _first in _buckets(batches):
+        Bucket(spelled, kind, n, np.zeros(len(n), np.int64)).count(counts)
+    for i in range(0, len(counts), 2 * SLICE):
+        part = counts[i : i + 2 * SLICE]
+        at = np.flatnonzero(part)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array([i // (2 * SLICE)], pa.int64()), pa.array([at.astype(np.int32).tobytes()]), pa.array([part[at].tobytes()])], ["part", "at", "counts"])
 
-    def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        dot = np.einsum("ij,ji->i", self.weights[gate], x)
-        return 1 / (1 + np.exp(-np.clip(dot, -12, 12)))
-
-    def step(self, p: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        s = np.log(p / (1 - p))
-        return gate * _STEPS + np.clip(np.rint((s + 12) * (_STEPS - 1) / 24), 0, _STEPS - 1).astype(np.int64)
-
-    def learn(self, lot: list[bytes], rate: float) -> None:
-        """Online steps of the mixer, and the last table's counts."""
-        b = Bits(lot, self.size)
-        for at in b.parts():
-            bits, each = b.of(at)
-            x_all, gates = self.inputs(bits, each, True)
-            for i in range(0, len(bits), STEP):
-                x, gate, bit = x_all[:, i : i + STEP], gates[i : i + STEP], bits[i : i + STEP]
-                p = self.mixed(x, gate)
-                step = self.step(p, gate)
-                self.last += np.stack([np.bincount(step, bit, len(self.last)), np.bincount(step, minlength=len(self.last))], 1)
-                error = (bit - p).astype(np.float32)
-                many = np.maximum(np.bincount(gate, minlength=_GATES), 1)
-                for k in range(len(x)):
-                    self.weights[:, k] += rate * np.bincount(gate, error * x[k], _GATES).astype(np.float32) / np.sqrt(many)
-
-    def score(self, lot: list[bytes]) -> np.ndarray:
-        """log10 of each text's probability. Weights start as learned and follow each text in steps of BLOCK bytes."""
-        b = Bits(lot, self.size)
-        weights = np.tile(self.weights, (len(lot), 1))
-        total = np.zeros(len(lot))
-        for at in b.parts():
-            bits, each = b.of(at)
-            x, gate = self.inputs(bits, each, False)
-            text = np.repeat(b.text[at], 8)
-            key = text * _GATES + gate
-            block = b.place[at] // BLOCK
-            starts = 8 * np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-            p = np.empty(len(bits), np.float64)
-            for i, j in zip(starts, np.r_[starts[1:], len(bits)], strict=True):
-                near, own = x[:, i:j], key[i:j]
-                q = 1 / (1 + np.exp(-np.clip(np.einsum("ij,ji->i", weights[own], near), -12, 12)))
-                p[i:j] = q
-                some, which = np.unique(own, return_inverse=True)
-                error = bits[i:j] - q
-                for k in range(len(near)):
-                    weights[some, k] += np.float32(OWN_RATE) * np.bincount(which, error * near[k], len(some)).astype(np.float32)
-            ones, seen = self.last[self.step(p, gate)].T
-            refined = (ones + 16 * p) / (seen + 16)
-            p = np.clip((p + refined) / 2, 1e-6, 1 - 1e-6)
-            total += np.bincount(text, np.log10(np.where(bits == 1, p, 1 - p)), len(lot))
-        return total
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of equal parts, as half floats; a pair too large for these keeps its ratio."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, at, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if i not in total:
+                total[i] = np.zeros(2 * SLICE)
+            total[i][np.frombuffer(at, np.int32)] += np.frombuffer(counts, np.float32)
+    for i, c in total.items():
+        pairs = c.reshape(-1, 2)
+        pairs *= np.minimum(1, 60_000 / np.maximum(pairs.max(1, keepdims=True), 1))
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([pairs.astype(np.float16).tobytes()])], ["part", "counts"])
 
 
-def _mixers(tables):
-    """(i, x, n): weights and the last table as a task's part of the texts teaches them, as sums weighted by lots."""
+def _scored(counts, begun):
+    """(spelled, kind, score, known): each pair's log10 probability, and its word's count in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller = Speller(*tables.value)
-        n = 0
-        for (lot,) in _lots(batches, ("text",)):
-            speller.learn([(x or "").encode() for x in lot], RATE / (1 + n / 200))
-            n += 1
-        body = np.concatenate([(speller.weights * n).ravel().astype(float), speller.last.ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(body))), pa.array(body), pa.array(np.full(len(body), n))], ["i", "x", "n"])
+        start = begun.value
+        for _, spelled, kind, n, first in _buckets(batches):
+            bucket = Bucket(spelled, kind, n, first)
+            mixer = Mixer()
+            mixer.learn(bucket, counts.value)
+            score = mixer.score(bucket, counts.value)
+            score += [start[s[:f], k] for s, f, k in zip(spelled, first.tolist(), kind.tolist(), strict=True)]
+            word = np.where(kind == CONTINUED, 0, n)
+            known = np.add.reduceat(word, bucket.starts)[bucket.of]
+            out = [pa.array(spelled, pa.binary()), pa.array(kind.astype(np.int32)), pa.array(score.astype(np.float32)), pa.array(known)]
+            for i in range(0, len(n), 1 << 16):
+                yield pa.RecordBatch.from_arrays([c.slice(i, 1 << 16) for c in out], ["spelled", "kind", "score", "known"])
 
     return run
 
 
-def _documents(head, tables, weights: np.ndarray, last: np.ndarray):
-    """Each text's score, its sums over frequent words, and its other words, counted."""
+def _documents(frequent: dict[bytes, int], head):
+    """(row, doc_id, n_tokens, n_known, base, score, bytes) of each lot of a text, and its other pairs, counted, for the join."""
+    names = ["row", "doc_id", "n_tokens", "n_known", "base", "score", "bytes", "rest"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, base_of, seen_of = head.value
-        speller = Speller(*tables.value)
-        speller.weights, speller.last = weights, last
-        row = TaskContext.get().partitionId() << 33
-        for ids, lot in _lots_of_texts(batches):
-            score = speller.score(lot)
-            out: list[list] = [[] for _ in range(6)]
-            words: list[bytes] = []
-            times: list[int] = []
-            ends = [0]
-            for text, x in zip(lot, score.tolist(), strict=True):
-                counts = Counter(text.translate(_LOWER).split())
-                n = sum(counts.values()) + 1
-                counts[END] += 1
-                at = np.array([place.get(w, -1) for w in counts])
-                k = np.array(list(counts.values()), float)
-                i, k = at[at >= 0], k[at >= 0]
-                for (w, m), j in zip(counts.items(), at.tolist(), strict=True):
-                    if j < 0:
-                        words.append(w)
-                        times.append(m)
-                ends.append(len(words))
-                values = (row, n, int((k * seen_of[i]).sum()), float((k * base_of[i]).sum()), x, len(text))
-                for o, v in zip(out, values, strict=True):
-                    o.append(v)
-                row += 1
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
-            rest = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64())], ["word", "k"])
-            names = ["row", "n_tokens", "n_known", "base_score", "score", "bytes", "rest"]
-            columns = [*(pa.array(o, k) for o, k in zip(out, kinds, strict=True)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rest)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *columns], ["doc_id", *names])
+        place, known, scores_ = head.value
+        found = Tokens(frequent)
+        for others, word, kind, row in _lots(batches, found, TaskContext.get().partitionId() << 33):
+            names_of = list(found.place)
+            at = np.array([place.get(w, -1) for w in names_of], np.int64)
+            size = np.array([len(w) if w[:1] != b"\xff" else 0 for w in names_of], np.int64)
+            whole = np.array([w[-1:] == b" " or w == END or w[:1] == b"\xff" for w in names_of], bool)
+            of = at[word] if len(word) else word
+            held = of >= 0
+            c = np.where(held, known[np.maximum(of, 0)], 0)
+            # What a token of the base is: a whole word, not the last piece of a long one.
+            token = whole[word] & (kind != CONTINUED) if len(word) else held
+            first = min(others)
+            r, many = row - first, max(others) - first + 1
+            values = [
+                np.bincount(r, token, many), np.bincount(r, held & token & (c > 0), many),
+                np.bincount(r, np.where(held & token, np.log10(c + 0.1), 0), many),
+                np.bincount(r, np.where(held, scores_[np.maximum(of, 0), kind], 0), many),
+                np.bincount(r, size[word] if len(word) else r, many),
+            ]
+            # The other pairs, counted by text.
+            other = np.flatnonzero(~held)
+            key, n = np.unique((r[other] * len(names_of) + word[other]) * KINDS + kind[other], return_counts=True)
+            ends = np.searchsorted(key // (KINDS * max(len(names_of), 1)), np.arange(many + 1))
+            words = np.array([*names_of, b""], object)[key // KINDS % max(len(names_of), 1)]
+            rest = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array((key % KINDS).astype(np.int32)), pa.array(n)], ["spelled", "kind", "k"])
+            ids = [others[i + first][0] if i + first in others else None for i in range(many)]
+            columns = [np.arange(many) + first, ids, *values]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rest)
+            yield pa.RecordBatch.from_arrays([*(pa.array(list(v), k) if isinstance(v, list) else pa.array(v).cast(k, safe=False) for v, k in zip(columns, kinds, strict=True)), lists], names)
+            if len(found.place) > COUNTED:
+                found.clear()
 
     return run
 
 
-def _lots_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
-    for texts, ids in _lots(batches, ("text", "doc_id")):
-        yield ids, [(x or "").encode() for x in texts]
+def beginnings(pairs: DataFrame) -> tuple[list[tuple[bytes, int, int]], DataFrame]:
+    """The words' beginnings (begin, kind, n) that no other of them begins with, and the pairs with theirs.
+
+    Two bytes, and one more as long as more than SHARED pairs share one. To the driver come at most 65,536
+    beginnings, and 256 for each SHARED pairs and byte, by class.
+    """
+    size, leaves, open_ = 2, [], None
+    begins = F.substring("spelled", 1, 2)
+    while True:
+        shorter = F.substring("spelled", 1, size - 1)
+        some = pairs if open_ is None else pairs.filter(shorter.isin(open_))
+        begin = F.substring("spelled", 1, size)
+        level = some.groupBy(begin.alias("begin"), "kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("pairs")).toArrow()
+        rows = list(zip(*(c.to_pylist() for c in level.columns), strict=True))
+        shared = Counter()
+        for b, _, _, many in rows:
+            shared[b] += many
+        open_ = [b for b, many in shared.items() if many > SHARED and len(b) == size]
+        closed = set(open_)
+        leaves += [(b, kind, n) for b, kind, n, _ in rows if b not in closed]
+        if not open_ or size == PIECE:
+            return sorted(leaves), pairs.withColumn("begin", begins)
+        begins = F.when(begin.isin(open_), F.substring("spelled", 1, size + 1)).otherwise(begins)
+        size += 1
 
 
 def scores(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte), a row for each row of ``docs``.
 
     Learns from the texts whose crc32(doc_id) modulo 10 is not 0; rows without a doc_id are held out.
-    A null text counts as empty: its one token is the end. bits_per_byte is null for empty texts.
-    Repeated rows count, and are scored, each. Without training texts base_score is that of unknown
-    tokens, and score that of the untrained mixer. An empty table gives an empty one.
+    A null text counts as empty: its one token is the end. Repeated rows count, and are scored, each.
+    Without training texts base_score is that of unknown tokens, and score that of the untrained
+    mixer. An empty table gives an empty one. bits_per_byte counts the bytes that are predicted.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
     short_batches(spark)
-    ids = F.col("doc_id").cast("long").alias("doc_id")
-    learn = F.coalesce(remainder(F.col("doc_id"), 10) != 0, F.lit(False))
-    of = F.when(learn, -1).otherwise(-2)
-    # Two counters: those of -2 and -1.
-    counted = docs.select("text", of.cast("int").alias("of")).mapInArrow(_counted(0), "word binary, c0 long, c1 long")
-    sums = counted.groupBy("word").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("train"))
-    vocabulary = written(sums.select("word", "train", (F.col("train") + F.col("c0")).alias("total")), "vocabulary")
-    facts = vocabulary.agg(F.coalesce(F.sum("train"), F.lit(0)).alias("n"), F.count_if(F.col("train") > 0).alias("types")).first()
-    n, distinct = facts.n, facts.types
-
-    learned = docs.filter(learn).select("text")
-    read = learned.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    bits = min(MOST, max(BITS, (read // 2).bit_length()))
-    sliced = learned.mapInArrow(_tables(bits), "slice long, task long, counts binary, marks binary")
-    slices = 2 * len(ORDERS) << (bits - SLICE)
-    merged = sliced.repartition(min(slices, int(spark.conf.get("spark.sql.shuffle.partitions"))), "slice").sortWithinPartitions("slice", "task").mapInArrow(_merged, "slice long, counts binary, marks binary")
-    counts = np.zeros(2 * (len(ORDERS) << bits), np.float16)
-    marks = np.zeros(len(counts) >> 5, np.uint16)
-    for r in merged.toLocalIterator():  # the tables' size is bounded by MOST
-        counts[r.slice << SLICE : (r.slice + 1) << SLICE] = np.frombuffer(r.counts, np.float16)
-        marks[r.slice << (SLICE - 5) : (r.slice + 1) << (SLICE - 5)] = np.frombuffer(r.marks, np.uint16)
-    tables = sc.broadcast((counts, marks))
-    taught = learned.mapInArrow(_mixers(tables), "i long, x double, n long").groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect()
-    speller = Speller(counts, marks)
-    size = speller.weights.size
-    body, lots = np.zeros(size + speller.last.size), max([1, *(r.n for r in taught)])
-    for r in taught:
-        body[r.i] = r.x
-    if taught and max(r.n for r in taught):
-        speller.weights = (body[:size] / lots).reshape(speller.weights.shape).astype(np.float32)
-        speller.last = body[size:].reshape(speller.last.shape)
-
-    based = vocabulary.withColumn("base", F.log10((F.col("train") + 0.1) / F.lit(float(n + 0.1 * (distinct + 1)))))
-    frequent = based.orderBy((F.col("word") == F.lit(END)).desc(), F.desc("total"), "word").limit(HEAD)
-    place, base_of, seen_of = {}, [], []
-    for r in frequent.toLocalIterator():
-        place[bytes(r.word)] = len(place)
-        base_of.append(r.base)
-        seen_of.append(r.train > 0)
-    head = sc.broadcast((place, np.array(base_of, float), np.array(seen_of, bool)))
-    schema = "doc_id long, row long, n_tokens long, n_known long, base_score double, score double, bytes long, rest array<struct<word: binary, k: long>>"
-    texts = written(docs.select(ids, "text").mapInArrow(_documents(head, tables, speller.weights, speller.last), schema), "texts")
-    rest = texts.select("row", F.explode("rest").alias("x")).select("row", "x.word", "x.k")
-    found = rest.join(based.select("word", "train", "base"), "word")
-    more = found.groupBy("row").agg(F.sum(F.when(F.col("train") > 0, F.col("k")).otherwise(0)).alias("m_known"), F.sum(F.col("k") * F.col("base")).alias("m_base"))
-    zero = F.lit(0)
-    return texts.drop("rest").join(more, "row", "left").select(
-        "doc_id", F.coalesce(remainder(F.col("doc_id"), 10) == 0, F.lit(True)).alias("held_out"), "n_tokens",
-        (F.col("n_known") + F.coalesce("m_known", zero)).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("m_base", zero)).alias("base_score"), "score",
-        F.when(F.col("bytes") > 0, -F.col("score") * F.log2(F.lit(10.0)) / F.col("bytes")).alias("bits_per_byte"),
+    learn = F.coalesce(remainder(F.col("doc_id"), 10) != 0, F.lit(False)).alias("learn")
+    words = docs.filter(learn).select("text").mapInArrow(_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = words.filter(F.length("word") < PIECE).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    frequent = {bytes(r.word) + b" ": i + 1 for i, r in enumerate(top)}
+
+    counted = docs.select("text", learn).mapInArrow(_pairs(frequent), "spelled binary, kind int, n long")
+    every = written(counted.groupBy("spelled", "kind").agg(F.sum("n").alias("n")), "pairs")
+    pairs = every.filter(F.col("kind") != LONG)
+    leaves, begun = beginnings(pairs)
+    total = max(1, pairs.count() // BUCKET)
+    bucketed = begun.select(F.pmod(F.xxhash64("begin"), F.lit(total)).cast("int").alias("bucket"), F.length("begin").cast("long").alias("begins"), "spelled", "kind", "n")
+    tasks = max(8, total)
+    sorted_ = bucketed.repartition(tasks, "bucket").sortWithinPartitions("bucket", "spelled", "kind")
+
+    sliced = sorted_.mapInArrow(_tables, "part long, at binary, counts binary")
+    merged = sliced.repartition(8, "part").mapInArrow(_merged, "part long, counts binary")
+    tables = np.zeros(2 * sum(SIZES), np.float16)
+    for r in merged.collect():  # SIZES bound it
+        tables[r.part * 2 * SLICE : (r.part + 1) * 2 * SLICE] = np.frombuffer(r.counts, np.float16)
+    first = Bucket([b for b, _, _ in leaves], np.array([k for _, k, _ in leaves]), np.array([n for _, _, n in leaves]), np.zeros(len(leaves), np.int64))
+    mixer = Mixer()
+    mixer.learn(first, tables)
+    start = {(b, k): s for (b, k, _), s in zip(leaves, mixer.score(first, tables).tolist(), strict=True)}
+    spelled = sorted_.mapInArrow(_scored(sc.broadcast(tables), sc.broadcast(start)), "spelled binary, kind int, score float, known long")
+    long = every.filter(F.col("kind") == LONG).select("spelled", "kind", F.lit(0.0).cast("float").alias("score"), F.col("n").alias("known"))
+    scored = written(spelled.unionByName(long), "spelled")
+    token = F.substring("spelled", -1, 1).isin(b" ", END) & (F.col("kind") != CONTINUED) | (F.col("kind") == LONG)
+    by_word = scored.filter(token).groupBy("spelled").agg(F.max("known").alias("known"), F.count(F.lit(1)).alias("kinds"))
+    facts = by_word.agg(F.coalesce(F.sum("known"), F.lit(0)).alias("n"), F.count_if(F.col("known") > 0).alias("types")).first()
+
+    chosen = by_word.orderBy(F.desc("known"), "spelled").limit(HEAD).select("spelled")
+    rows = scored.join(F.broadcast(chosen), "spelled").toArrow()  # HEAD times KINDS rows at most
+    place: dict[bytes, int] = {}
+    at = np.array([place.setdefault(w, len(place)) for w in rows["spelled"].to_pylist()], np.int64)
+    known, table = np.zeros(len(place) + 1, np.int64), np.zeros((len(place) + 1, KINDS), np.float32)
+    known[at] = rows["known"].to_numpy()
+    table[at, rows["kind"].to_numpy()] = rows["score"].to_numpy()
+    head = sc.broadcast((place, known, table))
+
+    schema = "row long, doc_id long, n_tokens long, n_known long, base double, score double, bytes long, rest array<struct<spelled: binary, kind: int, k: long>>"
+    texts = written(docs.select("text", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(_documents(frequent, head), schema), "texts")
+    rest = texts.select("row", "doc_id", F.explode("rest").alias("x")).select("row", "doc_id", "x.*").join(scored, ["spelled", "kind"])
+    some = F.when(token, F.col("k")).otherwise(0)
+    zero = F.lit(0).cast("long")
+    joined = rest.select(
+        "row", "doc_id", zero.alias("n_tokens"), F.when(F.col("known") > 0, some).otherwise(0).alias("n_known"),
+        (some * F.log10(F.col("known") + 0.1)).alias("base"), (F.col("k") * F.col("score").cast("double")).alias("score"), zero.alias("bytes"),
+    )
+    sums = texts.drop("rest").unionByName(joined).groupBy("row", "doc_id").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score", "bytes")))
+    n, types = int(facts.n), int(facts.types)
+    return sums.select(
+        "doc_id", F.coalesce(remainder(F.col("doc_id"), 10) == 0, F.lit(True)).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * F.lit(math.log10(n + 0.1 * (types + 1)))).alias("base_score"), "score",
+        (-F.col("score") * F.log2(F.lit(10.0)) / F.col("bytes")).alias("bits_per_byte"),
     )
