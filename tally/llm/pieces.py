@@ -6,7 +6,9 @@ each normalised character which source bytes it came from. Pieces of the normali
 projected through that record to byte spans of the original.
 
 Pieces are merged by score as byte-pair encoding does. No piece of a vocabulary reaches
-from another character into a space mark, so words are encoded one by one and remembered.
+from another character into a space mark, so words are encoded one by one. Where the model maps
+no characters and drops no spaces, a text's words can be cut before they are normalised; each
+distinct word is then normalised, encoded, projected to its span and decoded once, and remembered.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import short_batches
 
 SPACE = "▁"
-#: Words whose pieces a Python worker remembers; then it starts anew.
-REMEMBERED = 700_000
+#: Characters of the words that a Python worker remembers (it starts anew then), and of the longest one.
+REMEMBERED, LONGEST = 8_000_000, 256
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -97,8 +99,8 @@ class PieceModel:
         self.kinds: list[int] = []
         self.bytes: dict[int, int] = {}
         user = []
-        self.add_prefix, self.drop_extra, self.escape, kind, charsmap = True, True, True, 1, b""
-        self.unknown, self.unknown_text, fallback = 0, " ⁇ ", False
+        self.unknown, self.unknown_text = 0, " ⁇ "
+        specs: dict[int, dict] = {2: {}, 3: {}}
         for number, value in _fields(body):
             if number == 1:
                 piece = dict(_fields(value))
@@ -114,30 +116,33 @@ class PieceModel:
                     self.bytes[int(text[3:5], 16)] = here
                 if of == UNKNOWN:
                     self.unknown = here
-            elif number == 2:
-                trained = dict(_fields(value))
-                kind, fallback = trained.get(3, 1), bool(trained.get(35, 0))
-                self.unknown_text = trained.get(44, self.unknown_text.encode()).decode()
-            elif number == 3:
-                spec = dict(_fields(value))
-                charsmap = spec.get(2, b"")
-                self.add_prefix, self.drop_extra, self.escape = (bool(spec.get(n, 1)) for n in (3, 4, 5))
+            elif number in specs:  # a message that comes twice is merged, as the format has it
+                specs[number] |= dict(_fields(value))
+        trained, rules = specs[2], specs[3]
+        kind, fallback = trained.get(3, 1), bool(trained.get(35, 0))
+        self.unknown_text = trained.get(44, self.unknown_text.encode()).decode()
+        charsmap = rules.get(2, b"")
+        self.add_prefix, self.drop_extra, self.escape = (bool(rules.get(n, 1)) for n in (3, 4, 5))
         if kind != 2:
             raise ValueError("only byte-pair models are supported")
         if not fallback:
             self.bytes = {}
         self.map = CharacterMap(charsmap)
-        self.plain = not charsmap and not self.drop_extra and self.escape and not user
         self.user = re.compile("|".join(map(re.escape, sorted(user, key=len, reverse=True)))) if user else None
         inside = [t for t in self.ids if re.search(f"[^{SPACE}]{SPACE}", t)]
         lone_line = not any("\n" in t and len(t) > 1 for t in self.ids)
         self.cut = None if inside or user else re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if lone_line else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.normal = {t: str(i) for t, i in self.ids.items() if self.kinds[i] == NORMAL}
-        self.known: dict[str, tuple[int, str, str]] = {}
-        self.cut_known: dict[str, tuple[list[int], list[int]]] = {}
+        plain = self.cut and not charsmap and not self.drop_extra and self.escape
+        # The same cuts in the source, where a space isn't a mark yet.
+        self.cut_source = re.compile(self.cut.pattern.replace(SPACE, f" {SPACE}").replace(f" {SPACE}*", f"[ {SPACE}]*").replace(f" {SPACE}+", f"[ {SPACE}]+")) if plain else None
+        self.known: dict[str, tuple[int, str, str, int]] = {}
+        self.remembered = 0
 
-    def normalised(self, text: str) -> tuple[str, list[int]]:
-        """The normalised text, and for each of its characters and its end the source byte it starts at."""
+    def normalised(self, text: str, first: bool = True) -> tuple[str, list[int]]:
+        """The normalised text, and for each of its characters and its end the source byte it starts at.
+
+        ``first``: it begins a text, so a dummy prefix is added.
+        """
         data = text.encode()
         out: list[str] = []
         source: list[int] = []
@@ -163,7 +168,7 @@ class PieceModel:
             out, source = [out[i] for i in keep], [source[i] for i in keep]
         else:
             end = at
-        if self.add_prefix and out:
+        if self.add_prefix and first and out:
             out.insert(0, " ")
             source.insert(0, source[0])
         joined = "".join(out)
@@ -242,47 +247,14 @@ class PieceModel:
                 sizes.append(len(p))
         return ids, sizes
 
-    def word(self, word: str) -> tuple[int, str, str]:
-        """A word's number of ids, its ids as text, and the text that these decode to."""
-        normal = self.normal
-        parts = self.merged(word)
-        try:
-            # Without byte pieces, ids decode to their pieces, one after the other.
-            return len(parts), ",".join([normal[p] for p in parts]), "".join(parts).replace(SPACE, " ")
-        except KeyError:
-            ids = self.pieces(word)[0]
-            return len(ids), ",".join(map(str, ids)), self.decode(ids, False)
-
-    def cuts(self, normal: str) -> list[str]:
-        return self.cut.findall(normal) if self.cut else [normal]
-
-    def words(self, normal: str) -> list[tuple[int, str, str]]:
-        cut = self.cuts(normal)
-        found = list(map(self.known.get, cut))
-        if None in found:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            for w in [w for w in set(cut) if w not in self.known]:
-                self.known[w] = self.word(w)
-            found = list(map(self.known.__getitem__, cut))
-        return found
-
-    def cut_pieces(self, word: str) -> tuple[list[int], list[int]]:
-        """``pieces``, remembered."""
-        found = self.cut_known.get(word)
-        if found is None:
-            if len(self.cut_known) > REMEMBERED:
-                self.cut_known.clear()
-            found = self.cut_known[word] = self.pieces(word)
-        return found
-
-    def encode(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
+    def encode(self, text: str, first: bool = True) -> tuple[list[int], list[tuple[int, int]]]:
         """Ids and the source byte span of each. The bytes of one character share its span; a dummy prefix adds nothing."""
-        normal, source = self.normalised(text)
+        normal, source = self.normalised(text, first)
         ids: list[int] = []
         spans: list[tuple[int, int]] = []
         at = 0
-        for of, sizes in map(self.cut_pieces, self.cuts(normal)):
+        for cut in self.cut.findall(normal) if self.cut else [normal]:
+            of, sizes = self.pieces(cut)
             ids += of
             start = at
             waiting = 0
@@ -295,21 +267,30 @@ class PieceModel:
             at = start
         return ids, spans
 
-    def text_ids(self, text: str) -> tuple[int, str, str, int]:
-        """Number of ids, the ids as text, the text they decode to, and the source bytes that their spans cover."""
+    def part(self, text: str, first: bool) -> tuple[int, str, str, int]:
+        """A part's number of ids, the ids as text, the text that they decode to, and the source bytes that their spans cover."""
+        ids, spans = self.encode(text, first)
+        return len(ids), ",".join(map(str, ids)), self.decode(ids, first), covered(spans)
+
+    def digest(self, text: str) -> tuple[int, str, str, int]:
+        """Number of ids, digests of the ids and of the decoded text, and the source bytes covered, part by part."""
         if not text:
-            return 0, "", "", 0
-        if self.plain:
-            normal = (" " if self.add_prefix else "") + text
-            normal, covered = normal.replace(" ", SPACE), len(text.encode())
-        else:
-            normal, source = self.normalised(text)
-            covered = source[-1] - source[0] if len(source) > 1 else 0
-        found = self.words(normal)
-        decoded = "".join([f[2] for f in found])
-        if self.add_prefix and found[0][2].startswith(" "):
-            decoded = decoded[1:]
-        return sum([f[0] for f in found]), ",".join([f[1] for f in found]), decoded, covered
+            return 0, _sha(""), _sha(""), 0
+        parts = self.cut_source.findall(text) if self.cut_source else [text]
+        found = list(map(self.known.get, parts))
+        for i, part in enumerate(parts) if None in found else ():
+            if found[i] is not None:
+                continue
+            found[i] = self.known.get(part) or self.part(part, False)
+            if len(part) <= LONGEST and part not in self.known and self.cut_source:
+                self.remembered += len(part)
+                if self.remembered > REMEMBERED:
+                    self.known.clear()
+                    self.remembered = len(part)
+                self.known[part] = found[i]
+        found[0] = self.part(parts[0], True) if self.add_prefix or not self.cut_source else found[0]
+        count, ids, decoded, covers = zip(*found, strict=True)
+        return sum(count), _sha(",".join(ids)), _sha("".join(decoded)), sum(covers)
 
     def decode(self, ids: list[int], first: bool = True) -> str:
         """The text of ids: space marks to spaces, byte pieces to characters (U+FFFD for what isn't UTF-8).
@@ -382,10 +363,7 @@ def _digests(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(path)
         for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                ids, spans = model.encode(text or "")
-                rows.append((len(ids), _sha(",".join(map(str, ids))), _sha(model.decode(ids)), covered(spans)))
+            rows = [model.digest(text or "") for text in batch.column(1).to_pylist()]
             kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes"])
 
