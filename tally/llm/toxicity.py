@@ -1,23 +1,24 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Four small transducers read a clause's words one after the other and write tags:
+A lexicon turns a clause's words into tags with weights: an insult ("hit") or threat with its
+weight, a target (the person spoken to or about), a negation, a verb of saying, or nothing. Five
+transducers read the tags, each an arc table, and pass them on with a factor:
 
-* insult: a word of the insult lexicon, with its weight;
-* threat: a threatening verb, with its weight;
-* target: a word for the person spoken to or about;
-* negation: opens a scope of ``SCOPE`` words in which insults and threats count for little;
-* reported speech: a verb of saying opens a clause whose insults count half.
+* insult: a hit becomes harm;
+* threat: a threat becomes harm, in full if a target stands in the clause, else at ``UNAIMED``;
+* target: harm counts ``AIMED`` times if a target stands in the clause, before or after it;
+* negation: opens a scope of ``SCOPE`` words in which harm counts for little;
+* reported speech: harm counts half in a clause with a verb of saying, wherever that stands.
 
-They are composed into one automaton, whose states say what is in scope; its arcs score
-an insult or threat by state, and more if a target stands in the clause. A clause's score is
-the sum over its arcs; the text's score is a logistic function of its clauses'.
+What stands later in a clause is guessed by the start state and confirmed by the final one, so a clause has
+exactly one path. ``compose`` joins the transducers, two by two, to one automaton over tags; the
+clause's score is the sum of its words' weights, each by the factor of its arc on that path.
 
 Insults are words, or word beginnings (for languages that inflect and compound). Beside a
 fixed seed they are learned from labelled rows: one by one, the word or beginning is taken that
 stands in the most toxic texts not explained yet, each clean text counting against it.
-Weights are log odds; a logistic regression on the summed clause scores and the text's
-length turns them into a probability. Texts without a match get the rate of such texts, capped
-below the threshold.
+Weights are log odds; a logistic regression on the log of the summed clause scores and the text's
+length turns them into a probability. Texts without a match get the rate of such texts.
 """
 
 from __future__ import annotations
@@ -41,8 +42,10 @@ SCOPE = 3
 LEAST_TEXTS, CLEAN_COST = 4, 3.0
 #: Letters of the shortest word beginning.
 SHORTEST = 4
-#: Words whose tags a Python worker remembers; then it starts anew.
-REMEMBERED = 300_000
+#: Factors: a threat without a target, harm with one, denied, reported.
+UNAIMED, AIMED, DENIED, REPORTED = 0.3, 1.25, 0.25, 0.5
+#: Words whose tags a Python worker remembers (it starts anew then), and letters of the longest one.
+REMEMBERED, LONGEST = 300_000, 64
 #: A text is toxic from this score on.
 THRESHOLD = 0.3
 
@@ -57,46 +60,139 @@ _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _CLAUSE = re.compile(r"[.!?;:\n]+(?=\s|$)|\n+")
 
 
+class Transducer:
+    """States are names; ``arcs``: (state, tag) -> [(next state, tag out, factor)]. A path runs from a start to a final state."""
+
+    def __init__(self, starts: set, finals: set, arcs: dict[tuple, list[tuple]]):
+        self.starts, self.finals, self.arcs = starts, finals, arcs
+
+    def pruned(self) -> Transducer:
+        """Without states that no start reaches or that reach no final state."""
+        ahead: dict[object, set] = {}
+        back: dict[object, set] = {}
+        for (state, _), outs in self.arcs.items():
+            for to, _, _ in outs:
+                ahead.setdefault(state, set()).add(to)
+                back.setdefault(to, set()).add(state)
+
+        def reached(first: set, steps: dict[object, set]) -> set:
+            seen, new = set(first), set(first)
+            while new:
+                new = set().union(*(steps.get(s, set()) for s in new)) - seen
+                seen |= new
+            return seen
+
+        live = reached(self.starts, ahead) & reached(self.finals, back)
+        arcs = {k: kept for k, outs in self.arcs.items() if k[0] in live and (kept := [o for o in outs if o[0] in live])}
+        return Transducer(self.starts & live, self.finals & live, arcs)
+
+
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """Reads as ``a``, writes what ``b`` makes of it; states are pairs, factors multiply."""
+    by_state: dict[object, list[tuple]] = {}
+    for (state, tag), outs in b.arcs.items():
+        by_state.setdefault(state, []).append((tag, outs))
+    arcs: dict[tuple, list[tuple]] = {}
+    for (state, tag), outs in a.arcs.items():
+        for other, theirs in by_state.items():
+            read = dict(theirs)
+            for to, between, x in outs:
+                for to_b, out, y in read.get(between, ()):
+                    arcs.setdefault(((state, other), tag), []).append(((to, to_b), out, x * y))
+    pairs = lambda x, y: {(i, j) for i in x for j in y}
+    return Transducer(pairs(a.starts, b.starts), pairs(a.finals, b.finals), arcs).pruned()
+
+
+#: Tags; harm is what insults and threats become.
+HIT, THREAT, WHO, NOT, SAY, OTHER, HARM = TAGS = "hit", "threat", "who", "not", "say", "", "harm"
+
+
+def _guessing(sign: str, factors: dict[str, tuple[float, float]], out: dict[str, str]) -> Transducer:
+    """Without ``sign``: state "none"; with it: "due" until it comes, then "met". ``factors``: tag -> (without, with) it."""
+    arcs = {}
+    for tag in TAGS:
+        without, with_ = factors.get(tag, (1.0, 1.0))
+        to = out.get(tag, tag)
+        if tag == sign:
+            arcs["due", tag] = arcs["met", tag] = [("met", to, with_)]
+        else:
+            arcs |= {("none", tag): [("none", to, without)], ("due", tag): [("due", to, with_)], ("met", tag): [("met", to, with_)]}
+    return Transducer({"none", "due"}, {"none", "met"}, arcs)
+
+
+def insult_transducer() -> Transducer:
+    return Transducer({0}, {0}, {(0, t): [(0, HARM if t == HIT else t, 1.0)] for t in TAGS})
+
+
+def threat_transducer() -> Transducer:
+    return _guessing(WHO, {THREAT: (UNAIMED, 1.0)}, {THREAT: HARM})
+
+
+def target_transducer() -> Transducer:
+    return _guessing(WHO, {HARM: (1.0, AIMED)}, {})
+
+
+def negation_transducer() -> Transducer:
+    """State: words left in the scope."""
+    arcs = {}
+    for left in range(SCOPE + 1):
+        for tag in TAGS:
+            arcs[left, tag] = [(SCOPE if tag == NOT else max(0, left - 1), tag, DENIED if left and tag == HARM else 1.0)]
+    return Transducer({0}, set(range(SCOPE + 1)), arcs)
+
+
+def reported_transducer() -> Transducer:
+    return _guessing(SAY, {HARM: (1.0, REPORTED)}, {})
+
+
+def automaton() -> Transducer:
+    """All five, composed."""
+    out = insult_transducer()
+    for t in (threat_transducer(), target_transducer(), negation_transducer(), reported_transducer()):
+        out = compose(out, t)
+    return out
+
+
 class Grammar:
-    """The composed automaton. Entries of ``insults`` that end in ``*`` are word beginnings."""
+    """Lexicon and automaton. Entries of ``insults`` that end in ``*`` are word beginnings."""
 
     def __init__(self, insults: dict[str, float], threats: dict[str, float]):
-        self.tags = {w: ("say", 0.0) for w in SAYING} | {w: ("not", 0.0) for w in NEGATIONS} | {w: ("who", 0.0) for w in TARGETS}
-        self.tags |= {w: ("hit", x) for w, x in insults.items() if w[-1] != "*"} | {w: ("threat", x) for w, x in threats.items()}
-        self.starts = {w[:-1]: ("hit", x) for w, x in insults.items() if w[-1] == "*"}
-        self.lengths = sorted({len(w) for w in self.starts}, reverse=True)
+        self.tags = {w: (SAY, 0.0) for w in SAYING} | {w: (NOT, 0.0) for w in NEGATIONS} | {w: (WHO, 0.0) for w in TARGETS}
+        self.tags |= {w: (HIT, x) for w, x in insults.items() if w[-1] != "*"} | {w: (THREAT, x) for w, x in threats.items()}
+        self.beginnings = {w[:-1]: (HIT, x) for w, x in insults.items() if w[-1] == "*"}
+        self.lengths = sorted({len(w) for w in self.beginnings}, reverse=True)
         self.known: dict[str, tuple[str, float]] = {}
-        self.fit = np.array([-4.0, 1.0, 0.0])
-        self.plain = 0.02  # score of a text without matches: below the threshold, whatever its length
+        self.fit = np.array([-4.0, 1.5, 0.0])
+        self.plain = 0.02  # score of a text without matches, whatever its length
+        whole = automaton()
+        number = {s: i for i, s in enumerate(sorted({s for s, _ in whole.arcs}, key=repr))}
+        self.starts, self.finals = sorted(number[s] for s in whole.starts), {number[s] for s in whole.finals}
+        self.arcs = {(number[s], tag): [(number[to], x) for to, _, x in outs] for (s, tag), outs in whole.arcs.items()}
 
     def tag(self, w: str) -> tuple[str, float]:
         found = self.known.get(w)
         if found is None:
             found = self.tags.get(w)
             if found is None:
-                found = next((self.starts[w[:n]] for n in self.lengths if w[:n] in self.starts), ("", 0.0))
+                found = next((self.beginnings[w[:n]] for n in self.lengths if w[:n] in self.beginnings), (OTHER, 0.0))
+            if len(w) > LONGEST:
+                return found
             if len(self.known) > REMEMBERED:
                 self.known.clear()
             self.known[w] = found
         return found
 
     def clause(self, words: list[str]) -> tuple[float, int]:
-        """Score and number of matches of one clause."""
-        total, found, target = 0.0, 0, False
-        denied, reported = 0, False  # the state: words left in a negation's scope, and whether speech is reported
-        for w in words:
-            tag, weight = self.tag(w)
-            if tag == "not":
-                denied = SCOPE + 1
-            elif tag == "say":
-                reported = True
-            elif tag == "who":
-                target = True
-            elif tag:
-                found += 1
-                total += weight * (0.25 if denied else 1.0) * (0.5 if reported else 1.0) * (0.3 if tag == "threat" and not target else 1.0)
-            denied = max(0, denied - 1)
-        return total * (1.25 if target else 1.0), found
+        """Score and number of matches of one clause: the sum along the automaton's one path."""
+        tags = [self.tag(w) for w in words]
+        found = sum(x > 0 for _, x in tags)
+        if not found:
+            return 0.0, 0
+        paths = {s: 0.0 for s in self.starts}
+        for tag, weight in tags:
+            paths = {to: total + weight * x for s, total in paths.items() for to, x in self.arcs.get((s, tag), ())}
+        (total,) = (x for s, x in paths.items() if s in self.finals)
+        return total, found
 
     def matched(self, text: str) -> tuple[float, int, int, int]:
         """Summed clause scores, clauses with matches, matches, and words of a text."""
@@ -113,7 +209,7 @@ class Grammar:
     def probability(self, total: float, words: int) -> float:
         if total <= 0:
             return self.plain
-        x = float(self.fit @ (1.0, min(total, 60.0), math.log1p(words)))
+        x = float(self.fit @ (1.0, math.log1p(total), math.log1p(words)))
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, x))))
 
     def score(self, text: str) -> tuple[float, int, int]:
@@ -169,7 +265,7 @@ def learn(rows: list[tuple[str, int]]) -> Grammar:
         holders = {e: at for e, at in holders.items() if len(at & open_) >= LEAST_TEXTS}
     grammar = Grammar(insults, threats)
     seen = [(*grammar.matched(t or ""), y) for t, y in rows]
-    x = np.array([(1.0, min(m[0], 60.0), math.log1p(m[3])) for m in seen])
+    x = np.array([(1.0, math.log1p(m[0]), math.log1p(m[3])) for m in seen])
     y = np.array([m[4] for m in seen], float)
     fit = np.zeros(3)
     for _ in range(25):  # Newton steps with a small penalty, which keeps separable samples finite
@@ -177,7 +273,7 @@ def learn(rows: list[tuple[str, int]]) -> Grammar:
         fit -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3), x.T @ (p - y) + 0.05 * fit)
     grammar.fit = fit
     rest = y[x[:, 1] <= 0]
-    grammar.plain = min(0.2, (rest.sum() + 0.5) / (len(rest) + 2))
+    grammar.plain = (rest.sum() + 0.5) / (len(rest) + 2)
     return grammar
 
 
@@ -223,7 +319,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the toxic rows, all columns kept. Decided in the row's own task, so no join is needed."""
+    """``docs`` without the toxic rows, all columns kept. Decided in the row's own task, so no join is needed.
+
+    Null and empty texts have no match and go only if most such texts of the labelled rows are toxic. Repeated
+    rows are decided alike; a null doc_id plays no part. An empty table gives an empty one.
+    """
     spark = docs.sparkSession
     short_batches(spark)
     grammar = spark.sparkContext.broadcast(fit(docs, labels))

@@ -164,6 +164,36 @@ def test_toxicity(spark, docs, empty):
     assert g.clause(["kill", "time"])[0] < g.clause(["kill", "you"])[0] and g.clause(["loweisch"])[1] == 1
 
 
+def test_grammar_by_brute_force():
+    """Clause scores against all paths through the five transducers, one after the other, and against the rules in words."""
+    machines = [toxicity.insult_transducer(), toxicity.threat_transducer(), toxicity.target_transducer(), toxicity.negation_transducer(), toxicity.reported_transducer()]
+
+    def through(m, tags):
+        paths = [(s, [], []) for s in m.starts]
+        for t in tags:
+            paths = [(to, out + [o], xs + [x]) for s, out, xs in paths for to, o, x in m.arcs.get((s, t), ())]
+        return [(out, xs) for s, out, xs in paths if s in m.finals]
+
+    words = {"idiot": ("hit", 4.0), "kill": ("threat", 3.0), "you": ("who", 0), "not": ("not", 0), "said": ("say", 0), "tree": ("", 0)}
+    g = toxicity.Grammar({"idiot": 4.0}, {"kill": 3.0})
+    r = random.Random(6)
+    for _ in range(300):
+        clause = [r.choice(list(words)) for _ in range(r.randrange(1, 8))]
+        found = [([words[w][0] for w in clause], [1.0] * len(clause))]
+        for m in machines:
+            found = [(out, [x * y for x, y in zip(xs, ys, strict=True)]) for tags, xs in found for out, ys in through(m, tags)]
+        assert len(found) == 1
+        by_path = sum(words[w][1] * x for w, x in zip(clause, found[0][1], strict=True))
+        aimed, told = "you" in clause, "said" in clause
+        by_rule = sum(
+            words[w][1] * (1.25 if aimed else 1) * (0.5 if told else 1) * (0.3 if w == "kill" and not aimed else 1)
+            * (0.25 if "not" in clause[max(0, i - toxicity.SCOPE) : i] else 1)
+            for i, w in enumerate(clause)
+        )
+        assert g.clause(clause)[0] == pytest.approx(by_path) == pytest.approx(by_rule)
+    assert g.clause(["kill", "you"]) == g.clause(["you", "kill"]) and g.clause("idiot he said".split()) == g.clause("he said idiot".split())
+
+
 def test_exact_groups(docs, empty):
     def check(got):
         for r in got:
