@@ -7,9 +7,9 @@ own and a space after it; the end is a line feed), bit by bit, from what stands
   texts: the last byte; the last two; the last three; the word so far; and the word so far with
   the last frequent word before it, however far back that stands (it tells language and kind).
 * A logistic mixer adds these in the logistic domain, with weights that a gate chooses by how
-  often the last two contexts have been seen. Weights are learned online, a position's own count
-  left out, and go on from bit to bit.
-* A last table maps the mixed probability, by gate, to how often such bits were ones.
+  often the last two contexts have been seen. Weights are learned online: bits are predicted with
+  what was learned from those before them, then learned from, a position's own count left out.
+* A last table, learned alike, maps the mixed probability, by gate, to how often such bits were ones.
 
 Every probability depends on earlier bytes only, so a text's score is the log of a true
 probability, and its bits per byte follow. Beside it stands a base score from word counts.
@@ -19,10 +19,10 @@ the work is done once for each distinct pair of these, whose number grows much s
 texts. Pairs with their counts are a distributed table. It is cut into buckets by the words' first
 bytes (two, and more where very many pairs share these), so that a bucket holds all that is to be counted for the
 word-so-far contexts of its words: sorted, these counts are sums over runs of words, exact, and
-grow with the input. Mixer and last table are learned for each bucket, in the order of its sorted
-words; a bucket is fixed by bytes that are already predicted, and by nothing of the cluster, so the
-number of tasks changes no score. The first bytes are predicted in the same way, from one bucket of
-beginnings. Contexts of the last bytes are finite in number and have tables of fixed size.
+grow with the input. The first bytes are predicted in the same way, from one bucket of beginnings;
+its mixer and last table are where those of each bucket start, and these go on in the order of the
+bucket's sorted words. A bucket is fixed by bytes that are already predicted, and by nothing of the cluster, so
+the number of tasks changes no score. Contexts of the last bytes are finite in number and have tables of fixed size.
 
 Texts then sum their pairs' scores: the most frequent words' are broadcast (HEAD words, which bounds
 the broadcast and changes no result), the others' joined. Words over 63 bytes are predicted in
@@ -35,6 +35,7 @@ import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,16 +45,16 @@ from pyspark.sql import functions as F
 
 from .common import remainder, short_batches, written
 
-#: Frequent words that contexts know; classes: none of them yet, each, and that a piece of a long word came before.
-FREQUENT = 32
+#: Frequent words that contexts know, of so many bytes at most; classes: none of them yet, each, and that a piece of a long word came before.
+FREQUENT, SHORT = 32, 4
 CONTINUED, LONG = FREQUENT + 1, FREQUENT + 2
 KINDS = LONG + 1
 #: Bytes of a piece.
 PIECE = 64
 #: Words whose scores every task knows.
 HEAD = 1 << 18
-#: Words that a task counts before it passes the counts on; bytes that a task reads at once.
-COUNTED, CHUNK = 300_000, 1 << 22
+#: Words, and tokens, that a task counts before it passes the counts on; bytes that a task reads at once.
+COUNTED, HELD, CHUNK = 250_000, 4_000_000, 1 << 22
 #: Pairs of a bucket, about; pairs that may share a beginning before it is lengthened.
 BUCKET, SHARED = 1 << 17, 1 << 19
 #: Slots of the tables for one, two and three bytes; slots of a part in which they are merged.
@@ -63,6 +64,9 @@ SLICE = 1 << 16
 INPUTS, STEP = 6, 1 << 13
 _LEVELS, _STEPS = 6, 33
 _GATES = _LEVELS * _LEVELS
+_LEVEL = np.digitize(np.arange(202), (0.5, 1.5, 4.5, 20.5, 200.5))
+#: Rounds over the beginnings; what a cell of their last table counts for in a bucket.
+ROUNDS, PRIOR = 4, 64
 #: Added to counts of zeros and ones.
 SMALL = 0.02
 END = b"\n"
@@ -88,13 +92,18 @@ def chunks(text: str | None) -> Iterator[bytes]:
     yield data[first:]
 
 
-def digest(word: bytes) -> bytes:
-    """Stands for a long word among the pairs; no word begins with 0xFF."""
-    return b"\xff" + hashlib.sha256(word).digest()
+def spell(key: bytes) -> bytes:
+    """The bytes that are predicted for a key of ``Tokens``: a word's with a space; pieces, ends and digests are what they are."""
+    if key == END or key[0] == 0xFF:
+        return key
+    return key[1:] if key[0] == 0x20 else key + b" "
 
 
 class Tokens:
-    """The tokens of a lot of texts, as numbers of their own vocabulary, with the frequent word before each."""
+    """The tokens of a lot of texts, as numbers of their own vocabulary, with the frequent word before each.
+
+    Keys: words; a space and a piece of a long word; 0xFF and the digest of a long word (no word begins with these); the end.
+    """
 
     def __init__(self, frequent: dict[bytes, int]):
         self.frequent = frequent
@@ -104,59 +113,65 @@ class Tokens:
         self.place: dict[bytes, int] = {}
         self.ranks: list[int] = []
 
-    def number(self, word: bytes) -> int:
-        at = self.place.get(word)
+    def number(self, key: bytes) -> int:
+        at = self.place.get(key)
         if at is None:
-            at = self.place[word] = len(self.place)
-            self.ranks.append(self.frequent.get(word, 0))
+            at = self.place[key] = len(self.place)
+            self.ranks.append(self.frequent.get(key, 0))
         return at
 
+    def pieces(self, words: list[bytes], at: int) -> tuple[list[int], list[int], list[int]]:
+        """Numbers of words of which some are long, the places of continued pieces, and those of digests."""
+        flat: list[int] = []
+        continued: list[int] = []
+        long: list[int] = []
+        for w in words:
+            if len(w) < PIECE:
+                flat.append(self.number(w))
+                continue
+            spelled = w + b" "
+            for i in range(0, len(spelled), PIECE):
+                if i:
+                    continued.append(at + len(flat))
+                flat.append(self.number(b" " + spelled[i : i + PIECE]))
+            long.append(at + len(flat))
+            flat.append(self.number(b"\xff" + hashlib.sha256(w).digest()))
+        return flat, continued, long
+
     def lot(self, pieces: list[tuple[int, bytes, bool]], before: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         """(word, class, row) of all tokens of (row, bytes, whether the text ends here), and the class after them."""
         get, number = self.place.get, self.number
         flat: list[int] = []
-        sizes, rows = [], []
-        continued = []
+        sizes, rows, continued, long = [], [], [], []
         for row, data, ends in pieces:
             words = data.split()
-            if len(data) >= PIECE and max(map(len, words), default=0) >= PIECE:
-                at = len(flat)
-                for w in words:
-                    if len(w) < PIECE:
-                        flat.append(number(w + b" "))
-                        continue
-                    spelled = w + b" "
-                    for i in range(0, len(spelled), PIECE):
-                        if i:
-                            continued.append(len(flat))
-                        flat.append(number(spelled[i : i + PIECE]))
-                    continued.append(~len(flat))
-                    flat.append(number(digest(w)))
-                sizes.append(len(flat) - at + ends)
-            else:
-                found = [get(w + b" ") for w in words]
-                if None in found:
-                    found = [number(w + b" ") if i is None else i for w, i in zip(words, found, strict=True)]
-                flat += found
-                sizes.append(len(found) + ends)
+            found = list(map(get, words))
+            if None in found:
+                new = {w for w, i in zip(words, found, strict=True) if i is None}
+                if max(map(len, new)) >= PIECE:
+                    found, more, digests = self.pieces(words, len(flat))
+                    continued += more
+                    long += digests
+                else:
+                    found = [number(w) if i is None else i for w, i in zip(words, found, strict=True)]
+            flat += found
             if ends:
                 flat.append(number(END))
+            sizes.append(len(found) + ends)
             rows.append(row)
         word = np.array(flat, np.int64)
         row = np.repeat(np.array(rows, np.int64), sizes)
-        new = np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, bool)
+        if not len(word):
+            return word, word, row, before
         at = np.arange(len(word))
-        start = np.maximum.accumulate(np.where(new, at, 0))
-        rank = np.array(self.ranks, np.int64)[word] if len(word) else word
-        last = np.r_[-1, np.maximum.accumulate(np.where(rank > 0, at, -1))[:-1]] if len(word) else at
-        kind = np.where(last >= start, rank[np.maximum(last, 0)] if len(word) else at, 0)
+        start = np.maximum.accumulate(np.where(np.r_[True, row[1:] != row[:-1]], at, 0))
+        rank = np.array(self.ranks, np.int64)[word]
+        last = np.r_[-1, np.maximum.accumulate(np.where(rank > 0, at, -1))[:-1]]
+        kind = np.where(last >= start, rank[np.maximum(last, 0)], 0)
         if before >= 0:  # the first row goes on from the lot before
             kind[(start == 0) & (last < 0)] = before
-        after = int(rank[-1] or kind[-1]) if len(word) else before
-        if continued:
-            of = np.array(continued)
-            kind[of[of >= 0]] = CONTINUED
-            kind[~of[of < 0]] = LONG
+        after = int(rank[-1] or kind[-1])
+        kind[continued], kind[long] = CONTINUED, LONG
         return word, kind, row, after
 
 
@@ -187,7 +202,7 @@ def _lots(batches: Iterator[pa.RecordBatch], tokens_: Tokens, number: int) -> It
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n): partial counts of words that fit in one piece."""
+    """(word, n): partial counts of words of up to SHORT bytes."""
     counts: Counter = Counter()
 
     def flush() -> pa.RecordBatch:
@@ -196,7 +211,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in batch.column(0).to_pylist():
             for part in chunks(text):
-                counts.update(part.split())
+                counts.update([w for w in part.split() if len(w) <= SHORT])
             if len(counts) > COUNTED:
                 yield flush()
                 counts = Counter()
@@ -208,28 +223,34 @@ def _pairs(frequent: dict[bytes, int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Tokens(frequent)
-        total: dict[int, int] = {}
-
-        def flush() -> pa.RecordBatch:
-            keys = np.fromiter(total, np.int64, len(total))
-            words = np.array([*found.place, b""], object)[keys // KINDS]
-            columns = [pa.array(words, pa.binary()), pa.array((keys % KINDS).astype(np.int32)), pa.array(np.fromiter(total.values(), np.int64, len(total)))]
-            return pa.RecordBatch.from_arrays(columns, ["spelled", "kind", "n"])
+        keys: list[np.ndarray] = []
+        learned: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if not keys:
+                return
+            key, learn = np.concatenate(keys), np.concatenate(learned)
+            every = np.bincount(key, minlength=len(found.place) * KINDS) > 0
+            at = np.flatnonzero(every)
+            n = np.bincount(key[learn], minlength=len(every))[at]
+            words = pa.array([spell(k) for k in found.place], pa.binary())
+            for i in range(0, len(at), 1 << 16):
+                some = at[i : i + (1 << 16)]
+                columns = [words.take(pa.array(some // KINDS)), pa.array((some % KINDS).astype(np.int32)), pa.array(n[i : i + (1 << 16)])]
+                yield pa.RecordBatch.from_arrays(columns, ["spelled", "kind", "n"])
+            keys.clear()
+            learned.clear()
+            found.clear()
 
         for others, word, kind, row in _lots(batches, found, -1):
-            if not len(word):
-                continue
-            first = int(row[0])
-            learn = np.array([others.get(r, (False,))[0] for r in range(first, int(row[-1]) + 1)], bool)
-            key, at = np.unique(word * KINDS + kind, return_inverse=True)
-            n = np.bincount(at, learn[row - first], len(key)).astype(np.int64)
-            for k, c in zip(key.tolist(), n.tolist(), strict=True):
-                total[k] = total.get(k, 0) + c
-            if len(total) > COUNTED:
-                yield flush()
-                total.clear()
-                found.clear()
-        yield flush()
+            if len(word):
+                first = int(row[0])
+                learn = np.array([others.get(r, (False,))[0] for r in range(first, int(row[-1]) + 1)], bool)
+                keys.append(word * KINDS + kind)
+                learned.append(learn[row - first])
+            if len(found.place) > COUNTED or sum(map(len, keys)) > HELD:
+                yield from flush()
+        yield from flush()
 
     return run
 
@@ -295,58 +316,66 @@ class Bucket:
 
     @staticmethod
     def _runs(c: np.ndarray, bit: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Zeros and ones of each element's run."""
+        """How often each element's run has its bit, and the other."""
         starts = np.flatnonzero(new)
         sizes = np.diff(np.r_[starts, len(c)])
-        every, ones = np.add.reduceat(c, starts), np.add.reduceat(c * bit, starts)
-        return np.repeat(every - ones, sizes), np.repeat(ones, sizes)
+        every, ones = np.repeat(np.add.reduceat(c, starts), sizes), np.repeat(np.add.reduceat(c * bit, starts), sizes)
+        same = np.where(bit, ones, every - ones)
+        return same, every - same
+
+    @staticmethod
+    def _stretched(same: np.ndarray, other: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logarithms of ones to zeros, with and without the position's own count."""
+        same, other = same.astype(np.float32), np.log(other.astype(np.float32) + np.float32(SMALL))
+        return sign * (np.log(same + np.float32(SMALL)) - other), sign * (np.log(np.maximum(same - 1, 0) + np.float32(SMALL)) - other)
 
-    def bits(self, counts: np.ndarray, learning: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(rows, bits, inputs, gates) of each bit's place. Learning: without the position's own count."""
+    @staticmethod
+    def _level(n: np.ndarray) -> np.ndarray:
+        return _LEVEL[np.clip(n, 0, len(_LEVEL) - 1).astype(np.int32)]
+
+    def bits(self, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]]:
+        """(rows, bits, inputs, gates) of each bit's place; inputs and gates with the position's own count, and without."""
         pairs = counts.reshape(-1, 2)
         for d, active in self.depths():
             mark = np.full(len(self.sizes), -1)
             mark[active] = np.arange(len(active))
             rows = np.flatnonzero(mark[self.of] >= 0)
             up = mark[self.of[rows]]
-            ranked = self.order[mark[self.of[self.order]] >= 0]
+            there = mark[self.of[self.order]]
+            ranked = self.order[there >= 0]
             back = np.empty(len(self.of), np.int64)
             back[ranked] = np.arange(len(ranked))
             back = back[rows]
             byte = self.bytes[active, d].astype(np.int64)
-            byte_kind = byte[mark[self.of[ranked]]]
-            new = self.alike[active] < d
-            new[0] = True
-            new_kind = self.alike_kind[np.flatnonzero(mark[self.of[self.order]] >= 0)] < d
-            new_kind[0] = True
+            byte_kind = byte[there[there >= 0]]
+            new, new_kind = self.alike[active] < d, self.alike_kind[there >= 0] < d
+            new[0] = new_kind[0] = True
             bases, c, n = self.slots(d, active), self.c[active], self.n[ranked]
-            own = learning * 1.0
-            x = np.empty((INPUTS, len(rows)), np.float32)
-            x[-1] = 0.3
+            x, alone = np.empty((INPUTS, len(rows)), np.float32), np.empty((INPUTS, len(rows)), np.float32)
+            x[-1] = alone[-1] = 0.3
             for j in range(8):
                 bit = byte >> (7 - j) & 1
-                one, zero = own * bit, own * (1 - bit)
+                sign = (2 * bit - 1).astype(np.float32)
                 node = 1 << j | byte >> (8 - j)
                 for t, base in enumerate(bases):
-                    seen = pairs[self.slot(t, base, node)].astype(np.float32)
-                    x[t] = np.log((np.maximum(seen[:, 1] - one, 0) + SMALL) / (np.maximum(seen[:, 0] - zero, 0) + SMALL))[up]
-                zeros, ones = self._runs(c, bit, new)
-                zeros, ones = np.maximum(zeros - zero, 0), np.maximum(ones - one, 0)
-                x[3] = np.log((ones + SMALL) / (zeros + SMALL))[up]
-                gate = self._level(zeros + ones)[up] * _LEVELS
+                    seen = pairs[self.slot(t, base, node)]
+                    own = bit == 1
+                    with_, without = self._stretched(np.where(own, seen[:, 1], seen[:, 0]), np.where(own, seen[:, 0], seen[:, 1]), sign)
+                    x[t], alone[t] = with_[up], without[up]
+                same, other = self._runs(c, bit, new)
+                with_, without = self._stretched(same, other, sign)
+                x[3], alone[3] = with_[up], without[up]
+                gate, gate_alone = self._level(same + other)[up] * _LEVELS, self._level(same + other - (same > 0))[up] * _LEVELS
                 bit_kind = byte_kind >> (7 - j) & 1
-                zeros, ones = self._runs(n, bit_kind, new_kind)
-                zeros, ones = np.maximum(zeros - own * (1 - bit_kind), 0), np.maximum(ones - own * bit_kind, 0)
-                x[4] = np.log((ones + SMALL) / (zeros + SMALL))[back]
-                gate += self._level(zeros + ones)[back]
-                yield rows, bit[up], x, gate
+                same, other = self._runs(n, bit_kind, new_kind)
+                with_, without = self._stretched(same, other, (2 * bit_kind - 1).astype(np.float32))
+                x[4], alone[4] = with_[back], without[back]
+                gate += self._level(same + other)[back]
+                gate_alone += self._level(same + other - (same > 0))[back]
+                yield rows, bit[up], (x, alone), (gate, gate_alone)
                 new[1:] |= bit[1:] != bit[:-1]
                 new_kind[1:] |= bit_kind[1:] != bit_kind[:-1]
 
-    @staticmethod
-    def _level(n: np.ndarray) -> np.ndarray:
-        return np.digitize(n, (0.5, 1.5, 4.5, 20.5, 200.5))
-
 
 class Mixer:
     """Weights: a row of INPUTS for each gate. Last table: ones and bits seen. Both are learned online."""
@@ -357,22 +386,38 @@ class Mixer:
         self.last = np.zeros((_GATES * _STEPS, 2))
         self.steps = np.zeros(_GATES)
 
+    def begun(self) -> Mixer:
+        """Where another bucket starts: these weights, and the last table as if seen PRIOR times at most."""
+        new = Mixer()
+        new.weights = self.weights.copy()
+        new.last = self.last * np.minimum(1, PRIOR / np.maximum(self.last[:, 1:], 1e-9))
+        new.steps = np.minimum(self.steps, 30)
+        return new
+
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        dot = x[0] * self.weights[gate, 0]
-        for k in range(1, INPUTS):
-            dot += x[k] * self.weights[gate, k]
-        return np.clip(dot, -12, 12)
+        return np.clip(np.einsum("ki,ik->i", x, self.weights[gate]), -12, 12)
 
     @staticmethod
     def step(dot: np.ndarray, gate: np.ndarray) -> np.ndarray:
         return gate * _STEPS + np.rint((dot + 12) * ((_STEPS - 1) / 24)).astype(np.int64)
 
-    def learn(self, bucket: Bucket, counts: np.ndarray) -> None:
-        """Steps over the bits of the bucket's training positions, a pair counting as often as it occurs."""
-        for rows, bits, x, gates in bucket.bits(counts, True):
+    def run(self, bucket: Bucket, counts: np.ndarray) -> np.ndarray:
+        """log10 of each pair's probability, given the bytes before ``first``; learns from each step's bits after it.
+
+        A pair is learned from as often as it occurs in training texts, each occurrence without its own count.
+        """
+        total = np.zeros(len(bucket.of))
+        for rows, bits, (x, alone), (gates, gates_alone) in bucket.bits(counts):
             weight = bucket.n[rows]
             for i in range(0, len(rows), STEP):
-                near, gate, bit, w = x[:, i : i + STEP], gates[i : i + STEP], bits[i : i + STEP], weight[i : i + STEP]
+                part = slice(i, i + STEP)
+                bit, w = bits[part], weight[part]
+                dot = self.mixed(x[:, part], gates[part])
+                p = 1 / (1 + np.exp(-dot))
+                seen = self.last[self.step(dot, gates[part])]
+                p = np.clip((p + (seen[:, 0] + 16 * p) / (seen[:, 1] + 16)) / 2, 1e-6, 1 - 1e-6)
+                total[rows[part]] += np.log10(np.where(bit == 1, p, 1 - p))
+                near, gate = alone[:, part], gates_alone[part]
                 dot = self.mixed(near, gate)
                 step = self.step(dot, gate)
                 self.last[:, 0] += np.bincount(step, w * bit, len(self.last))
@@ -383,16 +428,6 @@ class Mixer:
                 for k in range(INPUTS):
                     self.weights[:, k] += rate * np.bincount(gate, error * near[k], _GATES)
                 self.steps += many > 0
-
-    def score(self, bucket: Bucket, counts: np.ndarray) -> np.ndarray:
-        """log10 of each pair's probability, given the bytes before ``first``."""
-        total = np.zeros(len(bucket.of))
-        for rows, bits, x, gate in bucket.bits(counts, False):
-            dot = self.mixed(x, gate)
-            p = 1 / (1 + np.exp(-dot))
-            ones, seen = self.last[self.step(dot, gate)].T
-            p = np.clip((p + (ones + 16 * p) / (seen + 16)) / 2, 1e-6, 1 - 1e-6)
-            total[rows] += np.log10(np.where(bits == 1, p, 1 - p))
         return total
 
 
@@ -448,12 +483,10 @@ def _scored(counts, begun):
     """(spelled, kind, score, known): each pair's log10 probability, and its word's count in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start = begun.value
+        start, mixer = begun.value
         for _, spelled, kind, n, first in _buckets(batches):
             bucket = Bucket(spelled, kind, n, first)
-            mixer = Mixer()
-            mixer.learn(bucket, counts.value)
-            score = mixer.score(bucket, counts.value)
+            score = mixer.begun().run(bucket, counts.value)
             score += [start[s[:f], k] for s, f, k in zip(spelled, first.tolist(), kind.tolist(), strict=True)]
             word = np.where(kind == CONTINUED, 0, n)
             known = np.add.reduceat(word, bucket.starts)[bucket.of]
@@ -472,23 +505,25 @@ def _documents(frequent: dict[bytes, int], head):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, known, scores_ = head.value
         found = Tokens(frequent)
+        names_of: list[bytes] = []
+        facts = np.zeros((0, 3), np.int64)  # of each key: place in the head, bytes, whether it is a token
         for others, word, kind, row in _lots(batches, found, TaskContext.get().partitionId() << 33):
-            names_of = list(found.place)
-            at = np.array([place.get(w, -1) for w in names_of], np.int64)
-            size = np.array([len(w) if w[:1] != b"\xff" else 0 for w in names_of], np.int64)
-            whole = np.array([w[-1:] == b" " or w == END or w[:1] == b"\xff" for w in names_of], bool)
-            of = at[word] if len(word) else word
+            new = [spell(k) for k in islice(found.place, len(names_of), None)]
+            if new:
+                facts = np.concatenate([facts, [(place.get(w, -1), 0 if w[0] == 0xFF else len(w), w[-1:] == b" " or w == END or w[0] == 0xFF) for w in new]])
+                names_of += new
+            of, size, token = facts[word].T
             held = of >= 0
             c = np.where(held, known[np.maximum(of, 0)], 0)
             # What a token of the base is: a whole word, not the last piece of a long one.
-            token = whole[word] & (kind != CONTINUED) if len(word) else held
+            token = (token > 0) & (kind != CONTINUED)
             first = min(others)
             r, many = row - first, max(others) - first + 1
             values = [
                 np.bincount(r, token, many), np.bincount(r, held & token & (c > 0), many),
                 np.bincount(r, np.where(held & token, np.log10(c + 0.1), 0), many),
                 np.bincount(r, np.where(held, scores_[np.maximum(of, 0), kind], 0), many),
-                np.bincount(r, size[word] if len(word) else r, many),
+                np.bincount(r, size, many),
             ]
             # The other pairs, counted by text.
             other = np.flatnonzero(~held)
@@ -502,6 +537,7 @@ def _documents(frequent: dict[bytes, int], head):
             yield pa.RecordBatch.from_arrays([*(pa.array(list(v), k) if isinstance(v, list) else pa.array(v).cast(k, safe=False) for v, k in zip(columns, kinds, strict=True)), lists], names)
             if len(found.place) > COUNTED:
                 found.clear()
+                names_of, facts = [], facts[:0]
 
     return run
 
@@ -545,8 +581,8 @@ def scores(docs: DataFrame) -> DataFrame:
     short_batches(spark)
     learn = F.coalesce(remainder(F.col("doc_id"), 10) != 0, F.lit(False)).alias("learn")
     words = docs.filter(learn).select("text").mapInArrow(_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = words.filter(F.length("word") < PIECE).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    frequent = {bytes(r.word) + b" ": i + 1 for i, r in enumerate(top)}
+    top = words.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    frequent = {bytes(r.word): i + 1 for i, r in enumerate(top)}
 
     counted = docs.select("text", learn).mapInArrow(_pairs(frequent), "spelled binary, kind int, n long")
     every = written(counted.groupBy("spelled", "kind").agg(F.sum("n").alias("n")), "pairs")
@@ -564,9 +600,10 @@ def scores(docs: DataFrame) -> DataFrame:
         tables[r.part * 2 * SLICE : (r.part + 1) * 2 * SLICE] = np.frombuffer(r.counts, np.float16)
     first = Bucket([b for b, _, _ in leaves], np.array([k for _, k, _ in leaves]), np.array([n for _, _, n in leaves]), np.zeros(len(leaves), np.int64))
     mixer = Mixer()
-    mixer.learn(first, tables)
-    start = {(b, k): s for (b, k, _), s in zip(leaves, mixer.score(first, tables).tolist(), strict=True)}
-    spelled = sorted_.mapInArrow(_scored(sc.broadcast(tables), sc.broadcast(start)), "spelled binary, kind int, score float, known long")
+    for _ in range(ROUNDS):
+        score = mixer.run(first, tables)
+    start = {(b, k): s for (b, k, _), s in zip(leaves, score.tolist(), strict=True)}
+    spelled = sorted_.mapInArrow(_scored(sc.broadcast(tables), sc.broadcast((start, mixer))), "spelled binary, kind int, score float, known long")
     long = every.filter(F.col("kind") == LONG).select("spelled", "kind", F.lit(0.0).cast("float").alias("score"), F.col("n").alias("known"))
     scored = written(spelled.unionByName(long), "spelled")
     token = F.substring("spelled", -1, 1).isin(b" ", END) & (F.col("kind") != CONTINUED) | (F.col("kind") == LONG)
