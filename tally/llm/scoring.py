@@ -402,22 +402,22 @@ class Mixer:
         return gate * _STEPS + np.rint((dot + 12) * ((_STEPS - 1) / 24)).astype(np.int64)
 
     def run(self, bucket: Bucket, counts: np.ndarray) -> np.ndarray:
-        """log10 of each pair's probability, given the bytes before ``first``; learns from each step's bits after it.
+        """log10 of each pair's probability, given the bytes before ``first``; learns from each bit's places after it.
 
         A pair is learned from as often as it occurs in training texts, each occurrence without its own count.
         """
         total = np.zeros(len(bucket.of))
         for rows, bits, (x, alone), (gates, gates_alone) in bucket.bits(counts):
+            # All of a bit's places are scored with the same weights, so that zeros and ones sum to one.
+            dot = self.mixed(x, gates)
+            p = 1 / (1 + np.exp(-dot))
+            seen = self.last[self.step(dot, gates)]
+            p = np.clip((p + (seen[:, 0] + 16 * p) / (seen[:, 1] + 16)) / 2, 1e-6, 1 - 1e-6)
+            total[rows] += np.log10(np.where(bits == 1, p, 1 - p))
             weight = bucket.n[rows]
             for i in range(0, len(rows), STEP):
                 part = slice(i, i + STEP)
-                bit, w = bits[part], weight[part]
-                dot = self.mixed(x[:, part], gates[part])
-                p = 1 / (1 + np.exp(-dot))
-                seen = self.last[self.step(dot, gates[part])]
-                p = np.clip((p + (seen[:, 0] + 16 * p) / (seen[:, 1] + 16)) / 2, 1e-6, 1 - 1e-6)
-                total[rows[part]] += np.log10(np.where(bit == 1, p, 1 - p))
-                near, gate = alone[:, part], gates_alone[part]
+                near, gate, bit, w = alone[:, part], gates_alone[part], bits[part], weight[part]
                 dot = self.mixed(near, gate)
                 step = self.step(dot, gate)
                 self.last[:, 0] += np.bincount(step, w * bit, len(self.last))
