@@ -17,12 +17,14 @@ BATCH_BYTES = 8 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine), a temporary folder is set.
+    Only on one machine (tests), and only where the session names none, a temporary folder is set.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tally-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -49,3 +51,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def remainder(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; null ids give null."""
     return F.crc32(doc_id.cast("string").cast("binary")) % mod
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, or with a number behind it if ``columns`` has it already."""
+    taken = {c.lower() for c in columns}
+    return next(n for n in (name, *(f"{name}_{i}" for i in range(1, len(taken) + 2))) if n.lower() not in taken)
+
+
+def joined(rows: DataFrame, one: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``one``, which has a row a key and, in ``size``, how many rows the key has.
+
+    Keys of more than a ten-thousandth of ``total`` rows (and of more than 100) are broadcast, of which there are
+    10,000 at most; so no task gets more of one key, and the rows of a frequent key stay where they are.
+    """
+    limit = max(100, total // 10_000)
+    often = one.filter(F.col(size) > limit)
+    hot = rows.join(F.broadcast(often), key)
+    cold = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(one.filter(F.col(size) <= limit), key)
+    return hot.unionByName(cold)

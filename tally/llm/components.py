@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import joined, written
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Every larger neighbour of a node is tied to the node's smallest neighbour (or itself)."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("size"))
+    return joined(both.filter("b > a"), least, "a", "size", 2 * total).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """A node and its smaller neighbours are tied to the smallest of them. Edges have a > b."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("size"))
+    moved = joined(edges, least, "a", "size", total).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
@@ -26,13 +26,15 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node in ``links`` (a, b: long); component: the smallest node reached.
 
     Each step's links are a written table, so the plan stays short; only their
-    count and a checksum come to the driver. A star forest is the fixed point.
+    count and a checksum come to the driver. A star forest is the fixed point. The centre of a
+    large star is a frequent key: its join broadcasts it. An empty table gives an empty one.
     """
     directed = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     edges = written(links.select(*directed).filter("a <> b").distinct(), "links")
-    mark = None
+    mark, total = None, edges.count()
     while True:
-        edges = written(_small_star(_large_star(edges).select(*directed)), "links")
+        larger = written(_large_star(edges, total).select(*directed), "links")
+        edges = written(_small_star(larger, total), "links")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
             break

@@ -1,10 +1,10 @@
 """Exact dedup: group by a 128-bit content hash, compare bytes inside groups, keep one id.
 
-Rows are grouped by the MD5 of the text without moving texts. Only texts whose hash
-occurs more than once are then moved, once by id and once by hash, and compared with
-the text of the row that stays. Texts that differ in spite of equal hashes (collisions)
-are grouped by the text itself. A group may be any share of the rows: counts combine on
-the map side, and the joins have one row a group on one side, so Spark can split the other.
+Rows are grouped by the MD5 of the text without moving texts. Only texts whose hash occurs more
+than once are then compared: they are grouped by hash and text, which compares bytes and combines
+equal texts on the map side, so a large group moves one text a task. Texts that differ in spite of
+equal hashes (collisions) are grouped by the text itself. A group may be any share of the rows:
+hashes of many rows are broadcast instead of joined by key (``common.joined``).
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import joined, written
 
 
 def _digest(text: Column) -> Column:
@@ -35,19 +35,15 @@ def exact_groups(docs: DataFrame, keep: str = "largest", digest=_digest) -> Data
     digests = written(rows.select("doc_id", "key", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")), "digests")
     groups = written(digests.groupBy("key").agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "sizes")
 
-    several = groups.filter("group_size > 1")
-    members = digests.join(several.select("key", "keep_id"), "key").filter("doc_id is not null").select("doc_id", "key", "keep_id").distinct()
-    texts = written(rows.join(members, ["doc_id", "key"]), "copies")
-    first = texts.filter("doc_id = keep_id").groupBy("key").agg(F.min("text").alias("first"))
-    # A group without its text here has null ids only: nothing to compare it with, so it is compared by itself.
-    unequal = texts.join(first, "key").filter("text <> first").select("key").distinct()
-    nameless = digests.join(several.filter("keep_id is null").select("key"), "key", "left_semi").groupBy("key").agg(F.countDistinct("text_sha256").alias("n")).filter("n > 1").select("key")
-    collided = written(unequal.unionByName(nameless).distinct(), "collided")
+    total = digests.count()
+    several = groups.filter("group_size > 1").select("key", "group_size")
+    texts = joined(rows, several, "key", "group_size", total).groupBy("key", "text").agg(F.count(F.lit(1)).alias("n"))
+    collided = written(texts.groupBy("key").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("key"), "collided")
 
     if collided.isEmpty():
-        out = digests.join(groups, "key")
+        out = joined(digests, groups, "key", "group_size", total)
     else:
-        plain = digests.join(collided, "key", "left_anti").join(groups, "key")
+        plain = joined(digests.join(collided, "key", "left_anti"), groups, "key", "group_size", total)
         clash = rows.join(collided, "key", "left_semi")
         each = clash.groupBy("key", "text").agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         clash = clash.join(each, ["key", "text"]).withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256))
@@ -56,7 +52,11 @@ def exact_groups(docs: DataFrame, keep: str = "largest", digest=_digest) -> Data
 
 
 def exact_dedup(docs: DataFrame, keep: str = "largest") -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns kept."""
+    """``docs`` with one row of each group of equal texts, all columns kept.
+
+    A null text counts as empty. Rows that repeat both doc_id and text leave one of them; rows without a doc_id
+    go if another row has their text, else one of them stays for each text. An empty table gives an empty one.
+    """
     stay = written(exact_groups(docs, keep).filter("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("times")), "stay")
     sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     marked = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), sha.alias("sha"))
