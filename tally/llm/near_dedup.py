@@ -7,7 +7,7 @@ Jaccard similarity is at least the threshold; groups are the connected component
 Texts with equal sets are one *representative* from the start. Candidates come from
 inverted lists of retained values:
 
-* A value held by at most ``RARE`` representatives is rare. A text lists itself
+* A value held by at most ``RARE`` representatives is rare, at any size of the corpus; others are common (each text's are joined to it). A text lists itself
   under its smallest values; if one of these is common, under so many of its rare
   values that any partner must meet it (prefix filter on the sketch, non-rare
   values last). Such lists are short by definition, so their pairs are few.
@@ -35,17 +35,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import short_batches, written
+from .common import joined, short_batches, written
 from .components import components
 
 SKETCH = 64
 PREFIX = 10
 SHARED = 36
 RARE = 64
+#: Members of a hub that meet one copy of its text.
+HUB_ROWS = 256
 #: Bytes of a block of sets of crowded texts.
 BLOCK = 1 << 19
-#: The list of common values is broadcast; RARE is doubled until it has no more entries than this.
-MAX_COMMON = 1 << 17
 
 
 def _sketches(size: int):
@@ -65,23 +65,23 @@ def _sketches(size: int):
 
 
 def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every retained value, once a representative."""
+    """(sig, v): every retained value, once a representative."""
     for batch in batches:
-        body = b"".join(batch.column(0).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(body, np.int64))], ["v"])
+        sketches = batch.column("sketch").to_pylist()
+        values = pa.array(np.frombuffer(b"".join(sketches), np.int64))
+        of = np.repeat(np.arange(len(sketches)), [len(x) >> 3 for x in sketches])
+        yield pa.RecordBatch.from_arrays([batch.column("sig").take(pa.array(of)), values], ["sig", "v"])
 
 
-def _postings(common, least: float):
-    """(v, node, n, crowded, usual): the lists a representative goes to; crowded ones go to PREFIX lists more."""
+def _postings(least: float):
+    """(v, node, n, crowded, usual): the lists a representative (node, n, sketch, common values) goes to; crowded ones go to PREFIX lists more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = np.frombuffer(common.value, np.uint64)
         for batch in batches:
             v, node, size, full, usual = [], [], [], [], []
-            for i, n, sketch in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for i, n, sketch, common in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "sketch", "common")), strict=True):
                 kept = np.frombuffer(sketch, np.uint64)
-                place = np.minimum(np.searchsorted(often, kept), max(len(often) - 1, 0))
-                hot = often[place] == kept if len(often) else np.zeros(len(kept), bool)
+                hot = np.isin(kept.view(np.int64), common) if common else np.zeros(len(kept), bool)
                 first = min(PREFIX, n - int(np.ceil(least * n - 1e-9)) + 1)
                 if not hot[:first].any():
                     parts = [(kept[:first], False)]
@@ -208,6 +208,16 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
 
 
+def _with_hubs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The same for pairs (member, hub): members of a hub are dealt to keys of about HUB_ROWS, and its text is copied to each."""
+    hubs = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("size")).withColumn("many", F.ceil(F.col("size") / HUB_ROWS).cast("long"))
+    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")).join(hubs.drop("size"), "b")
+    two = two.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1))).drop("many")
+    dealt = joined(pairs, hubs, "b", "size", pairs.count()).withColumn("part", F.pmod(F.xxhash64("a"), F.col("many")))
+    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+    return dealt.join(one, "a").join(two, ["b", "part"]).select("a", "b", "ta", "tb")
+
+
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text).
 
@@ -215,7 +225,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     component_id is the smallest doc_id of the row's group; kept marks that row.
 
     Null or empty texts and texts without words have no shingles and are linked with
-    nothing. Shorter texts than a shingle are one shingle. A null doc_id is in no group
+    nothing (but with other rows of their id). Shorter texts than a shingle are one shingle. A null doc_id is in no group
     (component_id null, kept true). Rows that share a doc_id are versions of one
     document: linked by the id, all kept or none. An empty table gives an empty one.
     """
@@ -225,26 +235,25 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text"))
     rows = written(docs.mapInArrow(_sketches(size), "doc_id long, n long, sig binary, sketch binary"), "sketches")
     sets = rows.filter("doc_id is not null and n > 0")
-    one_each = written(sets.groupBy("sig").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sets")
+    one_each = written(sets.groupBy("sig").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies")), "sets")
     reps = one_each.select("node", "n", "sketch")
 
-    held = written(reps.select("sketch").mapInArrow(_values, "v long").groupBy("v").count().filter(f"count > {RARE}"), "held")
-    limit = RARE
-    while held.filter(f"count > {limit}").count() > MAX_COMMON:
-        limit *= 2
-    often = np.sort(np.array([r.v for r in held.filter(f"count > {limit}").select("v").collect()], np.int64).view(np.uint64))
-    common = spark.sparkContext.broadcast(often.tobytes())
-    lists = written(reps.mapInArrow(_postings(common, least), "v long, node long, n long, crowded boolean, usual int"), "lists")
+    values = one_each.select("sig", "sketch").mapInArrow(_values, "sig binary, v long")
+    held = written(values.groupBy("v").count().filter(f"count > {RARE}"), "held")
+    every = one_each.agg(F.coalesce(F.sum(F.octet_length("sketch")), F.lit(0)).alias("n")).first().n // 8
+    common = joined(values, held, "v", "count", every).groupBy("sig").agg(F.collect_list("v").alias("common"))  # SKETCH at most
+    known = one_each.join(common, "sig", "left").select("node", "n", "sketch", "common")
+    lists = written(known.mapInArrow(_postings(least), "v long, node long, n long, crowded boolean, usual int"), "lists")
 
     sized = F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
     rare = lists.filter("not crowded")
     rare = rare.alias("x").join(rare.alias("y"), "v").filter("x.node < y.node").filter(sized).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    sketch_of = reps.groupBy("node").agg(F.first("sketch").alias("sketch"))
+    sketch_of = reps.select("node", "sketch")  # of a repeated id, all of its versions' sketches
 
     def likely(pairs: DataFrame) -> DataFrame:
         with_a = pairs.join(sketch_of.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
         both = with_a.join(sketch_of.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-        return both.select("a", "b", "sa", "sb").mapInArrow(_estimated(least), "a long, b long")
+        return both.select("a", "b", "sa", "sb").mapInArrow(_estimated(least), "a long, b long").distinct()
 
     candidates = written(likely(rare), "candidates")
     crowd = lists.filter("crowded")
@@ -255,33 +264,49 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     linked = F.expr(f"100 * inter >= {percent} * both")
     links = written(_compared(candidates, texts, size).filter(linked).select("a", "b"), "links")
     if not crowd.isEmpty():
-        hubs = crowd.groupBy("v").agg(F.max_by("node", F.struct("usual", F.xxhash64("node"))).alias("hub"))
-        at_hub = crowd.join(hubs, "v").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-        apart = _with_texts(at_hub, texts).mapInArrow(_at_hub(size, percent), "node long, hub long, n long, linked boolean, set binary")
+        hubs = crowd.groupBy("v").agg(F.max_by("node", F.struct("usual", F.xxhash64("node"))).alias("hub"), F.count(F.lit(1)).alias("size"))
+        at_hub = joined(crowd, hubs, "v", "size", crowd.count()).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+        at_hub = written(at_hub, "members")
+        apart = _with_hubs(at_hub, texts).mapInArrow(_at_hub(size, percent), "node long, hub long, n long, linked boolean, set binary")
         apart = written(apart, "apart")
         links = links.unionByName(apart.filter("linked and node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
-        member = F.struct("node", "n", "set")
-
-        def blocks(side: DataFrame, name: str) -> DataFrame:
-            """Members of a hub dealt by hash to blocks of about BLOCK bytes."""
-            many = side.groupBy("hub").agg(F.ceil(F.sum(8 * F.col("n")) / BLOCK).alias("many"))
-            dealt = side.join(many, "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.col("many")))
-            return dealt.groupBy("hub", "block").agg(F.collect_list(member).alias(name)).select("hub", name)
-
-        met = blocks(apart.filter("not linked"), "x").join(blocks(apart, "y"), "hub")
+        member, members = F.struct("node", "n", "set"), apart.count()
+
+        def blocks(side: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+            """Members of a hub dealt by hash to blocks of about BLOCK bytes, and the number of blocks of each hub."""
+            many = side.groupBy("hub").agg(F.ceil(F.sum(8 * F.col("n")) / BLOCK).cast("long").alias("many"), F.count(F.lit(1)).alias("size"))
+            dealt = joined(side, many, "hub", "size", members).withColumn("block", F.pmod(F.xxhash64("node"), F.col("many")))
+            return dealt.groupBy("hub", "block").agg(F.collect_list(member).alias(name)), many.select("hub", "many")
+
+        # Every block that holds a text apart from its hub meets every block of that hub, each pair of blocks by its own key.
+        (x, _), (y, of_hub) = blocks(apart.filter("not linked"), "x"), blocks(apart, "y")
+        x = x.drop("block").join(of_hub, "hub").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)))
+        met = x.join(y, ["hub", "block"])
         # Dealt anew: a task gets a few pairs of blocks, whatever hub they have.
         met = met.select("x", "y").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2))
         links = links.unionByName(met.mapInArrow(_forest(percent), "a long, b long"))
 
-    groups = components(links)
-    of_set = one_each.select("sig", "node").join(groups, "node", "left").select("sig", F.coalesce("component", "node").alias("grp"))
-    # Rows that share an id share its smallest group.
-    named = rows.select("doc_id", F.col("n").alias("n_shingles"), "sig").join(of_set, "sig", "left")
-    named = named.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("grp", "doc_id")).alias("component_id"))
+    # Rows that share an id are linked by it: the id is tied to each of its sets.
+    versions = sets.select("doc_id", "sig").distinct()
+    repeated = versions.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    tied = versions.join(repeated, "doc_id").join(one_each.select("sig", "node"), "sig")
+    groups = components(links.unionByName(tied.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))))
+    # Of equal sets there may be any number: they are a frequent key. Rows without a set go by their id.
+    sized = one_each.select("sig", "node", "copies").join(groups, "node", "left").select("sig", "copies", F.coalesce("component", "node").alias("grp"))
+    some = rows.filter("doc_id is not null and n > 0").select("doc_id", F.col("n").alias("n_shingles"), "sig")
+    with_set = joined(some, sized, "sig", "copies", rows.count()).select("doc_id", "n_shingles", F.col("grp").alias("component_id"))
+    none = rows.filter("doc_id is null or n = 0").select("doc_id", F.col("n").alias("n_shingles"))
+    by_id = with_set.join(none.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "component_id").distinct()
+    none = none.join(by_id, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = with_set.unionByName(none)
     return named.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group of near copies, all columns kept."""
+    """``docs`` with one document of each group of near copies, all columns kept.
+
+    Rows without a doc_id, and texts without words, stay. Rows that share a doc_id stay or go together.
+    An empty table gives an empty one.
+    """
     kept = near_groups(docs, size, percent).filter("kept and doc_id is not null").select("doc_id").distinct()
     return docs.filter("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi").select(docs.columns))
