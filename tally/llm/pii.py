@@ -4,8 +4,8 @@ Each kind of value is found by a pattern and checked (Luhn digit of payment card
 IPv4 addresses, real calendar dates, ...). A valid value is mapped by a keyed Feistel network
 to another valid value of its own format: digits to digits, the check digit anew, dates to
 dates. The network permutes the values of a format, so equal values get equal pseudonyms in all
-documents and different values different ones (mail boxes and tokens, which have no such
-format, get a keyed digest in their own letters and digits instead). The key is a parameter: the same key keeps
+documents and different values different ones. The format of mail boxes, host names and tokens is the
+kind of each character (letter, digit, sign), which stays. The key is a parameter: the same key keeps
 values linked over many runs, and without it the mapping can't be undone.
 
 A text is split at the matches, the matches are mapped, and the two are put together
@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 #: Rounds of the Feistel network.
 ROUNDS = 8
 #: Days that dates are permuted in: 1900-01-01 and so many after it.
@@ -193,38 +195,64 @@ def _phone(v: Column, key: str) -> Column:
     return F.when(ok, F.concat(head, _refill(rest, permute_digits(d, key, F.concat(F.lit("phone"), head))))).otherwise(v)
 
 
-def _letters(v: Column, key: str, kind: str) -> Column:
-    """Letters to letters and digits to digits, place by place, by a keystream of the value's skeleton-free digest.
+def _alphabet(c: Column, by: Column) -> Column:
+    """A digit or small letter moved on by so many places among its kind; other characters stay."""
+    return (
+        F.when(c.rlike("[0-9]"), F.chr(F.pmod(F.ascii(c) - 48 + by, F.lit(10)) + 48))
+        .when(c.rlike("[a-z]"), F.chr(F.pmod(F.ascii(c) - 97 + by, F.lit(26)) + 97))
+        .otherwise(c)
+    )
+
+
+def _hexadecimal(c: Column, by: Column) -> Column:
+    at = F.instr(F.lit("0123456789abcdef"), c) - 1
+    return F.substring(F.lit("0123456789abcdef"), F.pmod(at + by, F.lit(16)) + 1, F.lit(1))
+
+
+def permute_characters(v: Column, key: str, kind: str, moved=_alphabet) -> Column:
+    """Keyed permutation of the strings of one pattern of kinds of characters (small letters, digits, others as they are).
 
-    A keyed digest of the whole value, so equal values stay equal; used where values have no
-    fixed format of their own (mail boxes, tokens).
+    The halves change in turn, each character by a place of its own in a digest of the other half.
     """
-    chars = F.filter(F.split(v, ""), lambda c: c != "")
-    stream = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), F.lower(v)).cast("binary"), 512)
+    half = F.floor(F.length(v) / 2).cast("int")
+    pattern = F.regexp_replace(F.regexp_replace(v, "[a-z]", "a"), "[0-9]", "0") if moved is _alphabet else F.length(v).cast("string")
+
+    def shifted(mine: Column, other: Column, r: Column) -> Column:
+        stream = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), pattern, r.cast("string"), other).cast("binary"), 512)
+        by = lambda i: F.conv(F.substring(stream, F.pmod(i, F.lit(63)) * 2 + 1, F.lit(2)), 16, 10).cast("int") + i
+        chars = F.filter(F.split(mine, ""), lambda c: c != "")
+        return F.concat_ws("", F.transform(chars, lambda c, i: moved(c, by(i))))
+
+    def step(x: Column, r: Column) -> Column:
+        even = r % 2 == 0
+        a = F.when(even, shifted(x["a"], x["b"], r)).otherwise(x["a"])
+        b = F.when(even, x["b"]).otherwise(shifted(x["b"], x["a"], r))
+        return F.struct(a.alias("a"), b.alias("b"))
+
+    start = F.struct(F.substring(v, F.lit(1), half).alias("a"), F.substring(v, half + 1, F.length(v)).alias("b"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda x: F.concat(x["a"], x["b"]))
 
-    def mapped(c: Column, i: Column) -> Column:
-        byte = F.conv(F.substring(stream, i % 63 + 1, F.lit(2)), 16, 10).cast("int") + i
-        return (
-            F.when(c.rlike("[0-9]"), (byte % 10).cast("string"))
-            .when(c.rlike("[a-z]"), F.chr(byte % 26 + 97))
-            .when(c.rlike("[A-Z]"), F.chr(byte % 26 + 65))
-            .otherwise(c)
-        )
 
-    return F.concat_ws("", F.transform(chars, mapped))
+def _cased(v: Column, new: Column) -> Column:
+    """``new`` with capitals where ``v`` has them."""
+    split = lambda t: F.filter(F.split(t, ""), lambda c: c != "")
+    both = F.zip_with(split(v), split(new), lambda old, c: F.when(old.rlike("[A-Z]"), F.upper(c)).otherwise(c))
+    return F.when(v.rlike("[A-Z]"), F.concat_ws("", both)).otherwise(new)
 
 
 def _email(v: Column, key: str) -> Column:
-    """The mail box gets a pseudonym; the host stays only if it is one for examples."""
+    """The mail box gets a pseudonym; the host stays only if it is one for examples. Capitals link with small letters."""
     box, host = F.regexp_extract(v, "^(.*)@", 1), F.regexp_extract(v, "@(.*)$", 1)
     name = F.regexp_extract(host, r"^(.*)\.[^.]+$", 1)
     ending = F.regexp_extract(host, r"(\.[^.]+)$", 1)
-    return F.concat(_letters(box, key, "box"), F.lit("@"), F.when(name.rlike(r"(^|\.)example$"), name).otherwise(_letters(name, key, "host")), ending)
+    new = _cased(box, permute_characters(F.lower(box), key, "box"))
+    hidden = _cased(name, permute_characters(F.lower(name), key, "host"))
+    return F.concat(new, F.lit("@"), F.when(name.rlike(r"(^|\.)example$"), name).otherwise(hidden), ending)
 
 
 def _secret(v: Column, key: str) -> Column:
-    """Hexadecimal digits to hexadecimal digits by a keyed digest."""
-    new = F.substring(F.concat(F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), F.lower(v)).cast("binary"), 512)), F.lit(1), F.length(v))
+    """Hexadecimal digits to hexadecimal digits of the same length."""
+    new = permute_characters(F.lower(v), key, "secret", _hexadecimal)
     return F.when(v.rlike("[A-F]"), F.upper(new)).otherwise(new)
 
 
@@ -275,21 +303,23 @@ def _found(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
 
 
-def pseudonyms(docs: DataFrame, key: str = "tally", text: str = "text") -> DataFrame:
-    """``docs`` with pseudonyms in ``text``, and the columns pii_found (values found) and pii_changed (values replaced).
+def pseudonyms(docs: DataFrame, key: str = "tally", text: str = "text", found: str = "pii_found", changed: str = "pii_changed") -> DataFrame:
+    """``docs`` with pseudonyms in ``text``, and two columns behind its own: values found, and values replaced.
 
     A null text stays null, with counts of 0; texts without personal data stay as they are, and invalid
     values (a card number with a wrong check digit, an octet over 255) too. All other columns and
-    repeated rows stay. If pii_found or pii_changed are there already, they are replaced.
+    repeated rows stay. Where ``docs`` has a column of the name ``found`` or ``changed``, the new one gets a number behind its name.
+    An empty table gives an empty one.
     """
     has = F.coalesce(F.col(text).rlike(HINT), F.lit(False))
     values = F.when(has, _found(F.col(text))).otherwise(F.array().cast("array<string>"))
     # Values are mapped on rows of their own columns, so that each expression is computed once.
-    out = docs.drop("pii_found", "pii_changed").withColumn("__pii_values", values)
-    new = F.transform(F.col("__pii_values"), lambda v: pseudonym(v, key))
-    out = out.withColumn("__pii_new", F.when(F.size("__pii_values") > 0, new).otherwise(F.array().cast("array<string>")))
-    parts = F.zip_with(_between(F.col(text)), F.concat(F.col("__pii_new"), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
-    changed = F.when(F.size("__pii_values") > 0, F.concat_ws("", parts)).otherwise(F.col(text))
-    count = F.size(F.filter(F.zip_with("__pii_values", "__pii_new", lambda a, b: a != b), lambda x: x))
-    out = out.withColumn(text, changed).withColumn("pii_found", F.size("__pii_values")).withColumn("pii_changed", count)
-    return out.drop("__pii_values", "__pii_new")
+    old, mapped = free_name(docs.columns, "pii_values"), free_name(docs.columns, "pii_new")
+    out = docs.withColumn(old, values)
+    new = F.transform(F.col(old), lambda v: pseudonym(v, key))
+    out = out.withColumn(mapped, F.when(F.size(old) > 0, new).otherwise(F.array().cast("array<string>")))
+    parts = F.zip_with(_between(F.col(text)), F.concat(F.col(mapped), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
+    hidden = F.when(F.size(old) > 0, F.concat_ws("", parts)).otherwise(F.col(text))
+    count = F.size(F.filter(F.zip_with(old, mapped, lambda a, b: a != b), lambda x: x))
+    out = out.withColumn(text, hidden).withColumn(free_name(docs.columns, found), F.size(old)).withColumn(free_name(docs.columns, changed), count)
+    return out.drop(old, mapped)
