@@ -3,10 +3,14 @@
 Vectors are scaled to integers, sorted by length into blocks, and rotated by the
 eigenvectors of their Gram matrix (the right singular vectors), so that few leading
 coordinates hold most of an inner product. Queries are blocks, too. The block of the
-longest vectors gives each query a threshold; a pair of blocks is dropped if the longest
-candidate can't reach any threshold, and inside a pair the Cauchy-Schwarz bound
-``leading part + |rest of query| * |rest of candidate|`` leaves a few pairs, which
-are scored exactly, in integers.
+longest vectors gives each query a first threshold.
+
+Candidate blocks are dealt to shards, query blocks to groups; a task gets one shard and one
+group. It takes the shard's blocks in order of length. A query's threshold is its k-th best score so far, and
+rises; the search ends when the longest candidate left can't reach any threshold.
+In a block the Cauchy-Schwarz bound ``leading part + |rest of query| * |rest of candidate|``
+leaves a few pairs, which are scored exactly, in integers. Only a query's k best of
+a shard leave the task.
 """
 
 from __future__ import annotations
@@ -25,8 +29,8 @@ from .common import short_batches, written
 BLOCK = 1 << 19
 #: Share of the squared length that the leading coordinates hold on average.
 LEADING = 0.75
-#: Candidate blocks that one copy of a query block meets.
-SHARD = 16
+#: Candidate blocks of a shard, and query blocks of a group: what one task holds of the first, and reads of the second.
+SHARD, GROUP = 64, 16
 
 
 def _usable(v: Column) -> Column:
@@ -110,28 +114,61 @@ def _thresholds(longest: bytes, longest_ids: bytes, dims: int, k: int):
     return run
 
 
-def _scored(rotation: bytes, dims: int, lead: int, k: int):
+class _Block:
+    """A block's vectors, what they are in the rotated axes, and lengths of the whole and of the part behind the leading axes."""
+
+    def __init__(self, ids: bytes, body: bytes, turn: np.ndarray, lead: int):
+        dims = len(turn)
+        self.ids, self.whole = np.frombuffer(ids, np.int64), np.frombuffer(body, np.int64).reshape(-1, dims)
+        turned = self.whole @ turn
+        self.leading, self.rest = turned[:, :lead], np.sqrt((turned[:, lead:] ** 2).sum(1))
+        self.length = np.sqrt((turned**2).sum(1))
+
+
+def _searched(q: _Block, shard: list[_Block], least: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """(place of query, candidate, score): each query's k best of a shard whose blocks come by length, if they reach ``least``."""
+    floor = least.copy()
+    best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for c in shard:
+        top = c.length.max()
+        slack = 1e-6 + 1e-9 * q.length * top
+        live = np.flatnonzero(q.length * top + slack >= floor)
+        if not len(live):
+            break
+        may = q.leading[live] @ c.leading.T + np.outer(q.rest[live], c.rest) + slack[live, None] >= floor[live, None]
+        may &= q.ids[live, None] != c.ids[None, :]
+        some_q, some_c = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+        if not len(some_q):
+            continue
+        score = _exact(q.whole[live[some_q]], c.whole[some_c])
+        for i, row in enumerate(live[some_q].tolist()):
+            place = np.flatnonzero(may[some_q[i], some_c])
+            s, ids = score[i, place], c.ids[some_c[place]]
+            if row in best:
+                s, ids = np.r_[best[row][0], s], np.r_[best[row][1], ids]
+            place = _best(s, ids, k)
+            best[row] = s[place], ids[place]
+            if len(place) == k:
+                floor[row] = max(floor[row], s[place[-1]])
+    return [(row, int(i), int(x)) for row, (s, ids) in best.items() for i, x in zip(ids, s, strict=True)]
+
+
+def _cells(rotation: bytes, dims: int, lead: int, k: int):
+    """(q_block, q_row, query_id, vec_id, score) of (cell, side, block, ids, vectors, least), which come by cell, candidates first, by length."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = np.frombuffer(rotation).reshape(dims, dims)
+        here, shard = None, []
         for batch in batches:
             rows: list[tuple] = []
-            for q_block, q_ids, q_body, least, ids, body in zip(*(batch.column(n).to_pylist() for n in ("q_block", "q_ids", "q_vectors", "least", "ids", "vectors")), strict=True):
-                q, c = (np.frombuffer(x, np.int64).reshape(-1, dims) for x in (q_body, body))
-                q_ids, c_ids, least = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64), np.frombuffer(least)
-                qr, cr = q @ turn, c @ turn
-                rest = np.outer(np.sqrt((qr[:, lead:] ** 2).sum(1)), np.sqrt((cr[:, lead:] ** 2).sum(1)))
-                slack = 1e-6 + 1e-9 * np.sqrt(np.outer((qr**2).sum(1), (cr**2).sum(1)))
-                may = qr[:, :lead] @ cr[:, :lead].T + rest + slack >= least[:, None]
-                may &= q_ids[:, None] != c_ids[None, :]
-                some_q, some_c = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
-                if not len(some_q):
+            for cell, side, block, ids, body, least in zip(*(batch.column(n).to_pylist() for n in ("cell", "side", "block", "ids", "vectors", "least")), strict=True):
+                if cell != here:
+                    here, shard = cell, []
+                one = _Block(ids, body, turn, lead)
+                if side == 0:
+                    shard.append(one)
                     continue
-                score = _exact(q[some_q], c[some_c])
-                for i, row in enumerate(some_q.tolist()):
-                    place = np.flatnonzero(may[row, some_c])
-                    s, at = score[i, place], c_ids[some_c[place]]
-                    for x in _best(s, at, k).tolist():
-                        rows.append((q_block, row, int(q_ids[row]), int(at[x]), int(s[x])))
+                rows += [(block, row, int(one.ids[row]), i, x) for row, i, x in _searched(one, shard, np.frombuffer(least), k)]
             names = ["q_block", "q_row", "query_id", "vec_id", "score"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names)
 
@@ -176,13 +213,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
     ask = asked.mapInArrow(_blocks(dims), schema)
     ask = written(ask.mapInArrow(_thresholds(longest[0].vectors, longest[0].ids, dims, k), "q_block long, q_ids binary, q_vectors binary, least binary, need double"), "queries")
-    shards = max(1, -(-blocks.count() // SHARD))
-    here = blocks.withColumn("shard", F.pmod(F.xxhash64("block"), F.lit(shards)))
-    there = ask.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    met = there.join(here, "shard").filter("top >= need - 1e-6 - 1e-9 * abs(need)")
-    # Pairs of blocks are dealt anew: a task gets a few, whatever shard they met in.
-    met = met.select("q_block", "q_ids", "q_vectors", "least", "ids", "vectors").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards))
-    found = met.mapInArrow(_scored(turn.tobytes(), dims, lead, k), "q_block long, q_row long, query_id long, vec_id long, score long")
+    # Dealt by hash, so each shard and each group has long and short ones.
+    count, asking = blocks.count(), ask.count()
+    shards, groups = max(1, -(-count // SHARD)), max(1, -(-asking // GROUP))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    cell = (F.col("shard") * groups + F.col("group")).alias("cell")
+    sharded = blocks.withColumn("shard", F.pmod(F.xxhash64("block"), F.lit(shards)).cast("long"))
+    here = sharded.withColumn("group", every(groups))
+    here = here.select(cell, F.lit(0).alias("side"), (-F.col("top")).alias("order"), "block", "ids", "vectors", F.lit(None).cast("binary").alias("least"))
+    longest_of = sharded.groupBy("shard").agg(F.max("top").alias("top"))
+    there = ask.withColumn("group", F.pmod(F.xxhash64("q_block"), F.lit(groups))).withColumn("shard", every(shards))
+    there = there.join(longest_of, "shard").filter("top >= need - 1e-6 - 1e-9 * abs(need)")
+    there = there.select(cell, F.lit(1).alias("side"), F.lit(0.0).alias("order"), F.col("q_block").alias("block"), F.col("q_ids").alias("ids"), F.col("q_vectors").alias("vectors"), "least")
+    dealt = here.unionByName(there).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards * groups), "cell")
+    found = dealt.sortWithinPartitions("cell", "side", "order", "block").select("cell", "side", "block", "ids", "vectors", "least")
+    found = found.mapInArrow(_cells(turn.tobytes(), dims, lead, k), "q_block long, q_row long, query_id long, vec_id long, score long")
     # Equal rows of a copied candidate are told apart by nothing, so each counts.
     rank = F.expr("row_number() over (partition by q_block, q_row order by score desc, vec_id)")
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
