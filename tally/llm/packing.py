@@ -207,7 +207,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, wi
     places = F.broadcast(spark.createDataFrame(rows, "length long, low long, high long, first long, times long, at long"))
 
     before = counts.withColumn("before", F.expr("sum(n) over (partition by length order by bucket) - n")).drop("n")
-    ranked = pieces.withColumn("nth", F.expr("row_number() over (partition by length, bucket order by doc_id, piece)"))
+    ranked = pieces.withColumn("nth", F.expr("row_number() over (partition by length, bucket order by doc_id, piece, start, ids_crc32)"))
     ranked = ranked.join(before, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("nth") - 1)
     put = ranked.join(places, "length").filter("rank >= low and rank < high")
     return put.select(

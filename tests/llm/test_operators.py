@@ -69,6 +69,15 @@ def test_near_groups(docs, empty):
     assert near_dedup.near_groups(empty).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    """Versions of one document link the groups of all their texts; those without words go along."""
+    a, b, c = sentence(60), sentence(60), sentence(60)
+    rows = [(3, a), (5, a), (5, b), (7, b), (5, None), (8, c), (9, c + " end"), (9, a.replace("ba", "zz")), (4, ""), (4, sentence(50))]
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(3, 3), (5, 3), (7, 3), (8, 8), (9, 8), (4, 4)} and len(got) == len(rows)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
 def test_crowded_near_copies(spark, monkeypatch):
     """Common values only: groups come from hubs and blocks of sets, and are those of brute force."""
     monkeypatch.setattr(near_dedup, "RARE", 8)
@@ -111,6 +120,29 @@ def test_pii(spark, docs, empty):
     assert pii.pseudonyms(empty).count() == 0
 
 
+def test_pii_is_a_permutation(spark):
+    """Different mail boxes, hosts and tokens get different pseudonyms of their own pattern; equal ones link, whatever the capitals."""
+    boxes = [f"{R.choice('abcdefg')}{R.choice('hijk')}{i}.x@h{i % 97}.org" for i in range(2000)]
+    rows = spark.createDataFrame([(i, f"to {b} now") for i, b in enumerate(boxes)], "doc_id long, text string")
+    got = [r.text[3:-4] for r in pii.pseudonyms(rows).orderBy("doc_id").collect()]
+    shape = lambda t: re.sub("[a-z]", "a", re.sub("[0-9]", "0", t))
+    assert len(set(got)) == len(set(boxes)) and all(shape(x) == shape(y) for x, y in zip(got, boxes, strict=True))
+    small = spark.range(1296).select(F.concat(*(F.substring(F.lit("abcdefghijklmnopqrstuvwxyz0123456789"), (F.col("id") / d % 36 + 1).cast("int"), F.lit(1)) for d in (1, 36))).alias("v"))
+    out = [r.x for r in small.select(pii.permute_characters(F.col("v"), "k", "t").alias("x")).collect()]
+    assert len(set(out)) == 1296 == len({*out} & {a + b for a in "abcdefghijklmnopqrstuvwxyz0123456789" for b in "abcdefghijklmnopqrstuvwxyz0123456789"})
+    (one,) = pii.pseudonyms(spark.createDataFrame([("Ann.B@Host.org ann.b@host.org " + "0aF9" * 10 + " " + "ab12" * 10,)], "text string")).collect()
+    first, second, _, token = one.text.split()
+    assert first.lower() == second and first != second and re.fullmatch("[0-9a-f]{40}", token) and token != "ab12" * 10
+
+
+def test_pii_keeps_clashing_columns(spark):
+    rows = spark.createDataFrame([("bob@acme.org", "mine", 7, 8, ["a"])], "text string, pii_found string, pii_changed int, PII_VALUES int, pii_new array<string>")
+    out = pii.pseudonyms(rows)
+    assert out.columns == [*rows.columns, "pii_found_1", "pii_changed_1"]
+    r = out.first()
+    assert (r.pii_found, r.pii_changed, r.PII_VALUES, r.pii_new, r.pii_found_1, r.pii_changed_1) == ("mine", 7, 8, ["a"], 1, 1) and r.text != "bob@acme.org"
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
@@ -232,57 +264,140 @@ def test_scores(spark, docs, empty):
     assert scoring.scores(docs).count() == docs.count() and scoring.scores(empty).count() == 0
 
 
-def test_spelling_is_a_distribution():
-    """The bits of a byte are predicted by their own nodes: all bytes after a context sum to one."""
-    s = scoring.Speller(np.zeros(2 * (len(scoring.ORDERS) << scoring.BITS), np.float32))
-    s.learn([b"abc", b"abd"], 0.02)
-    # Words of one byte and its space, against the first byte alone.
-    first = sum(10.0 ** s.score([bytes([b])])[0] for b in range(256) if b not in (9, 10, 11, 12, 13, 32))
-    assert first <= 1.0001
-
-
-def test_scores_read_texts_in_order(spark):
-    """Contexts reach over word ends: words in the order that training texts have them score better than shuffled ones."""
-    r = random.Random(8)
-    held = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 10 == 0]
-    phrases = [" ".join(r.choice(VOCABULARY) for _ in range(6)) for _ in range(12)]
-    text = lambda: " ".join(r.choice(phrases) for _ in range(8))
-    rows = [(i, text()) for i in range(300) if zlib.crc32(str(i).encode()) % 10]
-    told = [text() for _ in range(20)]
-    rows += [(held[k], t) for k, t in enumerate(told)] + [(held[100 + k], " ".join(r.sample(t.split(), len(t.split())))) for k, t in enumerate(told)]
-    got = {x.doc_id: x for x in scoring.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(got[held[k]].score > 1.2 * got[held[100 + k]].score and got[held[k]].held_out for k in range(20))
-
-
-def test_scores_of_long_texts_and_ratios(monkeypatch):
-    """A text in several parts scores as in one, and counts too large for a half float keep their ratio."""
-    long = sentence(400).encode()
-    s = scoring.Speller(np.zeros(2 * (len(scoring.ORDERS) << scoring.BITS), np.float32))
-    whole = s.score([long, b"x"])
-    monkeypatch.setattr(scoring, "LOT", 100)
-    assert np.allclose(s.score([long, b"x"]), whole)
-    part = lambda counts, mark: pa.RecordBatch.from_arrays([pa.array([3]), pa.array([np.array(counts + [0] * 26, np.float32).tobytes()]), pa.array([np.array([mark], np.uint16).tobytes()])], ["slice", "counts", "marks"])
-    (out,) = scoring._merged(iter([part([0, 0, 300_000, 100_000, 2, 1], 5), part([0, 0, 300_000, 100_000, 2, 1], 5), part([0, 0, 7, 9, 9, 9], 6)]))
-    c = np.frombuffer(out.column(1)[0].as_py(), np.float16).astype(float)
-    assert abs(c[2] / c[3] - 3) < 0.01 and c[4:6].tolist() == [4, 2]
-
-
-def test_contexts_that_meet_are_kept_apart(monkeypatch):
-    """In tables far too small, a context that holds no line has no counts, instead of those of others."""
-    monkeypatch.setattr(scoring, "SLICE", 8)
-    r = random.Random(4)
-    text = "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(20_000))
-    texts = pa.RecordBatch.from_arrays([pa.array([text])], ["text"])
-    counts, marks = np.zeros(2 * (len(scoring.ORDERS) << 12), np.float32), np.zeros(len(scoring.ORDERS) << 8, np.uint16)
-    for out in scoring._tables(12)(iter([texts])):
-        i = out.column(0)[0].as_py()
-        counts[i << 8 : (i + 1) << 8] = np.frombuffer(out.column(2)[0].as_py(), np.float32)
-        marks[i << 3 : (i + 1) << 3] = np.frombuffer(out.column(3)[0].as_py(), np.uint16)
-    b = scoring.Bits(["".join(r.choice("0123456789") for _ in range(2000)).encode()], 12)
-    bits, each = b.of(np.arange(10, 2000))
-    x, _ = scoring.Speller(counts, marks).inputs(bits, each, False)
-    # Five digits were nowhere in the text.
-    assert np.mean(x[3] != 0) < 0.01
+def pairs_of(rows):
+    """Sorted distinct (spelled, kind) pairs with training counts, as the buckets hold them."""
+    total = {}
+    for spelled, kind, n in rows:
+        total[spelled, kind] = total.get((spelled, kind), 0) + n
+    keys = sorted(total)
+    return [k[0] for k in keys], np.array([k[1] for k in keys]), np.array([total[k] for k in keys], float)
+
+
+def slow_scores(spelled, kind, n, first, mixer, tables):
+    """The mixer bit by bit, with counts from dictionaries: the same order, no runs, no arrays."""
+    weights, last, steps = mixer.weights.astype(float).tolist(), mixer.last.tolist(), mixer.steps.tolist()
+    level = lambda c: sum(c > e for e in (0.5, 1.5, 4.5, 20.5, 200.5))
+    seen = {}
+    for w, k, c in zip(spelled, kind, n, strict=True):
+        for d in range(len(w)):
+            for j in range(8):
+                bit = w[d] >> (7 - j) & 1
+                for name in ((w[:d], w[d] >> (8 - j), j), (w[:d], w[d] >> (8 - j), j, k)):
+                    seen.setdefault(name, [0, 0])[bit] += c
+    total = [0.0] * len(spelled)
+    for d in range(max(map(len, spelled))):
+        rows = [i for i, w in enumerate(spelled) if first[i] <= d < len(w)]
+        for j in range(8):
+            jobs = []
+            for i in rows:
+                w, bit, node = spelled[i], spelled[i][d] >> (7 - j) & 1, 1 << j | spelled[i][d] >> (8 - j)
+                before = [w[d - b] if d >= b else 32 for b in (1, 2, 3)]
+                base = [before[0] << 8, (before[1] << 8 | before[0]) << 8, (before[2] << 16 | before[1] << 8 | before[0]) << 8]
+                counts = [[float(c) for c in tables.reshape(-1, 2)[scoring.Bucket.slot(t, np.array([x]), np.array([node]))[0]]] for t, x in enumerate(base)]
+                counts += [seen[w[:d], w[d] >> (8 - j), j], seen[w[:d], w[d] >> (8 - j), j, kind[i]]]
+                for own in (0, 1):
+                    c = [[max(z - own * (1 - bit), 0), max(o - own * bit, 0)] for z, o in counts]
+                    x = [np.log(np.float32(o) + np.float32(0.02)) - np.log(np.float32(z) + np.float32(0.02)) for z, o in c] + [0.3]
+                    jobs.append((i, bit, x, level(sum(c[3])) * 6 + level(sum(c[4]))))
+            errors, many, marks = {}, {}, []
+            for at, (i, bit, x, gate) in enumerate(jobs):
+                dot = min(12, max(-12, sum(a * b for a, b in zip(x, weights[gate], strict=True))))
+                p, cell = 1 / (1 + np.exp(-dot)), gate * 33 + int(np.rint((dot + 12) * 32 / 24))
+                if at % 2 == 0:
+                    q = (p + (last[cell][0] + 16 * p) / (last[cell][1] + 16)) / 2
+                    q = min(1 - 1e-6, max(1e-6, q))
+                    total[i] += np.log10(q if bit else 1 - q)
+                else:
+                    marks.append((cell, n[i] * bit, n[i]))
+                    many[gate] = many.get(gate, 0) + n[i]
+                    e = errors.setdefault(gate, [0.0] * 6)
+                    for k in range(6):
+                        e[k] += (bit - p) * n[i] * x[k]
+            for cell, ones, c in marks:
+                last[cell][0] += ones
+                last[cell][1] += c
+            for gate, e in errors.items():
+                rate = (0.02 + 0.4 / (1 + steps[gate] / 30)) / max(many[gate], 1e-9)
+                weights[gate] = [a + rate * b for a, b in zip(weights[gate], e, strict=True)]
+                steps[gate] += many[gate] > 0
+    return total
+
+
+def test_mixer_by_brute_force():
+    """Twenty short texts: the same scores from a loop over bits with dictionaries."""
+    texts = [sentence(R.randrange(1, 9)) for _ in range(20)]
+    found = scoring.Tokens({b"bara": 1, b"keso": 2})
+    word, kind, _, _ = found.lot([(i, t.encode().translate(scoring._LOWER), True) for i, t in enumerate(texts)], -1)
+    names = [scoring.spell(k) for k in found.place]
+    spelled, kinds, n = pairs_of((names[w], int(k), i % 3 != 0) for i, (w, k) in enumerate(zip(word.tolist(), kind.tolist(), strict=True)))
+    tables = np.zeros(2 * sum(scoring.SIZES), np.float32)
+    whole = scoring.Bucket(spelled, kinds, n, np.zeros(len(n), np.int64))
+    whole.count(tables)
+    # The tables by counting each bit of each word.
+    bits = sum(8 * len(w) * c for w, c in zip(spelled, n, strict=True))
+    assert tables.reshape(-1, 2)[: scoring.SIZES[0]].sum() == bits == tables.sum() / 3
+    for first in (0, 2):
+        at = np.minimum(first, [len(w) for w in spelled])
+        keep = [i for i, w in enumerate(spelled) if len(w) > first]
+        part = [spelled[i] for i in keep], kinds[keep], n[keep], at[keep]
+        mixer = scoring.Mixer()
+        mixer.steps[:] = 30
+        want = slow_scores(*part, mixer.begun(), tables)
+        assert np.allclose(mixer.begun().run(scoring.Bucket(*part), tables), want, rtol=1e-3, atol=1e-3)
+
+
+def test_spelling_is_a_distribution(monkeypatch):
+    """All bytes that can come next sum to one, in each class, while the mixer learns."""
+    monkeypatch.setattr(scoring, "STEP", 16)
+    spelled, kinds, n = pairs_of((bytes([b]), k, (b * 7 + k) % 5 * (b % 3 == 0)) for b in range(256) for k in range(3))
+    tables = np.zeros(2 * sum(scoring.SIZES), np.float32)
+    bucket = scoring.Bucket(spelled, kinds, n, np.zeros(len(n), np.int64))
+    bucket.count(tables)
+    mixer = scoring.Mixer()
+    for _ in range(3):
+        score = mixer.run(bucket, tables)
+        for k in range(3):
+            assert abs((10.0 ** score[kinds == k]).sum() - 1) < 1e-3
+
+
+def test_frequent_words_before():
+    """Classes follow the last frequent word of the text, over any number of words and over pieces of a text."""
+    found = scoring.Tokens({b"the": 1, b"of": 2})
+    word, kind, row, after = found.lot([(0, b"a the b c of d", True), (1, b"x the y", False)], -1)
+    assert kind.tolist() == [0, 0, 1, 1, 1, 2, 2, 0, 0, 1] and row.tolist() == [0] * 7 + [1] * 3 and after == 1
+    word, kind, _, _ = found.lot([(1, b"z of", False), (1, b" q", True)], after)
+    assert kind.tolist() == [1, 1, 2, 2]
+    long = b"w" * 150
+    word, kind, _, _ = found.lot([(0, b"the " + long + b" e", True)], -1)
+    names = [scoring.spell(k) for k in found.place]
+    assert [names[w] for w in word[1:4]] == [long[:64], long[:64], long[:22] + b" "] and names[word[4]][0] == 0xFF
+    assert kind.tolist() == [0, 1, scoring.CONTINUED, scoring.CONTINUED, scoring.LONG, 1, 1]
+
+
+def test_scores_do_not_depend_on_tasks(spark, monkeypatch):
+    """Any number of partitions, small heads and short chunks give the same scores; a very long word and text are read."""
+    rows = [(i, sentence(R.randrange(60))) for i in range(150)] + [(500, "y" * 3_000_000), (501, sentence(50) + " " + "q" * 70 + " " + sentence(30)), (502, None), (None, "ba")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    columns = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
+    read = lambda: {r.doc_id: [r[c] for c in columns] for r in scoring.scores(df).collect()}
+    want = read()
+    df = df.repartition(7)
+    monkeypatch.setattr(scoring, "HEAD", 20)
+    monkeypatch.setattr(scoring, "CHUNK", 500)
+    monkeypatch.setattr(scoring, "COUNTED", 15)
+    got = read()
+    assert want.keys() == got.keys() and all(np.allclose(got[i], want[i], rtol=1e-6) for i in want)
+    assert want[500][0] == 2 and want[502][0] == 1
+
+
+def test_beginnings_are_lengthened(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "SHARED", 5)
+    words = [b"ab%c%c " % (97 + i, 97 + j) for i in range(3) for j in range(1 + 3 * i)] + [b"a ", b"\n", b"xyz "]
+    pairs = spark.createDataFrame([(w, 0, 2) for w in words], "spelled binary, kind int, n long")
+    leaves, begun = scoring.beginnings(pairs)
+    want = {w: next(b for b in (w[:2], w[:3], w[:4]) if sum(x.startswith(b) for x in words) <= 5 or b == w) for w in words}
+    assert {bytes(r.spelled): bytes(r.begin) for r in begun.collect()} == want
+    assert [b for b, _, _ in leaves] == sorted(set(want.values())) and sum(n for _, _, n in leaves) == 2 * len(words)
 
 
 def test_languages(spark, docs, empty):
