@@ -39,6 +39,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,13 +47,13 @@ from pyspark.sql import functions as F
 from .common import remainder, short_batches, written
 
 #: Frequent words that contexts know, of so many bytes at most; classes: none of them yet, each, and that a piece of a long word came before.
-FREQUENT, SHORT = 32, 4
+FREQUENT, SHORT = 16, 4
 CONTINUED, LONG = FREQUENT + 1, FREQUENT + 2
 KINDS = LONG + 1
 #: Bytes of a piece.
 PIECE = 64
 #: Words whose scores every task knows.
-HEAD = 1 << 18
+HEAD = 1 << 17
 #: Words, and tokens, that a task counts before it passes the counts on; bytes that a task reads at once.
 COUNTED, HELD, CHUNK = 250_000, 4_000_000, 1 << 22
 #: Pairs of a bucket, about; pairs that may share a beginning before it is lengthened.
@@ -607,16 +608,18 @@ def scores(docs: DataFrame) -> DataFrame:
     long = every.filter(F.col("kind") == LONG).select("spelled", "kind", F.lit(0.0).cast("float").alias("score"), F.col("n").alias("known"))
     scored = written(spelled.unionByName(long), "spelled")
     token = F.substring("spelled", -1, 1).isin(b" ", END) & (F.col("kind") != CONTINUED) | (F.col("kind") == LONG)
-    by_word = scored.filter(token).groupBy("spelled").agg(F.max("known").alias("known"), F.count(F.lit(1)).alias("kinds"))
+    by_word = scored.groupBy("spelled").agg(
+        F.max(F.when(token, F.col("known"))).alias("known"), F.collect_list("kind").alias("kinds"), F.collect_list("score").alias("scores")
+    )
+    by_word = written(by_word.filter("known is not null"), "words")
     facts = by_word.agg(F.coalesce(F.sum("known"), F.lit(0)).alias("n"), F.count_if(F.col("known") > 0).alias("types")).first()
 
-    chosen = by_word.orderBy(F.desc("known"), "spelled").limit(HEAD).select("spelled")
-    rows = scored.join(F.broadcast(chosen), "spelled").toArrow()  # HEAD times KINDS rows at most
-    place: dict[bytes, int] = {}
-    at = np.array([place.setdefault(w, len(place)) for w in rows["spelled"].to_pylist()], np.int64)
-    known, table = np.zeros(len(place) + 1, np.int64), np.zeros((len(place) + 1, KINDS), np.float32)
-    known[at] = rows["known"].to_numpy()
-    table[at, rows["kind"].to_numpy()] = rows["score"].to_numpy()
+    rows = by_word.orderBy(F.desc("known"), "spelled").limit(HEAD).toArrow()  # with KINDS scores each at most
+    words_of, known = rows["spelled"].to_pylist(), np.append(rows["known"].to_numpy(), 0)
+    place = {w: i for i, w in enumerate(words_of)}
+    table = np.zeros((len(known), KINDS), np.float32)
+    at = np.repeat(np.arange(len(words_of)), pc.list_value_length(rows["kinds"]).to_numpy())
+    table[at, pc.list_flatten(rows["kinds"]).to_numpy()] = pc.list_flatten(rows["scores"]).to_numpy()
     head = sc.broadcast((place, known, table))
 
     schema = "row long, doc_id long, n_tokens long, n_known long, base double, score double, bytes long, rest array<struct<spelled: binary, kind: int, k: long>>"
