@@ -4,7 +4,7 @@ A text's tokens are its words, lower-cased, then one end. The model predicts the
 own and a space after it; the end is a line feed), bit by bit, from what stands before them:
 
 * Hashed contexts give a prediction each, from their counts of zeros and ones in all training
-  texts: the last byte; the last two; the last three; the word so far; and the word so far with
+  texts: the last two bytes; the last three; the word so far; and the word so far with
   the last frequent word before it, however far back that stands (it tells language and kind).
 * A logistic mixer adds these in the logistic domain, with weights that a gate chooses by how
   often the last two contexts have been seen. Weights are learned online: bits are predicted with
@@ -53,16 +53,16 @@ KINDS = LONG + 1
 #: Bytes of a piece.
 PIECE = 64
 #: Words whose scores every task knows.
-HEAD = 1 << 17
+HEAD = 1 << 18
 #: Words, and tokens, that a task counts before it passes the counts on; bytes that a task reads at once.
 COUNTED, HELD, CHUNK = 250_000, 4_000_000, 1 << 22
 #: Pairs of a bucket, about; pairs that may share a beginning before it is lengthened.
-BUCKET, SHARED = 1 << 17, 1 << 19
-#: Slots of the tables for one, two and three bytes; slots of a part in which they are merged.
-SIZES = (1 << 16, 1 << 22, 1 << 22)
+BUCKET, SHARED = 1 << 16, 1 << 17
+#: Slots of the tables for two and three bytes; slots of a part in which they are merged.
+SIZES = (1 << 22, 1 << 22)
 SLICE = 1 << 16
-#: Inputs of the mixer: three tables, two word contexts, bias. Rows of an online step.
-INPUTS, STEP = 6, 1 << 13
+#: Inputs of the mixer: two tables, two word contexts, bias. Rows of an online step.
+INPUTS, STEP = 5, 1 << 13
 _LEVELS, _STEPS = 6, 33
 _GATES = _LEVELS * _LEVELS
 _LEVEL = np.digitize(np.arange(202), (0.5, 1.5, 4.5, 20.5, 200.5))
@@ -100,26 +100,32 @@ def spell(key: bytes) -> bytes:
     return key[1:] if key[0] == 0x20 else key + b" "
 
 
+def unspell(spelled: bytes) -> bytes:
+    """The key that ``spell`` gives these bytes for, of a whole word, an end or a digest."""
+    return spelled if spelled == END or spelled[0] == 0xFF else spelled[:-1]
+
+
+def key_facts(spelled: list[bytes]) -> np.ndarray:
+    """Of each key: the bytes that are predicted, and whether it is a token, or (a piece) only a part of one."""
+    return np.array([(0 if w[0] == 0xFF else len(w), w[-1:] == b" " or w == END or w[0] == 0xFF) for w in spelled], np.int64).reshape(-1, 2)
+
+
 class Tokens:
     """The tokens of a lot of texts, as numbers of their own vocabulary, with the frequent word before each.
 
     Keys: words; a space and a piece of a long word; 0xFF and the digest of a long word (no word begins with these); the end.
     """
 
-    def __init__(self, frequent: dict[bytes, int]):
-        self.frequent = frequent
+    def __init__(self, frequent: dict[bytes, int], known: dict[bytes, int] | None = None):
+        self.frequent, self.known = frequent, known or {}
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
+        self.place: dict[bytes, int] = dict(self.known)
         self.ranks: list[int] = []
 
     def number(self, key: bytes) -> int:
-        at = self.place.get(key)
-        if at is None:
-            at = self.place[key] = len(self.place)
-            self.ranks.append(self.frequent.get(key, 0))
-        return at
+        return self.place.setdefault(key, len(self.place))
 
     def pieces(self, words: list[bytes], at: int) -> tuple[list[int], list[int], list[int]]:
         """Numbers of words of which some are long, the places of continued pieces, and those of digests."""
@@ -141,23 +147,25 @@ class Tokens:
 
     def lot(self, pieces: list[tuple[int, bytes, bool]], before: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         """(word, class, row) of all tokens of (row, bytes, whether the text ends here), and the class after them."""
-        get, number = self.place.get, self.number
+        place, get = self.place, self.place.get
         flat: list[int] = []
         sizes, rows, continued, long = [], [], [], []
         for row, data, ends in pieces:
             words = data.split()
             found = list(map(get, words))
             if None in found:
-                new = {w for w, i in zip(words, found, strict=True) if i is None}
+                new = [w for w, i in zip(words, found, strict=True) if i is None]
                 if max(map(len, new)) >= PIECE:
                     found, more, digests = self.pieces(words, len(flat))
                     continued += more
                     long += digests
                 else:
-                    found = [number(w) if i is None else i for w, i in zip(words, found, strict=True)]
+                    for w in new:
+                        place.setdefault(w, len(place))
+                    found = list(map(get, words))
             flat += found
             if ends:
-                flat.append(number(END))
+                flat.append(self.number(END))
             sizes.append(len(found) + ends)
             rows.append(row)
         word = np.array(flat, np.int64)
@@ -166,6 +174,7 @@ class Tokens:
             return word, word, row, before
         at = np.arange(len(word))
         start = np.maximum.accumulate(np.where(np.r_[True, row[1:] != row[:-1]], at, 0))
+        self.ranks += [self.frequent.get(k, 0) for k in islice(place, len(self.ranks), None)]
         rank = np.array(self.ranks, np.int64)[word]
         last = np.r_[-1, np.maximum.accumulate(np.where(rank > 0, at, -1))[:-1]]
         kind = np.where(last >= start, rank[np.maximum(last, 0)], 0)
@@ -294,12 +303,10 @@ class Bucket:
     def slots(self, d: int, active: np.ndarray) -> list[np.ndarray]:
         """Each table's slot before the node within the byte is added (spaces stand before a word)."""
         b1, b2, b3 = (self.bytes[active, d - k].astype(np.int64) if d >= k else np.full(len(active), 32) for k in (1, 2, 3))
-        return [b1 << 8, ((b2 << 8 | b1) << 8), ((b3 << 16 | b2 << 8 | b1) << 8)]
+        return [(b2 << 8 | b1) << 8, (b3 << 16 | b2 << 8 | b1) << 8]
 
     @staticmethod
     def slot(table: int, base: np.ndarray, node: np.ndarray) -> np.ndarray:
-        if not table:
-            return base + node
         key = (base + node).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         return (key >> np.uint64(42)).astype(np.int64) + sum(SIZES[:table])
 
@@ -365,12 +372,12 @@ class Bucket:
                     x[t], alone[t] = with_[up], without[up]
                 same, other = self._runs(c, bit, new)
                 with_, without = self._stretched(same, other, sign)
-                x[3], alone[3] = with_[up], without[up]
+                x[2], alone[2] = with_[up], without[up]
                 gate, gate_alone = self._level(same + other)[up] * _LEVELS, self._level(same + other - (same > 0))[up] * _LEVELS
                 bit_kind = byte_kind >> (7 - j) & 1
                 same, other = self._runs(n, bit_kind, new_kind)
                 with_, without = self._stretched(same, other, (2 * bit_kind - 1).astype(np.float32))
-                x[4], alone[4] = with_[back], without[back]
+                x[3], alone[3] = with_[back], without[back]
                 gate += self._level(same + other)[back]
                 gate_alone += self._level(same + other - (same > 0))[back]
                 yield rows, bit[up], (x, alone), (gate, gate_alone)
@@ -504,16 +511,16 @@ def _documents(frequent: dict[bytes, int], head):
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, known, scores_ = head.value
-        found = Tokens(frequent)
-        names_of: list[bytes] = []
-        facts = np.zeros((0, 3), np.int64)  # of each key: place in the head, bytes, whether it is a token
+        place, known, scores_, first_facts = head.value  # the head's words are the first of all keys
+        found = Tokens(frequent, place)
+        names_of, facts = [spell(k) for k in place], first_facts
         for others, word, kind, row in _lots(batches, found, TaskContext.get().partitionId() << 33):
             new = [spell(k) for k in islice(found.place, len(names_of), None)]
             if new:
-                facts = np.concatenate([facts, [(place.get(w, -1), 0 if w[0] == 0xFF else len(w), w[-1:] == b" " or w == END or w[0] == 0xFF) for w in new]])
+                facts = np.concatenate([facts, key_facts(new)])
                 names_of += new
-            of, size, token = facts[word].T
+            size, token = facts[word].T
+            of = np.where(word < len(place), word, -1)
             held = of >= 0
             c = np.where(held, known[np.maximum(of, 0)], 0)
             # What a token of the base is: a whole word, not the last piece of a long one.
@@ -536,9 +543,9 @@ def _documents(frequent: dict[bytes, int], head):
             columns = [np.arange(many) + first, ids, *values]
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rest)
             yield pa.RecordBatch.from_arrays([*(pa.array(list(v), k) if isinstance(v, list) else pa.array(v).cast(k, safe=False) for v, k in zip(columns, kinds, strict=True)), lists], names)
-            if len(found.place) > COUNTED:
+            if len(found.place) > len(place) + COUNTED:
                 found.clear()
-                names_of, facts = [], facts[:0]
+                names_of, facts = names_of[: len(place)], first_facts
 
     return run
 
@@ -592,7 +599,7 @@ def scores(docs: DataFrame) -> DataFrame:
     total = max(1, pairs.count() // BUCKET)
     bucketed = begun.select(F.pmod(F.xxhash64("begin"), F.lit(total)).cast("int").alias("bucket"), F.length("begin").cast("long").alias("begins"), "spelled", "kind", "n")
     tasks = max(8, total)
-    sorted_ = bucketed.repartition(tasks, "bucket").sortWithinPartitions("bucket", "spelled", "kind")
+    sorted_ = bucketed.repartitionByRange(tasks, "bucket").sortWithinPartitions("bucket", "spelled", "kind")
 
     sliced = sorted_.mapInArrow(_tables, "part long, at binary, counts binary")
     merged = sliced.repartition(8, "part").mapInArrow(_merged, "part long, counts binary")
@@ -616,11 +623,11 @@ def scores(docs: DataFrame) -> DataFrame:
 
     rows = by_word.orderBy(F.desc("known"), "spelled").limit(HEAD).toArrow()  # with KINDS scores each at most
     words_of, known = rows["spelled"].to_pylist(), np.append(rows["known"].to_numpy(), 0)
-    place = {w: i for i, w in enumerate(words_of)}
+    place = {unspell(w): i for i, w in enumerate(words_of)}
     table = np.zeros((len(known), KINDS), np.float32)
     at = np.repeat(np.arange(len(words_of)), pc.list_value_length(rows["kinds"]).to_numpy())
     table[at, pc.list_flatten(rows["kinds"]).to_numpy()] = pc.list_flatten(rows["scores"]).to_numpy()
-    head = sc.broadcast((place, known, table))
+    head = sc.broadcast((place, known, table, key_facts(words_of)))
 
     schema = "row long, doc_id long, n_tokens long, n_known long, base double, score double, bytes long, rest array<struct<spelled: binary, kind: int, k: long>>"
     texts = written(docs.select("text", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(_documents(frequent, head), schema), "texts")

@@ -292,13 +292,13 @@ def slow_scores(spelled, kind, n, first, mixer, tables):
             for i in rows:
                 w, bit, node = spelled[i], spelled[i][d] >> (7 - j) & 1, 1 << j | spelled[i][d] >> (8 - j)
                 before = [w[d - b] if d >= b else 32 for b in (1, 2, 3)]
-                base = [before[0] << 8, (before[1] << 8 | before[0]) << 8, (before[2] << 16 | before[1] << 8 | before[0]) << 8]
+                base = [(before[1] << 8 | before[0]) << 8, (before[2] << 16 | before[1] << 8 | before[0]) << 8]
                 counts = [[float(c) for c in tables.reshape(-1, 2)[scoring.Bucket.slot(t, np.array([x]), np.array([node]))[0]]] for t, x in enumerate(base)]
                 counts += [seen[w[:d], w[d] >> (8 - j), j], seen[w[:d], w[d] >> (8 - j), j, kind[i]]]
                 for own in (0, 1):
                     c = [[max(z - own * (1 - bit), 0), max(o - own * bit, 0)] for z, o in counts]
                     x = [np.log(np.float32(o) + np.float32(0.02)) - np.log(np.float32(z) + np.float32(0.02)) for z, o in c] + [0.3]
-                    jobs.append((i, bit, x, level(sum(c[3])) * 6 + level(sum(c[4]))))
+                    jobs.append((i, bit, x, level(sum(c[2])) * 6 + level(sum(c[3]))))
             errors, many, marks = {}, {}, []
             for at, (i, bit, x, gate) in enumerate(jobs):
                 dot = min(12, max(-12, sum(a * b for a, b in zip(x, weights[gate], strict=True))))
@@ -310,8 +310,8 @@ def slow_scores(spelled, kind, n, first, mixer, tables):
                 else:
                     marks.append((cell, n[i] * bit, n[i]))
                     many[gate] = many.get(gate, 0) + n[i]
-                    e = errors.setdefault(gate, [0.0] * 6)
-                    for k in range(6):
+                    e = errors.setdefault(gate, [0.0] * 5)
+                    for k in range(5):
                         e[k] += (bit - p) * n[i] * x[k]
             for cell, ones, c in marks:
                 last[cell][0] += ones
@@ -335,7 +335,7 @@ def test_mixer_by_brute_force():
     whole.count(tables)
     # The tables by counting each bit of each word.
     bits = sum(8 * len(w) * c for w, c in zip(spelled, n, strict=True))
-    assert tables.reshape(-1, 2)[: scoring.SIZES[0]].sum() == bits == tables.sum() / 3
+    assert tables.reshape(-1, 2)[: scoring.SIZES[0]].sum() == bits == tables.sum() / 2
     for first in (0, 2):
         at = np.minimum(first, [len(w) for w in spelled])
         keep = [i for i, w in enumerate(spelled) if len(w) > first]
