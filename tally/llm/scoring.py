@@ -55,7 +55,7 @@ PIECE = 64
 #: Words whose scores every task knows.
 HEAD = 1 << 18
 #: Words, and tokens, that a task counts before it passes the counts on; bytes that a task reads at once.
-COUNTED, HELD, CHUNK = 250_000, 4_000_000, 1 << 22
+COUNTED, HELD, CHUNK = 500_000, 6_000_000, 1 << 22
 #: Pairs of a bucket, about; pairs that may share a beginning before it is lengthened.
 BUCKET, SHARED = 1 << 16, 1 << 17
 #: Slots of the tables for two and three bytes; slots of a part in which they are merged.
@@ -105,9 +105,13 @@ def unspell(spelled: bytes) -> bytes:
     return spelled if spelled == END or spelled[0] == 0xFF else spelled[:-1]
 
 
-def key_facts(spelled: list[bytes]) -> np.ndarray:
-    """Of each key: the bytes that are predicted, and whether it is a token, or (a piece) only a part of one."""
-    return np.array([(0 if w[0] == 0xFF else len(w), w[-1:] == b" " or w == END or w[0] == 0xFF) for w in spelled], np.int64).reshape(-1, 2)
+def key_facts(spelled: list[bytes], known: np.ndarray) -> np.ndarray:
+    """Of each key: whether it is a token, or (a piece) only a part of one; whether that is known; its part in
+    the base score; the bytes that are predicted. ``known``: counts in training texts; -1: left to the join."""
+    token = np.array([w[-1:] == b" " or w == END or w[0] == 0xFF for w in spelled], float)
+    size = np.array([0 if w[0] == 0xFF else len(w) for w in spelled], float)
+    base = np.where(known >= 0, np.log10(np.maximum(known, 0) + 0.1), 0)
+    return np.stack([token, token * (known > 0), token * base, size], 1).reshape(-1, 4)
 
 
 class Tokens:
@@ -147,22 +151,20 @@ class Tokens:
 
     def lot(self, pieces: list[tuple[int, bytes, bool]], before: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         """(word, class, row) of all tokens of (row, bytes, whether the text ends here), and the class after them."""
-        place, get = self.place, self.place.get
+        place, get = self.place, self.place.__getitem__
         flat: list[int] = []
         sizes, rows, continued, long = [], [], [], []
         for row, data, ends in pieces:
             words = data.split()
-            found = list(map(get, words))
-            if None in found:
-                new = [w for w, i in zip(words, found, strict=True) if i is None]
-                if max(map(len, new)) >= PIECE:
-                    found, more, digests = self.pieces(words, len(flat))
-                    continued += more
-                    long += digests
-                else:
-                    for w in new:
-                        place.setdefault(w, len(place))
-                    found = list(map(get, words))
+            new = set(words).difference(place)
+            if new and max(map(len, new)) >= PIECE:
+                found, more, digests = self.pieces(words, len(flat))
+                continued += more
+                long += digests
+            else:
+                for w in new:
+                    place[w] = len(place)
+                found = list(map(get, words))
             flat += found
             if ends:
                 flat.append(self.number(END))
@@ -417,10 +419,12 @@ class Mixer:
         total = np.zeros(len(bucket.of))
         for rows, bits, (x, alone), (gates, gates_alone) in bucket.bits(counts):
             # All of a bit's places are scored with the same weights, so that zeros and ones sum to one.
+            # The mean of the mixed probability p and the table's, (ones + 16 p) / (seen + 16), as a line in p.
+            by = 1 / (self.last[:, 1] + 16)
+            slope, offset = (0.5 + 8 * by).astype(np.float32), (self.last[:, 0] * by / 2).astype(np.float32)
             dot = self.mixed(x, gates)
-            p = 1 / (1 + np.exp(-dot))
-            seen = self.last[self.step(dot, gates)]
-            p = np.clip((p + (seen[:, 0] + 16 * p) / (seen[:, 1] + 16)) / 2, 1e-6, 1 - 1e-6)
+            step = self.step(dot, gates)
+            p = np.clip(slope[step] / (1 + np.exp(-dot)) + offset[step], np.float32(1e-6), np.float32(1 - 1e-6))
             total[rows] += np.log10(np.where(bits == 1, p, 1 - p))
             weight = bucket.n[rows]
             for i in range(0, len(rows), STEP):
@@ -511,30 +515,28 @@ def _documents(frequent: dict[bytes, int], head):
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, known, scores_, first_facts = head.value  # the head's words are the first of all keys
+        place, first_facts, scores_ = head.value  # the head's words are the first of all keys
         found = Tokens(frequent, place)
         names_of, facts = [spell(k) for k in place], first_facts
         for others, word, kind, row in _lots(batches, found, TaskContext.get().partitionId() << 33):
             new = [spell(k) for k in islice(found.place, len(names_of), None)]
             if new:
-                facts = np.concatenate([facts, key_facts(new)])
+                facts = np.concatenate([facts, key_facts(new, np.full(len(new), -1))])
                 names_of += new
-            size, token = facts[word].T
-            of = np.where(word < len(place), word, -1)
-            held = of >= 0
-            c = np.where(held, known[np.maximum(of, 0)], 0)
-            # What a token of the base is: a whole word, not the last piece of a long one.
-            token = (token > 0) & (kind != CONTINUED)
             first = min(others)
             r, many = row - first, max(others) - first + 1
-            values = [
-                np.bincount(r, token, many), np.bincount(r, held & token & (c > 0), many),
-                np.bincount(r, np.where(held & token, np.log10(c + 0.1), 0), many),
-                np.bincount(r, np.where(held, scores_[np.maximum(of, 0), kind], 0), many),
-                np.bincount(r, size, many),
-            ]
+            sums, score = np.zeros((many, 4)), np.zeros(many)
+            if len(word):
+                each = facts[word]
+                part = kind == CONTINUED
+                if part.any():  # the last piece of a long word is no token
+                    each[part, :3] = 0
+                starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+                sums[r[starts]] = np.add.reduceat(each, starts)
+                score[r[starts]] = np.add.reduceat(scores_[np.minimum(word, len(place)) * KINDS + kind].astype(float), starts)
+            values = [sums[:, 0], sums[:, 1], sums[:, 2], score, sums[:, 3]]
             # The other pairs, counted by text.
-            other = np.flatnonzero(~held)
+            other = np.flatnonzero(word >= len(place))
             key, n = np.unique((r[other] * len(names_of) + word[other]) * KINDS + kind[other], return_counts=True)
             ends = np.searchsorted(key // (KINDS * max(len(names_of), 1)), np.arange(many + 1))
             words = np.array([*names_of, b""], object)[key // KINDS % max(len(names_of), 1)]
@@ -615,19 +617,18 @@ def scores(docs: DataFrame) -> DataFrame:
     long = every.filter(F.col("kind") == LONG).select("spelled", "kind", F.lit(0.0).cast("float").alias("score"), F.col("n").alias("known"))
     scored = written(spelled.unionByName(long), "spelled")
     token = F.substring("spelled", -1, 1).isin(b" ", END) & (F.col("kind") != CONTINUED) | (F.col("kind") == LONG)
-    by_word = scored.groupBy("spelled").agg(
-        F.max(F.when(token, F.col("known"))).alias("known"), F.collect_list("kind").alias("kinds"), F.collect_list("score").alias("scores")
-    )
-    by_word = written(by_word.filter("known is not null"), "words")
+    by_word = written(scored.filter(token).groupBy("spelled").agg(F.max("known").alias("known")), "words")
     facts = by_word.agg(F.coalesce(F.sum("known"), F.lit(0)).alias("n"), F.count_if(F.col("known") > 0).alias("types")).first()
 
-    rows = by_word.orderBy(F.desc("known"), "spelled").limit(HEAD).toArrow()  # with KINDS scores each at most
-    words_of, known = rows["spelled"].to_pylist(), np.append(rows["known"].to_numpy(), 0)
+    chosen = by_word.orderBy(F.desc("known"), "spelled").limit(HEAD)
+    listed = scored.select("spelled", "kind", "score").join(F.broadcast(chosen), "spelled").groupBy("spelled")
+    rows = listed.agg(F.max("known").alias("known"), F.collect_list("kind").alias("kinds"), F.collect_list("score").alias("scores")).toArrow()  # HEAD rows, KINDS scores each at most
+    words_of = rows["spelled"].to_pylist()
     place = {unspell(w): i for i, w in enumerate(words_of)}
-    table = np.zeros((len(known), KINDS), np.float32)
+    table = np.zeros((len(words_of) + 1, KINDS), np.float32)
     at = np.repeat(np.arange(len(words_of)), pc.list_value_length(rows["kinds"]).to_numpy())
     table[at, pc.list_flatten(rows["kinds"]).to_numpy()] = pc.list_flatten(rows["scores"]).to_numpy()
-    head = sc.broadcast((place, known, table, key_facts(words_of)))
+    head = sc.broadcast((place, key_facts(words_of, rows["known"].to_numpy()), table.ravel()))
 
     schema = "row long, doc_id long, n_tokens long, n_known long, base double, score double, bytes long, rest array<struct<spelled: binary, kind: int, k: long>>"
     texts = written(docs.select("text", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(_documents(frequent, head), schema), "texts")
