@@ -25,8 +25,8 @@ bucket's sorted words. A bucket is fixed by bytes that are already predicted, an
 the number of tasks changes no score. Contexts of the last bytes are finite in number and have tables of fixed size.
 
 Texts then sum their pairs' scores: the most frequent words' are broadcast (HEAD words, which bounds
-the broadcast and changes no result), the others' joined. Words over 63 bytes are predicted in
-pieces of 64 bytes, texts are read in pieces of CHUNK bytes, so neither needs memory for its length.
+the broadcast and changes no result), the others' joined. Words over 31 bytes are predicted in
+pieces of 32 bytes, texts are read in pieces of CHUNK bytes, so neither needs memory for its length.
 """
 
 from __future__ import annotations
@@ -51,11 +51,11 @@ FREQUENT, SHORT = 16, 4
 CONTINUED, LONG = FREQUENT + 1, FREQUENT + 2
 KINDS = LONG + 1
 #: Bytes of a piece.
-PIECE = 64
+PIECE = 32
 #: Words whose scores every task knows.
 HEAD = 1 << 18
 #: Words, and tokens, that a task counts before it passes the counts on; bytes that a task reads at once.
-COUNTED, HELD, CHUNK = 500_000, 6_000_000, 1 << 22
+COUNTED, HELD, CHUNK = 500_000, 6_000_000, 1 << 23
 #: Pairs of a bucket, about; pairs that may share a beginning before it is lengthened.
 BUCKET, SHARED = 1 << 16, 1 << 17
 #: Slots of the tables for two and three bytes; slots of a part in which they are merged.
@@ -93,6 +93,15 @@ def chunks(text: str | None) -> Iterator[bytes]:
     yield data[first:]
 
 
+def split_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """All words of texts that are lower-cased already, and how many each has."""
+    lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+    words = pc.list_flatten(lists).cast(pa.large_binary())
+    full = pc.binary_length(words).to_numpy() > 0  # white space at a text's ends leaves empty ones
+    sizes = np.diff(np.r_[0, np.cumsum(full)][np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]])
+    return words if full.all() else words.filter(pa.array(full)), sizes
+
+
 def spell(key: bytes) -> bytes:
     """The bytes that are predicted for a key of ``Tokens``: a word's with a space; pieces, ends and digests are what they are."""
     if key == END or key[0] == 0xFF:
@@ -131,47 +140,38 @@ class Tokens:
     def number(self, key: bytes) -> int:
         return self.place.setdefault(key, len(self.place))
 
-    def pieces(self, words: list[bytes], at: int) -> tuple[list[int], list[int], list[int]]:
-        """Numbers of words of which some are long, the places of continued pieces, and those of digests."""
-        flat: list[int] = []
-        continued: list[int] = []
-        long: list[int] = []
-        for w in words:
-            if len(w) < PIECE:
-                flat.append(self.number(w))
-                continue
-            spelled = w + b" "
-            for i in range(0, len(spelled), PIECE):
-                if i:
-                    continued.append(at + len(flat))
-                flat.append(self.number(b" " + spelled[i : i + PIECE]))
-            long.append(at + len(flat))
-            flat.append(self.number(b"\xff" + hashlib.sha256(w).digest()))
-        return flat, continued, long
+    def pieces(self, word: bytes) -> list[int]:
+        """Numbers of a long word's pieces and of its digest."""
+        spelled = word + b" "
+        cut = [self.number(b" " + spelled[i : i + PIECE]) for i in range(0, len(spelled), PIECE)]
+        return [*cut, self.number(b"\xff" + hashlib.sha256(word).digest())]
 
     def lot(self, pieces: list[tuple[int, bytes, bool]], before: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         """(word, class, row) of all tokens of (row, bytes, whether the text ends here), and the class after them."""
-        place, get = self.place, self.place.__getitem__
-        flat: list[int] = []
-        sizes, rows, continued, long = [], [], [], []
-        for row, data, ends in pieces:
-            words = data.split()
-            new = set(words).difference(place)
-            if new and max(map(len, new)) >= PIECE:
-                found, more, digests = self.pieces(words, len(flat))
-                continued += more
-                long += digests
-            else:
-                for w in new:
-                    place[w] = len(place)
-                found = list(map(get, words))
-            flat += found
-            if ends:
-                flat.append(self.number(END))
-            sizes.append(len(found) + ends)
-            rows.append(row)
-        word = np.array(flat, np.int64)
-        row = np.repeat(np.array(rows, np.int64), sizes)
+        words, sizes = split_words([data for _, data, _ in pieces])
+        encoded = words.dictionary_encode()
+        spelled = encoded.dictionary.to_pylist()
+        place = self.place
+        numbers = np.array([place.setdefault(w, len(place)) if len(w) < PIECE else -1 for w in spelled], np.int64)
+        word = numbers[encoded.indices.to_numpy()]
+        row = np.repeat(np.arange(len(pieces)), sizes)
+        continued = long = np.zeros(0, np.int64)
+        at = np.flatnonzero(word < 0)
+        if len(at):
+            cut = [self.pieces(words[i].as_py()) for i in at.tolist()]
+            many = np.ones(len(word), np.int64)
+            many[at] = [len(c) for c in cut]
+            ends = np.cumsum(many)[at]
+            word, row = np.repeat(word, many), np.repeat(row, many)
+            word[np.flatnonzero(word < 0)] = np.concatenate(cut)
+            long = ends - 1
+            continued = np.concatenate([np.arange(e - len(c) + 1, e - 1) for e, c in zip(ends.tolist(), cut, strict=True)])
+        # An end behind the tokens of each text that ends here.
+        ending = np.flatnonzero([e for _, _, e in pieces])
+        put = np.searchsorted(row, ending, "right")
+        word, row = np.insert(word, put, self.number(END)), np.insert(row, put, ending)
+        continued, long = (x + np.searchsorted(put, x, "right") for x in (continued, long))
+        row = np.array([r for r, _, _ in pieces], np.int64)[row]
         if not len(word):
             return word, word, row, before
         at = np.arange(len(word))
@@ -221,12 +221,12 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            for part in chunks(text):
-                counts.update([w for w in part.split() if len(w) <= SHORT])
-            if len(counts) > COUNTED:
-                yield flush()
-                counts = Counter()
+        words, _ = split_words([part for text in batch.column(0).to_pylist() for part in chunks(text)])
+        few = words.filter(pc.less_equal(pc.binary_length(words), SHORT)).value_counts()
+        counts.update(dict(zip(few.field("values").to_pylist(), few.field("counts").to_pylist(), strict=True)))
+        if len(counts) > COUNTED:
+            yield flush()
+            counts = Counter()
     yield flush()
 
 
@@ -600,8 +600,8 @@ def scores(docs: DataFrame) -> DataFrame:
     leaves, begun = beginnings(pairs)
     total = max(1, pairs.count() // BUCKET)
     bucketed = begun.select(F.pmod(F.xxhash64("begin"), F.lit(total)).cast("int").alias("bucket"), F.length("begin").cast("long").alias("begins"), "spelled", "kind", "n")
-    tasks = max(8, total)
-    sorted_ = bucketed.repartitionByRange(tasks, "bucket").sortWithinPartitions("bucket", "spelled", "kind")
+    # A bucket is in one file, and far smaller than a row group, so each is read by one task, in this order.
+    sorted_ = written(bucketed.repartitionByRange(max(8, total), "bucket").sortWithinPartitions("bucket", "spelled", "kind"), "buckets")
 
     sliced = sorted_.mapInArrow(_tables, "part long, at binary, counts binary")
     merged = sliced.repartition(8, "part").mapInArrow(_merged, "part long, counts binary")

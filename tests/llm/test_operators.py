@@ -367,10 +367,10 @@ def test_frequent_words_before():
     assert kind.tolist() == [0, 0, 1, 1, 1, 2, 2, 0, 0, 1] and row.tolist() == [0] * 7 + [1] * 3 and after == 1
     word, kind, _, _ = found.lot([(1, b"z of", False), (1, b" q", True)], after)
     assert kind.tolist() == [1, 1, 2, 2]
-    long = b"w" * 150
+    long = b"w" * 70
     word, kind, _, _ = found.lot([(0, b"the " + long + b" e", True)], -1)
     names = [scoring.spell(k) for k in found.place]
-    assert [names[w] for w in word[1:4]] == [long[:64], long[:64], long[:22] + b" "] and names[word[4]][0] == 0xFF
+    assert [names[w] for w in word[1:4]] == [long[:32], long[:32], long[:6] + b" "] and names[word[4]][0] == 0xFF
     assert kind.tolist() == [0, 1, scoring.CONTINUED, scoring.CONTINUED, scoring.LONG, 1, 1]
 
 
