@@ -17,6 +17,7 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -132,10 +133,14 @@ class PieceModel:
         inside = [t for t in self.ids if re.search(f"[^{SPACE}]{SPACE}", t)]
         lone_line = not any("\n" in t and len(t) > 1 for t in self.ids)
         self.cut = None if inside or user else re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if lone_line else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        #: What ids of ordinary pieces decode to.
+        self.normal_texts = {i: t.replace(SPACE, " ") for i, t in enumerate(self.texts) if self.kinds[i] not in (BYTE, CONTROL, UNKNOWN)}
         plain = self.cut and not charsmap and not self.drop_extra and self.escape
         # The same cuts in the source, where a space isn't a mark yet.
         self.cut_source = re.compile(self.cut.pattern.replace(SPACE, f" {SPACE}").replace(f" {SPACE}*", f"[ {SPACE}]*").replace(f" {SPACE}+", f"[ {SPACE}]+")) if plain else None
-        self.known: dict[str, tuple[int, str, str, int]] = {}
+        self.known: dict[str, str] = {}
+        self.odd: set[str] = set()
+        self.odd_parts: dict[str, tuple[int, str, str, int]] = {}
         self.remembered = 0
 
     def normalised(self, text: str, first: bool = True) -> tuple[str, list[int]]:
@@ -147,6 +152,10 @@ class PieceModel:
         out: list[str] = []
         source: list[int] = []
         at = 0
+        if not self.map.units and not self.user:  # no prefix is longer than none: characters stay
+            out = list(text)
+            source = list(range(len(out))) if len(out) == len(data) else list(accumulate([len(c.encode()) for c in out], initial=0))[:-1]
+            at = len(data)
         while at < len(data):
             found = self.map.longest(data, at)
             user = self.user.match(data[at:].decode()) if self.user else None
@@ -276,27 +285,49 @@ class PieceModel:
         """Number of ids, digests of the ids and of the decoded text, and the source bytes covered, part by part."""
         if not text:
             return 0, _sha(""), _sha(""), 0
-        parts = self.cut_source.findall(text) if self.cut_source else [text]
+        if not self.cut_source:
+            count, ids, decoded, covers = self.part(text, True)
+            return count, _sha(ids), _sha(decoded), covers
+        if self.remembered > REMEMBERED:
+            for kept in (self.known, self.odd, self.odd_parts):
+                kept.clear()
+            self.remembered = 0
+        parts = self.cut_source.findall(text)
         found = list(map(self.known.get, parts))
         for i, part in enumerate(parts) if None in found else ():
-            if found[i] is not None:
-                continue
-            found[i] = self.known.get(part) or self.part(part, False)
-            if len(part) <= LONGEST and part not in self.known and self.cut_source:
-                self.remembered += len(part)
-                if self.remembered > REMEMBERED:
-                    self.known.clear()
-                    self.remembered = len(part)
-                self.known[part] = found[i]
-        found[0] = self.part(parts[0], True) if self.add_prefix or not self.cut_source else found[0]
-        count, ids, decoded, covers = zip(*found, strict=True)
-        return sum(count), _sha(",".join(ids)), _sha("".join(decoded)), sum(covers)
+            if found[i] is None:
+                found[i] = self.known.get(part) or self.remember(part)
+        first = self.part(parts[0], True)
+        found[0] = first[1]
+        found = [f for f in found if f] if "" in found else found
+        ids = ",".join(found)
+        rest = parts[1:]
+        if self.odd.isdisjoint(rest):
+            # Each of these parts was found to decode to itself, and its spans to cover it.
+            tail = text[len(parts[0]) :]
+            return ids.count(",") + bool(ids), _sha(ids), _sha(first[2] + tail), first[3] + len(tail.encode())
+        each = [self.odd_parts.get(p) or (0, "", p, len(p.encode())) for p in rest]
+        return ids.count(",") + bool(ids), _sha(ids), _sha(first[2] + "".join([x[2] for x in each])), first[3] + sum([x[3] for x in each])
+
+    def remember(self, part: str) -> str:
+        """A part's ids as text. Kept, if it isn't too long; so is what it decodes to and covers, if that isn't the part itself."""
+        found = self.part(part, False)
+        self.remembered += len(part)
+        if found[2] != part or found[3] != len(part.encode()):
+            self.odd.add(part)
+            self.odd_parts[part] = found
+        if len(part) <= LONGEST:
+            self.known[part] = found[1]
+        return found[1]
 
     def decode(self, ids: list[int], first: bool = True) -> str:
         """The text of ids: space marks to spaces, byte pieces to characters (U+FFFD for what isn't UTF-8).
 
         ``first``: the ids begin a text, so a dummy prefix is dropped.
         """
+        plain = [self.normal_texts.get(i) for i in ids]
+        if None not in plain and not (first and self.add_prefix):
+            return "".join(plain)
         out: list[str] = []
         run = bytearray()
 

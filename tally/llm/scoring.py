@@ -55,7 +55,7 @@ PIECE = 32
 #: Words whose scores every task knows.
 HEAD = 1 << 18
 #: Words, and tokens, that a task counts before it passes the counts on; bytes that a task reads at once.
-COUNTED, HELD, CHUNK = 500_000, 6_000_000, 1 << 23
+COUNTED, HELD, CHUNK = 300_000, 3_000_000, 1 << 22
 #: Pairs of a bucket, about; pairs that may share a beginning before it is lengthened.
 BUCKET, SHARED = 1 << 16, 1 << 17
 #: Slots of the tables for two and three bytes; slots of a part in which they are merged.
