@@ -4,16 +4,17 @@ An item is (id, day, c, entity, ref, text, batch): day a day number, c money in
 ref and the other keys normalised. Rules run in order on what is still open. An item with
 several candidates stays open, with the first such rule as its reason.
 
-Exact rules never list pairs: candidates are counted with windows over sorted ranges
-(``counted``), so many items of one amount cost a sort, not a product. Tolerance and
-quoted rules list pairs, after a check of how many there would be (``pair_count``).
+Exact rules never list pairs: candidates are counted by day with windows over running sums
+(``counted``), so many items of one amount cost as many rows as they have days. Tolerance and
+quoted rules list pairs, after a check of how many there would be (``refuse_many``).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cut import cut
@@ -32,7 +33,8 @@ class Rule:
 
     ``days``: least and most days from left to right, or None; ``group_left``/``group_right``:
     open items that share these keys count as one; ``percent``: a signed band of the difference as a share
-    of the left amount, ``tolerance`` the same in minor units; both None for exact amounts.
+    of the left amount, ``tolerance`` the same in minor units; both None for exact amounts. ``difference``
+    names what such a band allows for (a fee, say), and must be given with one.
     """
 
     name: str
@@ -43,6 +45,7 @@ class Rule:
     percent: tuple[float, float] | None = None
     tolerance: tuple[int, int] | None = None
     quote: bool = False
+    difference: str = ""
 
     def __post_init__(self) -> None:
         if not self.name:
@@ -53,31 +56,48 @@ class Rule:
         for band in (self.days, self.percent, self.tolerance):
             if band is not None and band[0] > band[1]:
                 raise MatchError(f"{self.name}: a band runs from the smaller to the larger value")
+        if self.quote and (self.percent is not None or self.tolerance is not None):
+            raise MatchError(f"{self.name}: a quoted rule compares equal amounts")
+        if (self.percent is not None or self.tolerance is not None) != bool(self.difference.strip()):
+            raise MatchError(f"{self.name}: a tolerance names the difference it allows, and only a tolerance does")
+
+    @property
+    def criteria(self) -> str:
+        """The rule in words."""
+        parts = [" and ".join(["quoted reference"] * self.quote + list(self.on)), "any date" if self.days is None else f"{self.days[0]} to {self.days[1]} days"]
+        parts += [f"{side} grouped by {' and '.join(by)}" for side, by in (("left", self.group_left), ("right", self.group_right)) if by]
+        bands = [f"{low:g} to {high:g} {of}" for band, of in ((self.percent, "of the amount"), (self.tolerance, "minor units")) if band for low, high in [band]]
+        return "; ".join([p for p in parts if p] + (["difference " + " and ".join(bands)] if bands else ["equal amounts"]))
 
     @property
     def exact(self) -> bool:
         return self.percent is None and self.tolerance is None and not self.quote
 
 
-def default_rules(window: int = 2, wide: int = 10) -> list[Rule]:
-    """References first, then amounts near in time, groups, and at last anything by reference."""
-    near, far = (0, window), (0, wide)
+def default_rules(window: tuple[int, int] = (0, 2), wide: tuple[int, int] = (0, 89), same_entity: bool = False) -> list[Rule]:
+    """References first, then amounts near in time, groups, and at last anything by reference.
+
+    ``window`` and ``wide`` are days from left to right; references look from the start of the one to
+    the end of the other. ``same_entity``: both sides also share the entity, under every rule.
+    """
+    who = ("entity",) if same_entity else ()
+    referred, day = (window[0], wide[1]), ("entity", "day")
     return [
-        Rule("reference", ("ref",), (0, 89)),
-        Rule("reference totals", ("ref",), (0, 89), ("ref",), ("ref",)),
-        Rule("quoted", (), (0, 89), quote=True),
-        Rule("amount and date", (), near),
-        Rule("deposit lines", (), near, (), ("batch",)),
-        Rule("day's items", (), near, ("entity", "day")),
-        Rule("day's items and deposit lines", (), near, ("entity", "day"), ("batch",)),
-        Rule("amount wide", (), far),
-        Rule("reference any date", ("ref",)),
-        Rule("quoted any date", quote=True),
+        Rule("reference", (*who, "ref"), referred),
+        Rule("reference, totals", (*who, "ref"), referred, group_left=("ref",), group_right=("ref",)),
+        Rule("quoted", who, referred, quote=True),
+        Rule("amount and date", who, window),
+        Rule("deposit lines", who, window, group_right=("batch",)),
+        Rule("day's items", who, window, group_left=day),
+        Rule("day's items, deposit lines", who, window, group_left=day, group_right=("batch",)),
+        Rule("amount, wide", who, wide),
+        Rule("reference, any date", (*who, "ref")),
+        Rule("quoted, any date", who, quote=True),
     ]
 
 
 def normal_key(x: Column) -> Column:
-    """Upper case, letters and digits only, no leading zeros, null if nothing is left."""
+    """What is compared of a key: capitals and digits, zeros before the first other digit dropped; null for none."""
     plain = F.regexp_replace(F.upper(x), "[^A-Z0-9]", "")
     return F.nullif(F.regexp_replace(plain, r"^0+(?=\d)", ""), F.lit(""))
 
@@ -110,6 +130,17 @@ def faults(df: DataFrame, decimals: int = 2) -> DataFrame:
     return wide.unionByName(twice).filter("n > 0")
 
 
+def refused(items: DataFrame, side: str) -> None:
+    """Raises MatchError for items that can't be matched: ids missing, repeated or with ``;``, amounts missing."""
+    tests = {"without id": F.col("id").isNull(), "with ; in the id": F.col("id").contains(";"), "without amount": F.col("c").isNull()}
+    n = items.agg(F.count("id").alias("ids"), *(F.count_if(t).alias(k) for k, t in tests.items())).first().asDict()
+    found = {k: n[k] for k in tests if n[k]}
+    if again := n["ids"] - items.filter("id is not null").select("id").distinct().count():
+        found["with an id that is there already"] = again
+    if found:
+        raise MatchError(f"{side}: " + ", ".join(f"{x} items {k}" for k, x in found.items()))
+
+
 def units(items: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """Items grouped by keys, as (g, ids, c, lo, hi, nref, entity, ref, batch, day, text); an item with a null key stays single.
 
@@ -130,11 +161,12 @@ def units(items: DataFrame, by: tuple[str, ...]) -> DataFrame:
         F.when(F.count("day") == F.count("*"), F.max("day")).alias("hi"), F.count_distinct("ref").cast("int").alias("nref"), *(one(k) for k in own),
     )
     names = [c for c in single.columns if c != "text"]
-    return grouped.select(*names, F.lit(None).cast("string").alias("text")).unionByName(single.join(items.filter(~whole).select(F.col("id").alias("g")), "g", "left_semi"))
+    lone = single.filter(~whole)  # has the same key columns
+    return grouped.select(*names, F.lit(None).cast("string").alias("text")).unionByName(lone)
 
 
 def _guard(rule: Rule, left: str = "l", right: str = "r") -> Column:
-    """Unless refs are compared, an amount never overrides a reference."""
+    """Where references aren't compared, those of the two sides must not contradict each other: one side has none, or both have the same one."""
     if "ref" in rule.on:
         return F.lit(True)
     a, b = F.col(f"{left}.nref"), F.col(f"{right}.nref")
@@ -170,20 +202,21 @@ def counted(queries: DataFrame, targets: DataFrame, rule: Rule, forward: bool) -
         d0, d1 = rule.days if forward else (-rule.days[1], -rule.days[0])
         t = targets.filter("lo is not null and hi is not null").withColumn("class", F.explode(t_class)).select(*keys, "lo", "hi", "g")
         q = queries.filter("lo is not null and hi is not null").withColumn("class", F.explode(q_class)).select(*keys, (F.col("lo") + d0).alias("a"), (F.col("hi") + d1).alias("b"), "g")
-        nothing = F.lit(None)
-
-        def rows(target_value: str, query_value: Column) -> DataFrame:
-            left = t.select(*keys, F.col(target_value).alias("v"), F.lit(0).alias("tag"), F.struct("hi", "g").alias("target"), nothing.cast("string").alias("q"))
-            right = q.select(*keys, query_value.alias("v"), F.lit(1).alias("tag"), nothing.cast(left.schema["target"].dataType).alias("target"), F.col("g").alias("q"))
-            return left.unionByName(right)
-
-        from pyspark.sql import Window
-
-        w = Window.partitionBy(*keys).orderBy("v", "tag").rowsBetween(Window.unboundedPreceding, 0)
-        begun = rows("lo", F.col("b")).select(*keys, "q", F.count("target").over(w).alias("n_lo"), F.max("target").over(w).alias("last")).filter("q is not null")
-        ended = rows("hi", F.col("a") - 1).select(*keys, "q", F.count("target").over(w).alias("n_hi")).filter("q is not null")
-        found = begun.join(ended, [*keys, "q"]).withColumn("n", F.col("n_lo") - F.col("n_hi")).filter("n > 0")
-        found = found.select(F.col("q").alias("g"), "n", F.col("last.g").alias("partner"))
+        # Days are few: running sums go over days with targets and days asked for, not over items.
+        w = Window.partitionBy(*keys).orderBy("v", "asked").rowsBetween(Window.unboundedPreceding, 0)
+        last = F.struct("hi", "g")
+
+        def running(day: str, asked: Column, name: str, n: str) -> DataFrame:
+            there = t.groupBy(*keys, F.col(day).alias("v")).agg(F.count(F.lit(1)).alias("n"), F.max(last).alias("last")).withColumn("asked", F.lit(0))
+            ask = q.select(*keys, asked.alias("v")).distinct().select(*keys, "v", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast(there.schema["last"].dataType).alias("last"), F.lit(1).alias("asked"))
+            sums = there.unionByName(ask).select(*keys, "v", "asked", F.sum("n").over(w).alias(n), F.max("last").over(w).alias("last"))
+            return sums.filter("asked = 1").select(*keys, F.col("v").alias(name), n, "last")
+
+        begun = running("lo", F.col("b"), "b", "n_lo")
+        ended = running("hi", F.col("a") - 1, "a", "n_hi").withColumn("a", F.col("a") + 1).drop("last")
+        spans = q.select(*keys, "a", "b").distinct().join(begun, [*keys, "b"]).join(ended, [*keys, "a"])
+        spans = spans.withColumn("n", F.col("n_lo") - F.col("n_hi")).filter("n > 0").select(*keys, "a", "b", "n", F.col("last.g").alias("partner"))
+        found = q.join(spans, [*keys, "a", "b"]).select("g", "n", "partner")
     return found.groupBy("g").agg(F.sum("n").alias("n"), F.max("partner").alias("partner")).withColumn("partner", F.when(F.col("n") == 1, F.col("partner")))
 
 
@@ -194,6 +227,12 @@ def pair_count(left: DataFrame, right: DataFrame, keys: list[str]) -> int:
     return a.join(b, keys).agg(F.coalesce(F.sum(F.col("n").cast("decimal(38,0)") * F.col("m")), F.lit(0))).first()[0]
 
 
+def refuse_many(rule: Rule, left: DataFrame, right: DataFrame, keys: list[str]) -> None:
+    n = pair_count(left, right, keys)
+    if n > MAX_PAIRS:
+        raise MatchError(f"{rule.name}: {n} pairs; narrow the rule")
+
+
 def pairs(left: DataFrame, right: DataFrame, rule: Rule) -> DataFrame:
     """(g_l, g_r) of a tolerance or quoted rule, or of any rule for comparison."""
     l, r = left.alias("l"), right.alias("r")  # noqa: E741
@@ -201,17 +240,18 @@ def pairs(left: DataFrame, right: DataFrame, rule: Rule) -> DataFrame:
         words = F.explode(F.regexp_extract_all(F.upper(F.coalesce("text", F.lit(""))), F.lit(r"[A-Z0-9]+"), F.lit(0)))
         said = right.select(F.col("g").alias("g_r"), words.alias("word")).withColumn("key", normal_key(F.col("word"))).select("g_r", "key").distinct()
         named = left.select(F.col("g").alias("g_l"), F.explode(F.array_distinct(F.array_compact(F.array(F.when(F.col("nref") == 1, F.col("ref")), normal_key(F.col("g")))))).alias("key"))
+        refuse_many(rule, named, said, ["key"])
         hits = named.join(said, "key").select("g_l", "g_r").distinct()
         both = hits.join(l, F.col("g_l") == F.col("l.g")).join(r, (F.col("g_r") == F.col("r.g")) & (F.col("l.c") == F.col("r.c")))
+        for k in rule.on:
+            both = both.filter(F.col(f"l.{k}") == F.col(f"r.{k}"))
     else:
         on = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in rule.on]
         if rule.exact:
             on.append(F.col("l.c") == F.col("r.c"))
         keys = list(rule.on) + (["c"] if rule.exact else [])
         if keys:
-            n = pair_count(left, right, keys)
-            if n > MAX_PAIRS:
-                raise MatchError(f"{rule.name}: {n} pairs; narrow the rule")
+            refuse_many(rule, left, right, keys)
             both = l.join(r, on)
         elif rule.days is not None:
             # No key: an equi-join on weeks that the window reaches, and on amount buckets where the band is in money.
@@ -226,6 +266,7 @@ def pairs(left: DataFrame, right: DataFrame, rule: Rule) -> DataFrame:
                 lw = lw.withColumn("near", F.explode(F.sequence(bucket(F.col("c") - reach), bucket(F.col("c") + reach))))
                 rw = rw.withColumn("near", bucket(F.col("c")))
                 on.append(F.col("l.near") == F.col("r.near"))
+            refuse_many(rule, lw, rw, ["week", "near"][: len(on)])
             both = lw.alias("l").join(rw.alias("r"), on)
         else:
             raise MatchError(f"{rule.name}: a tolerance rule needs a key or days")
@@ -276,27 +317,43 @@ class Resolution:
 
 
 def resolve(left: DataFrame, right: DataFrame, rules: list[Rule], end: int | None = None, transit: int | None = None) -> Resolution:
-    """Runs ``rules`` in order over two streams of items.
+    """Runs ``rules`` in order over two streams of items; refuses streams with faults.
 
     status: matched; in transit (open on the left, its latest arrival after the end); unmatched.
     age: days from the item to the end, which is the right side's last day unless given.
     """
-    open_l, open_r = left, right
-    all_matches, all_reasons = None, None
+    left, right = cut(left), cut(right)
+    refused(left, "left")
+    refused(right, "right")
+    done: list[DataFrame] = []
+    seen: list[DataFrame] = []
     for i, rule in enumerate(rules):
+        open_l, open_r = _open(left, done, "left_ids"), _open(right, done, "right_ids")
         lu, ru = units(open_l, rule.group_left), units(open_r, rule.group_right)
-        a, b = (cut(x) for x in both_counts(lu, ru, rule))
-        hit = accepted(a, b, lu, ru).select(F.lit(i).alias("rule_no"), F.lit(rule.name).alias("rule"), "left_ids", "right_ids", "left_c", "right_c")
-        hit = cut(hit)
-        several = None
-        for side, n, u in (("left", a, lu), ("right", b, ru)):
+        a, b = both_counts(lu, ru, rule)
+        a, b = (cut(n.join(u.select("g", "ids", F.col("c").alias("of")), "g")) for n, u in ((a, lu), (b, ru)))
+        if a.isEmpty():
+            continue
+        for side, n in (("left", a), ("right", b)):
             # The first rule by which an item had several candidates, or one that had several itself.
-            x = n.join(u.select("g", "ids"), "g").select(F.lit(side).alias("side"), F.explode("ids").alias("id"), F.lit(i).alias("rule_no"), F.lit(rule.name).alias("rule"), "n")
-            several = x if several is None else several.unionByName(x)
-        all_matches = hit if all_matches is None else all_matches.unionByName(hit)
-        all_reasons = several if all_reasons is None else all_reasons.unionByName(several)
-        open_l = cut(open_l.join(hit.select(F.explode("left_ids").alias("id")), "id", "left_anti"))
-        open_r = cut(open_r.join(hit.select(F.explode("right_ids").alias("id")), "id", "left_anti"))
+            seen.append(n.select(F.lit(side).alias("side"), F.explode("ids").alias("id"), F.lit(i).alias("rule_no"), F.lit(rule.name).alias("rule"), "n"))
+        back = b.filter("n = 1").select(F.col("g").alias("partner"), F.col("partner").alias("back"), F.col("ids").alias("right_ids"), F.col("of").alias("right_c"))
+        hit = a.filter("n = 1").join(back, "partner").filter("back = g")
+        hit = hit.select(F.lit(i).alias("rule_no"), F.lit(rule.name).alias("rule"), F.col("ids").alias("left_ids"), "right_ids", F.col("of").alias("left_c"), "right_c", F.lit(rule.difference or None).cast("string").alias("named"))
+        hit = cut(hit)
+        if not hit.isEmpty():
+            done.append(hit)
+    return _resolution(left, right, done, seen, rules, end, transit)
+
+
+def _open(items: DataFrame, done: list[DataFrame], ids: str) -> DataFrame:
+    return items.join(reduce(DataFrame.unionByName, done).select(F.explode(ids).alias("id")), "id", "left_anti") if done else items
+
+
+def _resolution(left: DataFrame, right: DataFrame, done: list[DataFrame], seen: list[DataFrame], rules: list, end: int | None, transit: int | None) -> Resolution:
+    spark = left.sparkSession
+    all_matches = reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], "rule_no int, rule string, left_ids array<string>, right_ids array<string>, left_c bigint, right_c bigint, named string")
+    all_reasons = reduce(DataFrame.unionByName, seen) if seen else spark.createDataFrame([], "side string, id string, rule_no int, rule string, n bigint")
     if end is None:
         end = right.agg(F.max("day")).first()[0]
     if transit is None:
@@ -314,6 +371,50 @@ def resolve(left: DataFrame, right: DataFrame, rules: list[Rule], end: int | Non
     return Resolution(items, all_matches, reasons, rules, end)
 
 
+def from_assignment(rows: DataFrame, left: DataFrame, right: DataFrame, passes: list[tuple[str, str]], transit: int, end: int | None = None) -> Resolution:
+    """A match made elsewhere as a Resolution. ``rows``: side, id, status, grp, pass, reason; ``passes``: (name, difference) in order.
+
+    Refused: what ``check_assignment`` finds (but for amounts), passes that aren't named, and a group whose sides
+    differ under a pass that names no difference. Excluded items are never in transit.
+    """
+    left, right, rows = cut(left), cut(right), cut(rows)
+    names = [p for p, _ in passes]
+    if len(set(names)) != len(names) or not all(names):
+        raise MatchError("passes: each has a name of its own")
+    one = lambda df: df.select("id", "c", F.lit("").alias("unit"))
+    wrong = check_assignment(rows, one(left), one(right), 1 << 62).limit(3).collect()
+    if wrong:
+        raise MatchError("; ".join(f"{r.side} {r.id}: {r.kind}" for r in wrong))
+    if unknown := rows.filter(F.col("pass").isNotNull() & ~F.col("pass").isin(names)).select("pass").distinct().limit(3).collect():
+        raise MatchError(f"passes that are not named: {[r[0] for r in unknown]}")
+    place = F.coalesce(*(F.when(F.col("pass") == n, i) for i, n in enumerate(names))).cast("int") if names else F.lit(None).cast("int")
+    named = F.coalesce(*(F.when(F.col("pass") == n, F.lit(d or None)) for n, d in passes)).cast("string") if names else F.lit(None).cast("string")
+    both = left.withColumn("side", F.lit("left")).unionByName(right.withColumn("side", F.lit("right"))).select("side", "id", "c")
+    full = rows.filter("status = 'matched'").join(both, ["side", "id"])
+    of = lambda side: F.sort_array(F.collect_list(F.when(F.col("side") == side, F.col("id"))))
+    total = lambda side: F.sum(F.when(F.col("side") == side, F.col("c")).otherwise(0))
+    hit = full.groupBy("grp", "pass").agg(of("left").alias("left_ids"), of("right").alias("right_ids"), total("left").alias("left_c"), total("right").alias("right_c"))
+    hit = cut(hit.select(place.alias("rule_no"), F.col("pass").alias("rule"), "left_ids", "right_ids", "left_c", "right_c", named.alias("named")))
+    if off := hit.filter("left_c <> right_c and named is null").limit(3).collect():
+        raise MatchError("; ".join(f"{r.left_ids[0]}: sides differ by {r.right_c - r.left_c}, and {r.rule} names no difference" for r in off))
+    r = _resolution(left, right, [hit], [], [Rule(n) for n in names], end, transit)
+    why = rows.filter("status <> 'matched'").select(
+        "side", "id", (F.col("status") == "excluded").alias("held"),
+        F.when(F.col("status") == "excluded", F.concat(F.lit("excluded by "), F.col("pass"), F.lit(": "), F.col("reason"))).otherwise(F.coalesce("reason", F.lit("no candidate under any pass"))).alias("rule"),
+    )
+    items = r.items.join(why.select("side", "id", "held"), ["side", "id"], "left")
+    items = items.withColumn("status", F.when(F.col("held") & (F.col("status") == "in transit"), "unmatched").otherwise(F.col("status"))).drop("held")
+    return Resolution(items, r.matches, why.select("side", "id", "rule", F.lit(0).cast("bigint").alias("n")), r.rules, r.end)
+
+
+def disagreement(r: Resolution, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(side, id, kind): items by which these streams are not those that the resolution was made from."""
+    given = left.withColumn("side", F.lit("left")).unionByName(right.withColumn("side", F.lit("right"))).select("side", "id", F.col("c").alias("given"))
+    both = r.items.select("side", "id", "c", F.lit(True).alias("there")).join(given.withColumn("here", F.lit(True)), ["side", "id"], "full")
+    kind = F.when(F.col("here").isNull(), "missing").when(F.col("there").isNull(), "new").when(~F.col("c").eqNullSafe(F.col("given")), "other amount")
+    return both.withColumn("kind", kind).filter("kind is not null").select("side", "id", "kind")
+
+
 def kind(left_ids: Column, right_ids: Column) -> Column:
     """1:1, 1:n, n:1 or n:n."""
     return F.concat(F.when(F.size(left_ids) == 1, "1").otherwise("n"), F.lit(":"), F.when(F.size(right_ids) == 1, "1").otherwise("n"))
@@ -341,25 +442,75 @@ def by_rule(r: Resolution) -> DataFrame:
     )
 
 
-def chain(first: Resolution, *more: Resolution) -> DataFrame:
-    """(id, status, stopped, reaches, rules): left ids of the first traced through each following resolution.
+@dataclass
+class Report:
+    """summary (line, items, amount, plus, minus), by_rule (every rule, in order), exceptions (every open item)."""
+
+    summary: DataFrame
+    by_rule: DataFrame
+    exceptions: DataFrame
+
+
+def report(r: Resolution) -> Report:
+    """The reconciliation in full, in minor units; raises MatchError if it doesn't foot.
 
-    traced: every path arrives; partly traced: some do; open: none. stopped: the first step where a path ends.
+    summary: left_total, left_in_transit and left_unmatched (both negative), a line difference:<name> for each
+    named difference, right_unmatched, right_total.
     """
-    edge = lambda r: r.matches.select(F.explode("left_ids").alias("from"), "right_ids", "rule").select("from", F.explode("right_ids").alias("to"), "rule")
-    paths = first.items.filter("side = 'left'").select("id").join(edge(first).withColumnRenamed("from", "id"), "id", "left")
-    paths = paths.select("id", F.col("to").alias("at"), F.when(F.col("to").isNull(), 1).alias("stopped"), F.col("rule").alias("rules"))
-    for step, r in enumerate(more, 2):
-        e = edge(r)
-        joined = paths.join(e, paths["at"] == e["from"], "left")
-        paths = joined.select(
-            "id", F.col("to").alias("at"), F.coalesce("stopped", F.when(F.col("to").isNull(), step)).alias("stopped"), F.concat_ws(" > ", "rules", "rule").alias("rules")
-        )
-    done = F.col("at").isNotNull()
-    status = F.when(F.bool_and(done), "traced").when(F.bool_or(done), "partly traced").otherwise("open")
-    return paths.groupBy("id").agg(
-        status.alias("status"), F.min("stopped").alias("stopped"), F.array_join(F.array_sort(F.collect_set("at")), ";").alias("reaches"), F.array_join(F.array_sort(F.collect_set(F.when(done, F.col("rules")))), ";").alias("rules")
-    )
+    side, status = F.col("side"), F.col("status")
+    open_ = F.when((side == "left") & (status == "in transit"), "left_in_transit").when((side == "left") & (status == "unmatched"), "left_unmatched")
+    open_ = open_.when((side == "right") & (status == "unmatched"), "right_unmatched")
+    signed = F.when(side == "left", -F.col("c")).otherwise(F.col("c"))
+    values = r.items.select(F.concat(side, F.lit("_total")).alias("line"), "c")
+    values = values.unionByName(r.items.select(open_.alias("line"), signed.alias("c")).filter("line is not null"))
+    gap = F.col("right_c") - F.col("left_c")
+    values = values.unionByName(r.matches.filter(gap != 0).select(F.concat(F.lit("difference:"), F.coalesce("named", F.lit(""))).alias("line"), gap.alias("c")))
+    lines = values.groupBy("line").agg(
+        F.count("c").alias("items"), F.sum("c").alias("amount"), F.coalesce(F.sum(F.when(F.col("c") > 0, F.col("c"))), F.lit(0)).alias("plus"), F.coalesce(F.sum(F.when(F.col("c") < 0, F.col("c"))), F.lit(0)).alias("minus")
+    )
+    always = r.items.sparkSession.createDataFrame([(x,) for x in ("left_total", "left_in_transit", "left_unmatched", "right_unmatched", "right_total")], "line string")
+    summary_ = always.join(lines, "line", "full").select("line", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("items", "amount", "plus", "minus")))
+    summary_ = cut(summary_)
+    off = summary_.agg(F.sum(F.when(F.col("line") == "right_total", -F.col("amount")).otherwise(F.col("amount")))).first()[0]
+    if off:
+        raise MatchError(f"the reconciliation does not foot by {off} minor units")
+    rules = r.items.sparkSession.createDataFrame([(i, x.name, x.criteria) for i, x in enumerate(r.rules)], "rule_no int, rule string, criteria string")
+    sums = by_rule(r).withColumn("difference", F.col("right_c") - F.col("left_c")).drop("rule")
+    counts = ("matches", "left_items", "right_items", "left_c", "right_c", "difference")
+    every = rules.join(sums, "rule_no", "left").select("rule_no", "rule", "criteria", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts))
+    why = F.coalesce(F.col("rule"), F.lit("no candidate under any rule"))
+    exceptions = r.items.filter("status <> 'matched'").drop("rule", "rule_no").join(r.reasons.select("side", "id", "rule", "n"), ["side", "id"], "left")
+    exceptions = exceptions.select("side", "id", "day", "c", "entity", (status == "in transit").alias("in_transit"), "age", why.alias("reason"), F.coalesce("n", F.lit(0)).cast("bigint").alias("candidates"))
+    return Report(summary_, every, exceptions)
+
+
+def chain(*results: Resolution) -> DataFrame:
+    """(id, status, stopped, reason, rules, reaches): left ids of the first call traced through each following one.
+
+    A call's right ids are the next one's left ids. traced: every step matched all that reached it; partly
+    traced: the step it stopped at matched some; open: none. ``reason``: of the first id left there. ``rules``: each
+    step's rules (several joined by a comma), steps joined by >. ``reaches``: the last call's right ids.
+    """
+    front = results[0].items.filter("side = 'left'").select(F.col("id").alias("start"), "id")
+    out = front.select("start")
+    for k, r in enumerate(results, 1):
+        why = r.reasons.filter("side = 'left'").select("id", F.col("rule").alias("why"))
+        own = r.items.filter("side = 'left'").select("id", F.lit(True).alias("known")).join(why, "id", "left")
+        edge = r.matches.select(F.explode("left_ids").alias("id"), "right_ids", "rule")
+        step = front.join(own, "id", "left").join(edge, "id", "left").withColumn("ok", F.col("rule").isNotNull())
+        reason = F.when(~F.col("ok"), F.when(F.col("known").isNull(), F.lit(f"not among call {k}'s left items")).otherwise(F.coalesce("why", F.lit("no candidate under any rule"))))
+        told = step.groupBy("start").agg(
+            F.bool_and("ok").alias(f"all{k}"), F.bool_or("ok").alias(f"any{k}"), F.min_by(reason, F.when(~F.col("ok"), F.col("id"))).alias(f"why{k}"),
+            F.array_join(F.array_sort(F.collect_set("rule")), ", ").alias(f"rules{k}"),
+        )
+        out = out.join(told, "start", "left")
+        front = step.filter("ok").select("start", F.explode("right_ids").alias("id")).distinct()
+    n = range(1, len(results) + 1)
+    stop = lambda value: F.coalesce(*(F.when(~F.coalesce(F.col(f"all{k}"), F.lit(False)), value(k)) for k in n))
+    reached = front.groupBy("start").agg(F.array_join(F.array_sort(F.collect_list("id")), ";").alias("reaches"))
+    status = F.when(stop(F.lit).isNull(), "traced").when(stop(lambda k: F.col(f"any{k}")), "partly traced").otherwise("open")
+    rules = F.concat_ws(" > ", *(F.when(F.col(f"rules{k}") != "", F.col(f"rules{k}")) for k in n))
+    return out.join(reached, "start", "left").select(F.col("start").alias("id"), status.alias("status"), stop(F.lit).alias("stopped"), stop(lambda k: F.col(f"why{k}")).alias("reason"), rules.alias("rules"), F.coalesce("reaches", F.lit("")).alias("reaches"))
 
 
 def check_assignment(rows: DataFrame, left: DataFrame, right: DataFrame, tolerance: int = 0) -> DataFrame:

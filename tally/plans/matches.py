@@ -110,8 +110,8 @@ for _name, _rule in {
     "match_reference_totals": Rule("reference totals", ("ref",), (0, 89), ("ref",), ("ref",)),
     "match_deposit_lines": Rule("deposit lines", (), (0, 3), (), ("batch",)),
     "match_days_items": Rule("day's items", (), (0, 3), ("entity", "day")),
-    "match_tolerance_fee": Rule("fee", ("entity",), (0, 3), percent=(-0.035, -0.015)),
-    "match_tolerance_no_key": Rule("cents", (), (0, 3), tolerance=(-50, 50)),
+    "match_tolerance_fee": Rule("fee", ("entity",), (0, 3), percent=(-0.035, -0.015), difference="fee"),
+    "match_tolerance_no_key": Rule("cents", (), (0, 3), tolerance=(-50, 50), difference="cents"),
     "match_quoted_text": Rule("quoted", (), (0, 89), quote=True),
     "match_reference_any_date": Rule("reference any date", ("ref",)),
     "match_entity_amount": Rule("entity", ("entity",), (0, 5)),
@@ -190,6 +190,46 @@ def match_status_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("share", F.round((F.col("n") / F.expr("sum(n) over (partition by side)")).cast("decimal(20,10)"), 6).cast("double"))
 
 
+def resolve_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reconciliation line by line; raises if it doesn't foot."""
+    return M.report(_resolution(spark, sf_dir)).summary
+
+
+def resolve_report_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule with its criteria, also those that matched nothing."""
+    return M.report(_resolution(spark, sf_dir)).by_rule
+
+
+def resolve_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.report(_resolution(spark, sf_dir)).exceptions.select("side", "id", "c", "in_transit", "reason", "candidates")
+
+
+QUERIES |= {f.__name__: f for f in (resolve_report, resolve_report_rules, resolve_exceptions)}
+ORACLES["resolve_report"] = (
+    f"{_RESOLVE}, v AS (SELECT concat(side, '_total') AS line, c FROM items UNION ALL SELECT CASE WHEN side = 'right' THEN 'right_unmatched' WHEN status = 'in transit' THEN 'left_in_transit' ELSE 'left_unmatched' END,"
+    " CASE WHEN side = 'left' THEN -c ELSE c END FROM items WHERE status <> 'matched' UNION ALL SELECT 'difference:', right_c - left_c FROM matches WHERE right_c <> left_c),"
+    " k AS (SELECT unnest(['left_total', 'left_in_transit', 'left_unmatched', 'right_unmatched', 'right_total']) AS line UNION SELECT line FROM v)"
+    " SELECT k.line, count(c) AS items, CAST(coalesce(sum(c), 0) AS BIGINT) AS amount, CAST(coalesce(sum(CASE WHEN c > 0 THEN c END), 0) AS BIGINT) AS plus, CAST(coalesce(sum(CASE WHEN c < 0 THEN c END), 0) AS BIGINT) AS minus"
+    " FROM k LEFT JOIN v ON v.line = k.line GROUP BY k.line"
+)
+_CRITERIA = {  # the default rules, as the survey states them
+    "reference": "ref; 0 to 89 days; equal amounts", "reference, totals": "ref; 0 to 89 days; left grouped by ref; right grouped by ref; equal amounts",
+    "quoted": "quoted reference; 0 to 89 days; equal amounts", "amount and date": "0 to 2 days; equal amounts",
+    "deposit lines": "0 to 2 days; right grouped by batch; equal amounts", "day's items": "0 to 2 days; left grouped by entity and day; equal amounts",
+    "day's items, deposit lines": "0 to 2 days; left grouped by entity and day; right grouped by batch; equal amounts",
+    "amount, wide": "0 to 89 days; equal amounts", "reference, any date": "ref; any date; equal amounts", "quoted, any date": "quoted reference; any date; equal amounts",
+}
+_NAMED = ", ".join(f"({i}, '{n.replace(chr(39), chr(39) * 2)}', '{c}')" for i, (n, c) in enumerate(_CRITERIA.items()))
+ORACLES["resolve_report_rules"] = (
+    f"{_RESOLVE} SELECT k.rule_no, k.rule, k.criteria, count(m.rule) AS matches, CAST(coalesce(sum(len(left_ids)), 0) AS BIGINT) AS left_items, CAST(coalesce(sum(len(right_ids)), 0) AS BIGINT) AS right_items,"
+    " CAST(coalesce(sum(left_c), 0) AS BIGINT) AS left_c, CAST(coalesce(sum(right_c), 0) AS BIGINT) AS right_c, CAST(coalesce(sum(right_c - left_c), 0) AS BIGINT) AS difference"
+    f" FROM (VALUES {_NAMED}) k(rule_no, rule, criteria) LEFT JOIN matches m ON m.rule_no = k.rule_no GROUP BY ALL"
+)
+ORACLES["resolve_exceptions"] = (
+    f"{_RESOLVE} SELECT i.side, i.id, i.c, i.status = 'in transit' AS in_transit, coalesce(r.rule, 'no candidate under any rule') AS reason, coalesce(r.n, 0) AS candidates"
+    " FROM items i LEFT JOIN reasons r ON r.side = i.side AND r.id = i.id WHERE i.status <> 'matched'"
+)
+
 for _f in (resolve_items, resolve_matches, resolve_summary, resolve_by_rule, ambiguity_reasons, resolve_exceptions_aging, match_status_partition):
     QUERIES[_f.__name__] = _f
 ORACLES["resolve_items"] = f"{_RESOLVE} SELECT side, id, c, rule, status, age FROM items"
@@ -227,9 +267,12 @@ ORACLES["chain_trace"] = (
     f"WITH {DUCK}, {step_sql(0, _R1[0], 'l', 'r')}, {step_sql(1, _R1[1], 'l1', 'r1')}, {step_sql(5, Rule('b', ('entity',), (-10, 0)), 'r', 'l')},"
     " e1 AS (SELECT left_ids[1] AS a, right_ids[1] AS b, 'reference' AS rule FROM m0 UNION ALL SELECT left_ids[1], right_ids[1], 'amount and date' FROM m1),"
     " e2 AS (SELECT left_ids[1] AS a, right_ids[1] AS b FROM m5)"
+    " , s1 AS (SELECT g_l AS id, 'reference' AS rule, 0 AS o FROM p0 UNION ALL SELECT g_l, 'amount and date', 1 FROM p1), w1 AS (SELECT id, arg_min(rule, o) AS why FROM s1 GROUP BY id),"
+    " w2 AS (SELECT DISTINCT g_l AS id, 'back by entity' AS why FROM p5)"
     " SELECT l.id, CASE WHEN e2.b IS NOT NULL THEN 'traced' ELSE 'open' END AS status, CASE WHEN e1.b IS NULL THEN 1 WHEN e2.b IS NULL THEN 2 END AS stopped,"
-    " coalesce(e2.b, '') AS reaches, CASE WHEN e2.b IS NOT NULL THEN concat(e1.rule, ' > back by entity') ELSE '' END AS rules"
-    " FROM l LEFT JOIN e1 ON e1.a = l.id LEFT JOIN e2 ON e2.a = e1.b"
+    " CASE WHEN e1.b IS NULL THEN coalesce(w1.why, 'no candidate under any rule') WHEN e2.b IS NULL THEN coalesce(w2.why, 'no candidate under any rule') END AS reason,"
+    " coalesce(e2.b, '') AS reaches, CASE WHEN e2.b IS NOT NULL THEN concat(e1.rule, ' > back by entity') ELSE coalesce(e1.rule, '') END AS rules"
+    " FROM l LEFT JOIN e1 ON e1.a = l.id LEFT JOIN e2 ON e2.a = e1.b LEFT JOIN w1 ON w1.id = l.id LEFT JOIN w2 ON w2.id = e1.b"
 )
 
 
@@ -293,3 +336,38 @@ f AS (SELECT a.*, c FROM a JOIN p ON p.side = a.side AND p.id = a.id),
 g AS (SELECT grp, coalesce(string_agg(CASE WHEN side = 'left' THEN id END, ';' ORDER BY id), '') AS lids, coalesce(string_agg(CASE WHEN side = 'right' THEN id END, ';' ORDER BY id), '') AS rids,
   CAST(sum(CASE WHEN side = 'left' THEN c ELSE -c END) AS BIGINT) AS diff FROM f WHERE grp IS NOT NULL GROUP BY grp)
 SELECT side, id, status, f.grp, c, CASE WHEN side = 'left' THEN rids ELSE lids END AS matched_to, diff FROM f LEFT JOIN g ON g.grp = f.grp"""
+
+
+# A clean assignment, and the streams that it was made for.
+_CLEAN = """
+SELECT 'left' AS side, concat('o', o_orderkey) AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'excluded' WHEN o_orderkey % 5 = 0 THEN 'unmatched' ELSE 'matched' END AS status,
+  CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey END AS grp,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'held' WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 31 = 0 THEN 'less fee' ELSE 'same' END AS pass,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'void' END AS reason FROM orders
+UNION ALL SELECT 'right', concat('p', o_orderkey), CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 5 = 0 THEN 'unmatched' ELSE 'matched' END,
+  CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey END,
+  CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 31 = 0 THEN 'less fee' ELSE 'same' END, NULL FROM orders
+"""
+
+
+def assignment_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a match that was made elsewhere."""
+    spark.read.parquet(f"{sf_dir}/orders.parquet").createOrReplaceTempView("orders")
+    cents = F.round(F.col("o_totalprice").cast("decimal(18,2)") * 100).cast("bigint")
+    orders = spark.table("orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("date"), cents.alias("c"))
+    one = lambda p, c: M.stream(orders.select(F.concat(F.lit(p), "o_orderkey").alias("id"), "date", (c / 100).cast("decimal(18,2)").alias("value")))
+    fee = F.when(F.col("o_orderkey") % 31 == 0, 250).otherwise(0)
+    r = M.from_assignment(spark.sql(_CLEAN), one("o", F.col("c")), one("p", F.col("c") - fee), [("same", ""), ("less fee", "fee"), ("held", "")], transit=5)
+    return M.report(r).summary
+
+
+QUERIES["assignment_resolution"] = assignment_resolution
+ORACLES["assignment_resolution"] = """
+WITH o AS (SELECT o_orderkey AS k, CAST(round(CAST(o_totalprice AS DECIMAL(18,2)) * 100) AS BIGINT) AS c, CAST(o_orderdate AS DATE) AS d, CASE WHEN o_orderkey % 31 = 0 THEN 250 ELSE 0 END AS fee, o_orderkey % 7 = 0 OR o_orderkey % 5 = 0 AS free FROM orders),
+e AS (SELECT max(d) AS d FROM o),
+v AS (SELECT 'left_total' AS line, c FROM o UNION ALL SELECT 'right_total', c - fee FROM o UNION ALL SELECT 'right_unmatched', c - fee FROM o WHERE free
+  UNION ALL SELECT CASE WHEN k % 7 <> 0 AND o.d + 5 > e.d THEN 'left_in_transit' ELSE 'left_unmatched' END, -c FROM o, e WHERE free
+  UNION ALL SELECT 'difference:fee', -fee FROM o WHERE NOT free AND fee <> 0),
+k AS (SELECT unnest(['left_total', 'left_in_transit', 'left_unmatched', 'right_unmatched', 'right_total']) AS line UNION SELECT line FROM v)
+SELECT k.line, count(c) AS items, CAST(coalesce(sum(c), 0) AS BIGINT) AS amount, CAST(coalesce(sum(CASE WHEN c > 0 THEN c END), 0) AS BIGINT) AS plus, CAST(coalesce(sum(CASE WHEN c < 0 THEN c END), 0) AS BIGINT) AS minus
+FROM k LEFT JOIN v ON v.line = k.line GROUP BY k.line"""
