@@ -24,7 +24,9 @@ def compact(value: Column, symbol: str = "$") -> Column:
     size = F.abs(x)
     out = F.format_number(F.round(size, 0), 0)
     for power, letter in ((3, "K"), (6, "M"), (9, "B")):
-        out = F.when(size >= 10**power, F.concat(F.format_number(F.round(size / 10**power, 1), 1), F.lit(letter))).otherwise(out)
+        # What would be shown as 1,000 of the smaller unit is 1 of this one.
+        shown = F.round(size / 10 ** (power - 3), 1 if power > 3 else 0) >= 1000
+        out = F.when(shown, F.concat(F.format_number(F.round(size / 10**power, 1), 1), F.lit(letter))).otherwise(out)
     return F.when(x < 0, F.concat(F.lit(f"({symbol}"), out, F.lit(")"))).otherwise(F.concat(F.lit(symbol), out))
 
 
@@ -40,18 +42,24 @@ def figure(value: Column, unit: Column) -> Column:
     )
 
 
+# Currency codes and signs that may stand before or behind an amount.
+CODES = "usd|eur|gbp|jpy|chf|cad|aud|krw|kwd|bhd"
+_SIGNS = "".join(SYMBOLS.values())
+_AMOUNT = rf"^(\()?\s*([-−])?\s*(?:(?:{CODES})\s*|us)?(?:[{_SIGNS}]\s*)?([-−])?\s*((?:[0-9]{{1,3}}(?:,[0-9]{{3}})+|[0-9]+)(?:\.[0-9]+)?|\.[0-9]+)\s*({'|'.join(sorted(SCALES, key=len, reverse=True))})?\s*(?:{CODES}|[{_SIGNS}])?\s*(\))?$"
+
+
 def parse_money(text: Column) -> Column:
-    """The value of text such as ``($1,204.50)``, ``EUR 3.2m`` or ``12 million``; null if it is none."""
+    """The value of text such as ``($1,204.50)``, ``EUR 3.2m`` or ``12 million``; null if the whole text isn't one."""
     t = F.lower(F.trim(text))
-    negative = t.rlike(r"^\(.*\)$") | t.rlike(r"^[-−]")
-    number = F.regexp_replace(F.regexp_extract(t, r"([0-9][0-9,]*(?:\.[0-9]+)?)", 1), ",", "")
-    scale = F.regexp_extract(t, r"[0-9]\s*(thousand|million|billion|mm|bn|k|m|b)\b", 1)
+    part = lambda i: F.regexp_extract(t, _AMOUNT, i)
+    ok = t.rlike(_AMOUNT) & ((part(1) == "") == (part(6) == ""))
     power = F.lit(0)
     for name, p in SCALES.items():
-        power = F.when(scale == name, p).otherwise(power)
-    value = F.expr("try_cast(null as decimal(38,6))")
-    value = F.when(number != "", number.cast("decimal(28,6)") * F.pow(F.lit(10), power).cast("decimal(10,0)")).otherwise(value)
-    return F.when(negative, -value).otherwise(value).cast("double")
+        power = F.when(part(5) == name, p).otherwise(power)
+    number = F.when(ok, F.regexp_replace(part(4), ",", "")).cast("decimal(28,6)")
+    value = number * F.pow(F.lit(10), power).cast("decimal(10,0)")
+    negative = (part(1) != "") | (part(2) != "") | (part(3) != "")
+    return F.when(ok, F.when(negative, -value).otherwise(value)).cast("double")
 
 
 def months_elapsed(start: Column, at: Column) -> Column:

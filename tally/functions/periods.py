@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -74,6 +74,42 @@ def by_period(df: DataFrame, day: str, periods: DataFrame) -> DataFrame:
     return df.join(F.broadcast(periods), F.col(day).between(F.col("start"), F.col("end")))
 
 
+def by_declared(df: DataFrame, day: str, years: DataFrame) -> DataFrame:
+    """Rows with the declared year (year, start, end) that they fall in; a day that no declared year covers is refused."""
+    both = df.join(F.broadcast(years.select("year", "start", "end")), F.col(day).between(F.col("start"), F.col("end")), "left")
+    if n := both.filter(F.col(day).isNotNull() & F.col("year").isNull()).count():
+        raise PeriodError(f"{n} rows have a {day} that no declared year covers")
+    return both
+
+
+def thirteen_periods(years: DataFrame) -> DataFrame:
+    """(year, period, start, end) of declared years: thirteen periods of four weeks, the last one to the year's end; short years have fewer."""
+    each = years.withColumn("period", F.explode(F.sequence(F.lit(1), F.lit(13))))
+    first = F.date_add("start", 28 * (F.col("period") - 1))
+    last = F.when(F.col("period") == 13, F.col("end")).otherwise(F.least(F.date_add("start", 28 * F.col("period") - 1), F.col("end")))
+    return each.select("year", "period", first.alias("start"), last.alias("end")).filter(F.col("start") <= F.col("end"))
+
+
+def overlaps(ranges: DataFrame) -> DataFrame:
+    """(key, start, end, former_end) of ranges (key, start, end) that begin before one of their key that began earlier has ended."""
+    w = Window.partitionBy("key").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    return ranges.select("key", "start", "end", F.max("end").over(w).alias("former_end")).filter(F.col("start") <= F.col("former_end"))
+
+
+def cutoff(day: Column, period_end: Column, before: int, after: int) -> Column:
+    """Where a day stands to a period's end: in the days before it, in those after it, or null outside the window."""
+    gap = F.date_diff(day, period_end)
+    return F.when(gap.between(-before, 0), "before").when(gap.between(1, after), "after")
+
+
+def flow_label(kind: str, start: Column, end: Column) -> Column:
+    """A heading by kind: a flow covers its period, a snapshot is as of its end."""
+    if kind not in ("flow", "snapshot"):
+        raise PeriodError(f"{kind}: flow or snapshot")
+    date_of = lambda d: F.date_format(d, "MMM d, yyyy")
+    return F.concat(F.lit("As of "), date_of(end)) if kind == "snapshot" else F.concat(date_of(start), F.lit(" to "), date_of(end))
+
+
 def fiscal_year(day: Column, year_end: int) -> Column:
     return F.year(day) + (F.month(day) > year_end).cast("int")
 

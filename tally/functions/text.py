@@ -19,11 +19,25 @@ def normal_quote(x: Column) -> Column:
 
 
 def shows_value(quote: Column, value: Column) -> Column:
-    """Whether a quote shows a value as a plain number, with grouping commas, or as a percentage."""
+    """Whether a quote shows a value as a plain number, with grouping commas, in thousands, millions or billions, or as a percentage."""
     text = F.concat(F.lit(" "), F.regexp_replace(normal_quote(quote), r"(?<=\d),(?=\d{3})", ""), F.lit(" "))
-    shown = lambda v: F.regexp_like(text, F.concat(F.lit(r"(^|[^\d.])"), F.regexp_replace(v, r"\.", r"\\\\."), F.lit(r"(?![\d]|\.\d)")))
+    shown = lambda v: F.regexp_like(text, F.concat(F.lit(r"(^|[^\d.])"), F.regexp_replace(v, r"\.", r"\\."), F.lit(r"(?![\d]|\.\d)")))
     percent = F.concat(plain_number(value.cast("decimal(28,10)") * 100), F.lit(" ?%"))
-    return shown(plain_number(value)) | shown(percent)
+    out = shown(plain_number(value)) | shown(percent)
+    for power, words in ((3, "k|thousand"), (6, "m|mm|million"), (9, "b|bn|billion")):
+        small = plain_number(value.cast("decimal(28,10)") / 10**power)
+        out = out | ((F.abs(value) >= 10**power) & shown(F.concat(small, F.lit(rf" ?({words})\b"))))
+    return out
+
+
+def shows_date(quote: Column, day: Column) -> Column:
+    """Whether a quote shows a date: 2025-01-31, January 31, 2025, 31 January 2025, Jan 31, 2025 or 1/31/2025."""
+    text = normal_quote(quote)
+    forms = ("yyyy-MM-dd", "MMMM d, yyyy", "d MMMM yyyy", "MMM d, yyyy", "M/d/yyyy")
+    found = F.lit(False)
+    for form in forms:
+        found = found | F.regexp_like(text, F.concat(F.lit(r"(^|[^0-9a-z/])"), F.lower(F.date_format(day, form)), F.lit(r"($|[^0-9a-z/])")))
+    return found
 
 
 def long_date(d: Column) -> Column:

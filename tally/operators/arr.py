@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cut import cut
@@ -19,30 +19,40 @@ def snapshot(contracts: DataFrame) -> DataFrame:
 
 
 def spread(contracts: DataFrame) -> DataFrame:
-    """(month, recognised): each contract's amount over its months, whole minor units."""
-    return _months(contracts).groupBy("month").agg(F.sum(F.expr("c div term")).alias("recognised"))
+    """(month, recognised): each contract's amount over its months in whole minor units; the last month has the rest."""
+    last = F.col("month") == F.add_months("start", F.col("term") - 1)
+    part = F.expr("c div term") + F.when(last, F.expr("c - (c div term) * term")).otherwise(0)
+    return _months(contracts).groupBy("month").agg(F.sum(part).alias("recognised"))
 
 
 def bridge(snap: DataFrame) -> DataFrame:
     """(month, movement, customers, change): opening plus changes is closing.
 
+    The first month measured is the opening base. After it, a customer without revenue the month before is reinstated
+    if it had some in the twelve months before, else new.
     Each customer month is stacked with itself moved on by a month, so gaps and ends show without a dense grid.
     """
-    now = snap.select("customer", "month", F.col("arr").alias("now"), F.lit(0).cast("bigint").alias("before"))
-    then = snap.select("customer", F.add_months("month", 1).alias("month"), F.lit(0).cast("bigint").alias("now"), F.col("arr").alias("before"))
-    m = now.unionByName(then).groupBy("customer", "month").agg(F.sum("now").alias("now"), F.sum("before").alias("before"))
-    m = m.join(snap.groupBy("customer").agg(F.min("month").alias("first")), "customer")
+    opening = snap.agg(F.min("month")).first()[0]
+    former = F.lag("month").over(Window.partitionBy("customer").orderBy("month"))
+    now = snap.select("customer", "month", F.col("arr").alias("now"), F.lit(0).cast("bigint").alias("before"), former.alias("former"))
+    then = snap.select("customer", F.add_months("month", 1).alias("month"), F.lit(0).cast("bigint").alias("now"), F.col("arr").alias("before"), F.lit(None).cast("date").alias("former"))
+    m = now.unionByName(then).groupBy("customer", "month").agg(F.sum("now").alias("now"), F.sum("before").alias("before"), F.max("former").alias("former"))
+    back = F.col("former") >= F.add_months("month", -12)
     move = (
-        F.when((F.col("before") == 0) & (F.col("month") == F.col("first")), "new").when(F.col("before") == 0, "reinstated").when(F.col("now") == 0, "churn")
+        F.when((F.col("before") == 0) & (F.col("month") == F.lit(opening)), "opening").when((F.col("before") == 0) & back, "reinstated").when(F.col("before") == 0, "new").when(F.col("now") == 0, "churn")
         .when(F.col("now") > F.col("before"), "expansion").when(F.col("now") < F.col("before"), "contraction").otherwise("unchanged")
     )
     return m.groupBy("month", move.alias("movement")).agg(F.count("*").alias("customers"), F.sum(F.col("now") - F.col("before")).alias("change"))
 
 
 def retention(snap: DataFrame) -> DataFrame:
-    """(cohort, opening, closing, kept, customers, retained) of each month's customers 12 months on; kept is capped a customer."""
+    """(cohort, opening, closing, kept, customers, retained) of each month's customers 12 months on; kept is capped a customer.
+
+    Cohorts that aren't twelve months old at the last month measured are withheld.
+    """
+    end = snap.agg(F.max("month")).first()[0]
     later = snap.select("customer", F.add_months("month", -12).alias("month"), F.col("arr").alias("then"))
-    both = snap.join(later, ["customer", "month"], "left").withColumn("closing", F.coalesce("then", F.lit(0)))
+    both = snap.filter(F.add_months("month", 12) <= F.lit(end)).join(later, ["customer", "month"], "left").withColumn("closing", F.coalesce("then", F.lit(0)))
     return both.groupBy(F.col("month").alias("cohort")).agg(
         F.sum("arr").alias("opening"), F.sum("closing").alias("closing"), F.sum(F.least("arr", "closing")).alias("kept"), F.count("*").alias("customers"), F.count("then").alias("retained")
     )

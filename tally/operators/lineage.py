@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import json
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,28 +48,35 @@ def closure(edges: DataFrame) -> DataFrame:
         n = now
 
 
+def _seq(x) -> list:
+    return [x.apply(i) for i in range(x.size())]
+
+
+def _parsed(spark: SparkSession, statement: str):
+    return spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)  # noqa: SLF001
+
+
 def reads(spark: SparkSession, statement: str) -> set[str]:
-    """Tables that a statement reads, from Catalyst's parsed plan; names of its own WITH are left out."""
-    plan = json.loads(spark._jsparkSession.sessionState().sqlParser().parsePlan(statement).toJSON())  # noqa: SLF001
+    """Tables that a statement reads, from Catalyst's parsed plan. A name of a WITH hides a table only where that WITH holds."""
     found: set[str] = set()
-    own: set[str] = set()
-
-    def walk(x) -> None:
-        if isinstance(x, dict):
-            name = str(x.get("class", "")).rpartition(".")[2]
-            if name == "UnresolvedRelation":
-                parts = x.get("multipartIdentifier")
-                found.add(parts.strip("[]").replace(", ", ".") if isinstance(parts, str) else ".".join(parts))
-            for v in x.values():
-                walk(v)
-        elif isinstance(x, list):
-            for v in x:
-                walk(v)
-
-    walk(plan)
-    for m in re.finditer(r"(?:\bwith\b(?:\s+recursive)?|,)\s*(\w+)\s*(?:\([^)]*\)\s*)?as\s*\(", statement, re.I):
-        own.add(m[1])
-    return {f for f in found if f not in own}
+
+    def walk(plan, hidden: frozenset[str]) -> None:
+        kind = plan.getClass().getSimpleName()
+        if kind == "UnresolvedRelation":
+            name = plan.multipartIdentifier().mkString(".")
+            if name.lower() not in hidden:
+                found.add(name)
+        if kind == "UnresolvedWith":
+            recursive = plan.allowRecursion()
+            for relation in _seq(plan.cteRelations()):
+                name = relation._1().lower()
+                walk(relation._2(), hidden | {name} if recursive else hidden)
+                hidden = hidden | {name}
+        for child in [*_seq(plan.children()), *_seq(plan.subqueries())]:
+            walk(child, hidden)
+
+    walk(_parsed(spark, statement), frozenset())
+    return found
 
 
 def statements(script: str) -> list[str]:
@@ -85,14 +92,42 @@ def statements(script: str) -> list[str]:
     return [s.strip() for s in out if s.strip()]
 
 
-def typed_literals(statement: str) -> list[str]:
-    """Numbers of a recorded statement that should be named constants: all but whole ones up to 12, 365, 366 and years."""
-    plain = re.sub(r"'(?:[^']|'')*'|--[^\n]*|/\*.*?\*/", " ", statement, flags=re.S)
-    found = []
-    for m in re.finditer(r"(?<![\w.])\d+(?:\.\d+)?(?![\w.])", plain):
-        if "." in m[0] or not (int(m[0]) <= 12 or int(m[0]) in (365, 366) or 1900 <= int(m[0]) <= 2100):
-            found.append(m[0])
-    return found
+def typed_literals(spark: SparkSession, statement: str, declared: frozenset[str] = frozenset()) -> list[str]:
+    """Values of a recorded statement that should be named constants, from the parsed plan.
+
+    Numbers: all but whole ones up to 12, 365, 366 and years from 1900 to 2100, however they are written. Dates: all
+    but ``declared`` ones and first days of a year.
+    """
+    found: list[str] = []
+
+    def value(x) -> None:
+        if x.getClass().getSimpleName() == "Literal":
+            kind, text = x.dataType().simpleString(), x.toString()
+            if kind == "date":
+                if text not in declared and not text.endswith("-01-01"):
+                    found.append(text)
+            elif kind in ("tinyint", "smallint", "int", "bigint"):
+                n = abs(int(text))
+                if not (n <= 12 or n in (365, 366) or 1900 <= n <= 2100):
+                    found.append(text)
+            elif kind in ("float", "double") or kind.startswith(("decimal", "timestamp", "interval")):
+                found.append(text)
+        for child in _seq(x.children()):
+            value(child)
+
+    def walk(plan) -> None:
+        for x in _seq(plan.expressions()):
+            value(x)
+        if plan.getClass().getSimpleName() == "UnresolvedWith":
+            for relation in _seq(plan.cteRelations()):
+                walk(relation._2())
+        for child in [*_seq(plan.children()), *_seq(plan.subqueries())]:
+            walk(child)
+
+    walk(_parsed(spark, statement))
+    # 0x10 is read as 0 with a name behind it.
+    plain = re.sub(r"'(?:[^']|'')*'", "''", statement)
+    return found + re.findall(r"(?<![\w.])0[xX][0-9A-Fa-f]+", plain)
 
 
 def check_statement(spark: SparkSession, statement: str, known: set[str]) -> set[str]:
@@ -101,8 +136,8 @@ def check_statement(spark: SparkSession, statement: str, known: set[str]) -> set
     if not kind:
         raise StatementError("only SELECT, CREATE TABLE .. AS SELECT and COMMENT ON can be recorded")
     body = re.sub(r"^\s*create\s+(?:or\s+replace\s+)?table\s+\w+\.\w+\s+as\s+", "", statement, flags=re.I)
-    if typed := typed_literals(body):
-        raise StatementError(f"typed numbers: {', '.join(typed)}")
+    if typed := typed_literals(spark, body):
+        raise StatementError(f"typed values: {', '.join(typed)}")
     found = reads(spark, body)
     if unknown := found - known:
         raise StatementError(f"unknown tables: {', '.join(sorted(unknown))}")
@@ -115,10 +150,14 @@ def emptying(spark: SparkSession, tables: dict[str, DataFrame], steps: dict[str,
     Each probe replays the chain over views of a session of its own.
     """
 
+    shared = {name: f"tally_{uuid.uuid4().hex}" for name in tables}
+    for name, df in tables.items():
+        df.createOrReplaceGlobalTempView(shared[name])  # the table as it is, filters and all
+
     def value(empty: str | None) -> float | None:
         probe = spark.newSession()
-        for name, df in tables.items():
-            rows = probe.read.schema(df.schema).parquet(*df.inputFiles())
+        for name in tables:
+            rows = probe.table(f"global_temp.{shared[name]}")
             (rows.limit(0) if name == empty else rows).createOrReplaceTempView(name)
         for name, sql in steps.items():
             step = probe.sql(sql)
@@ -131,4 +170,6 @@ def emptying(spark: SparkSession, tables: dict[str, DataFrame], steps: dict[str,
         used |= more
     whole = value(None)
     rows = [(n, "not tested" if n not in used else "affects" if value(n) != whole else "no effect") for n in [*tables, *steps]]
+    for view in shared.values():
+        spark.catalog.dropGlobalTempView(view)
     return spark.createDataFrame(rows, "node string, effect string")

@@ -529,9 +529,10 @@ def arr_month_snapshot(spark, sf_dir):
 
 @query(
     f"WITH {_SNAP}, k AS (SELECT customer, month, arr AS now, 0 AS before FROM s UNION ALL SELECT customer, CAST(month + INTERVAL 1 MONTH AS DATE), 0, arr FROM s), m AS (SELECT customer, month, CAST(sum(now) AS BIGINT) AS now, CAST(sum(before) AS BIGINT) AS before FROM k GROUP BY 1, 2),"
-    " f AS (SELECT customer, min(month) AS first FROM s GROUP BY 1)"
-    " SELECT month, CASE WHEN before = 0 AND month = first THEN 'new' WHEN before = 0 THEN 'reinstated' WHEN now = 0 THEN 'churn' WHEN now > before THEN 'expansion' WHEN now < before THEN 'contraction' ELSE 'unchanged' END AS movement,"
-    " count(*) AS customers, CAST(sum(now - before) AS BIGINT) AS change FROM m JOIN f USING (customer) GROUP BY 1, 2"
+    " o AS (SELECT min(month) AS month FROM s)"
+    " SELECT m.month, CASE WHEN before = 0 AND m.month = o.month THEN 'opening' WHEN before = 0 AND EXISTS (SELECT 1 FROM s WHERE s.customer = m.customer AND s.month < m.month AND s.month >= m.month - INTERVAL 12 MONTH) THEN 'reinstated'"
+    " WHEN before = 0 THEN 'new' WHEN now = 0 THEN 'churn' WHEN now > before THEN 'expansion' WHEN now < before THEN 'contraction' ELSE 'unchanged' END AS movement,"
+    " count(*) AS customers, CAST(sum(now - before) AS BIGINT) AS change FROM m, o GROUP BY 1, 2"
 )
 def arr_bridge(spark, sf_dir):
     return arr.bridge(arr.snapshot(contracts(spark, sf_dir)))
@@ -539,7 +540,7 @@ def arr_bridge(spark, sf_dir):
 
 @query(
     f"WITH {_SNAP} SELECT a.month AS cohort, CAST(sum(a.arr) AS BIGINT) AS opening, CAST(sum(coalesce(b.arr, 0)) AS BIGINT) AS closing, CAST(sum(least(a.arr, coalesce(b.arr, 0))) AS BIGINT) AS kept, count(*) AS customers, count(b.arr) AS retained"
-    " FROM s a LEFT JOIN s b ON b.customer = a.customer AND b.month = a.month + INTERVAL 12 MONTH GROUP BY 1"
+    " FROM s a LEFT JOIN s b ON b.customer = a.customer AND b.month = a.month + INTERVAL 12 MONTH WHERE a.month + INTERVAL 12 MONTH <= (SELECT max(month) FROM s) GROUP BY 1"
 )
 def arr_retention(spark, sf_dir):
     return arr.retention(arr.snapshot(contracts(spark, sf_dir)))
@@ -568,7 +569,7 @@ def customer_root_parent(spark, sf_dir):
 
 
 @query(
-    f"WITH c AS ({_C}), x AS (SELECT CAST(unnest(generate_series(start, CAST(start + (term - 1) * INTERVAL 1 MONTH AS DATE), INTERVAL 1 MONTH)) AS DATE) AS month, c // term AS v FROM c) SELECT month, CAST(sum(v) AS BIGINT) AS recognised FROM x GROUP BY 1"
+    f"WITH c AS ({_C}), x AS (SELECT CAST(unnest(generate_series(start, CAST(start + (term - 1) * INTERVAL 1 MONTH AS DATE), INTERVAL 1 MONTH)) AS DATE) AS month, k, c, term, c // term AS v FROM c), y AS (SELECT month, v + CASE WHEN month = max(month) OVER (PARTITION BY k) THEN c - v * term ELSE 0 END AS v FROM x) SELECT month, CAST(sum(v) AS BIGINT) AS recognised FROM y GROUP BY 1"
 )
 def billed_spread(spark, sf_dir):
     return arr.spread(contracts(spark, sf_dir))

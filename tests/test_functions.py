@@ -66,7 +66,7 @@ def test_lineage(spark):
     assert {(r.node, r.depth) for r in lineage.lineage(edges, "a").collect()} == {("a", 0), ("b", 1), ("c", 2)}
     assert lineage.reads(spark, "WITH x AS (SELECT * FROM room.inv) SELECT * FROM x JOIN t1.billed USING (id)") == {"room.inv", "t1.billed"}
     assert lineage.statements("SELECT ';' -- a;b\n; SELECT 2") == ["SELECT ';' -- a;b", "SELECT 2"]
-    assert lineage.typed_literals("SELECT v * 0.15 FROM t WHERE y = 2025 AND n > 13") == ["0.15", "13"]
+    assert lineage.typed_literals(spark, "SELECT v * 0.15 FROM t WHERE y = 2025 AND n > 13") == ["0.15", "13"]
     with pytest.raises(lineage.StatementError):
         lineage.check_statement(spark, "DROP TABLE t", {"t"})
 
