@@ -240,8 +240,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     values = one_each.select("sig", "sketch").mapInArrow(_values, "sig binary, v long")
     held = written(values.groupBy("v").count().filter(f"count > {RARE}"), "held")
-    every = one_each.agg(F.coalesce(F.sum(F.octet_length("sketch")), F.lit(0)).alias("n")).first().n // 8
-    common = joined(values, held, "v", "count", every).groupBy("sig").agg(F.collect_list("v").alias("common"))  # SKETCH at most
+    common = values.join(held.select("v"), "v", "left_semi").groupBy("sig").agg(F.collect_list("v").alias("common"))  # SKETCH at most
     known = one_each.join(common, "sig", "left").select("node", "n", "sketch", "common")
     lists = written(known.mapInArrow(_postings(least), "v long, node long, n long, crowded boolean, usual int"), "lists")
 
@@ -264,8 +263,8 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     linked = F.expr(f"100 * inter >= {percent} * both")
     links = written(_compared(candidates, texts, size).filter(linked).select("a", "b"), "links")
     if not crowd.isEmpty():
-        hubs = crowd.groupBy("v").agg(F.max_by("node", F.struct("usual", F.xxhash64("node"))).alias("hub"), F.count(F.lit(1)).alias("size"))
-        at_hub = joined(crowd, hubs, "v", "size", crowd.count()).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+        hubs = crowd.groupBy("v").agg(F.max_by("node", F.struct("usual", F.xxhash64("node"))).alias("hub"))
+        at_hub = crowd.join(hubs, "v").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
         at_hub = written(at_hub, "members")
         apart = _with_hubs(at_hub, texts).mapInArrow(_at_hub(size, percent), "node long, hub long, n long, linked boolean, set binary")
         apart = written(apart, "apart")
