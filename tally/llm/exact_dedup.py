@@ -1,7 +1,8 @@
 """Exact dedup: group by a 128-bit content hash, compare bytes inside groups, keep one id.
 
 Rows are grouped by the MD5 of the text without moving texts. Only texts whose hash occurs more
-than once are then compared: they are grouped by hash and text, which compares bytes and combines
+than once are then compared, which a broadcast bitmap of such hashes tells from most others before
+anything is joined: they are grouped by hash and text, which compares bytes and combines
 equal texts on the map side, so a large group moves one text a task. Texts that differ in spite of
 equal hashes (collisions) are grouped by the text itself. A group may be any share of the rows:
 hashes of many rows are broadcast instead of joined by key (``common.joined``).
@@ -15,10 +16,23 @@ from pyspark.sql import functions as F
 from .common import joined, written
 
 
+#: Bits of the bitmap of hashes that occur more than once: 2 MB at any size of the corpus.
+BITS = 1 << 24
+
+
 def _digest(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
+def _maybe(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose key isn't one of ``keys``: a bitmap of BITS bits, in pieces of 4 kB, is broadcast."""
+    bit = F.pmod(F.xxhash64("key"), F.lit(BITS)).alias("bit")
+    maps = keys.select(bit).groupBy(F.bitmap_bucket_number("bit").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
+    there = F.expr("shiftright(cast(conv(hex(substring(map, cast(at div 8 as int) + 1, 1)), 16, 10) as int), cast(at % 8 as int)) & 1") == 1
+    marked = rows.withColumn("bit", bit).withColumn("piece", F.bitmap_bucket_number("bit")).withColumn("at", F.bitmap_bit_position("bit"))
+    return marked.join(F.broadcast(maps), (marked["piece"] == maps["piece"]) & there, "left_semi").select(rows.columns)
+
+
 def exact_groups(docs: DataFrame, keep: str = "largest", digest=_digest) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), a row for each row of ``docs`` (doc_id, text).
 
@@ -37,14 +51,14 @@ def exact_groups(docs: DataFrame, keep: str = "largest", digest=_digest) -> Data
 
     total = digests.count()
     several = groups.filter("group_size > 1").select("key", "group_size")
-    texts = joined(rows, several, "key", "group_size", total).groupBy("key", "text").agg(F.count(F.lit(1)).alias("n"))
+    texts = joined(_maybe(rows, several), several, "key", "group_size", total).groupBy("key", "text").agg(F.count(F.lit(1)).alias("n"))
     collided = written(texts.groupBy("key").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("key"), "collided")
 
     if collided.isEmpty():
         out = joined(digests, groups, "key", "group_size", total)
     else:
         plain = joined(digests.join(collided, "key", "left_anti"), groups, "key", "group_size", total)
-        clash = rows.join(collided, "key", "left_semi")
+        clash = _maybe(rows, collided).join(collided, "key", "left_semi")
         each = clash.groupBy("key", "text").agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         clash = clash.join(each, ["key", "text"]).withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256))
         out = plain.unionByName(clash.select(plain.columns))
