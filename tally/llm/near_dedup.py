@@ -7,7 +7,8 @@ Jaccard similarity is at least the threshold; groups are the connected component
 Texts with equal sets are one *representative* from the start. Candidates come from
 inverted lists of retained values:
 
-* A value held by at most ``RARE`` representatives is rare, at any size of the corpus; others are common (each text's are joined to it). A text lists itself
+* A value held by at most ``RARE`` representatives is rare, at any size of the corpus; others are common. They are told by blocks of sets: a value goes to the join once a block, however many
+  of its texts hold it, and a block's common values come back as one list. A text lists itself
   under its smallest values; if one of these is common, under so many of its rare
   values that any partner must meet it (prefix filter on the sketch, non-rare
   values last). Such lists are short by definition, so their pairs are few.
@@ -42,6 +43,8 @@ SKETCH = 64
 PREFIX = 10
 SHARED = 36
 RARE = 64
+#: Sets of a block, whose common values are told together.
+TOLD = 1024
 #: Members of a hub that meet one copy of its text.
 HUB_ROWS = 256
 #: Bytes of a block of sets of crowded texts.
@@ -64,40 +67,68 @@ def _sketches(size: int):
     return run
 
 
+def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds a set's block: up to TOLD sets that a task has one after the other, named by the first one's sig."""
+    block, room = None, 0
+    for batch in batches:
+        of = []
+        for sig in batch.column("sig").to_pylist():
+            if not room:
+                block, room = sig, TOLD
+            of.append(block)
+            room -= 1
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(of, pa.binary())], [*batch.schema.names, "block"])
+
+
 def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sig, v): every retained value, once a representative."""
+    """(block, v, held): the values that a block's representatives retain, once each, and how many retain it."""
+    block, parts = None, []
+
+    def told() -> pa.RecordBatch:
+        v, held = np.unique(np.frombuffer(b"".join(parts), np.int64), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array([block] * len(v), pa.binary()), pa.array(v), pa.array(held, pa.int64())], ["block", "v", "held"])
+
     for batch in batches:
-        sketches = batch.column("sketch").to_pylist()
-        values = pa.array(np.frombuffer(b"".join(sketches), np.int64))
-        of = np.repeat(np.arange(len(sketches)), [len(x) >> 3 for x in sketches])
-        yield pa.RecordBatch.from_arrays([batch.column("sig").take(pa.array(of)), values], ["sig", "v"])
+        for of, sketch in zip(batch.column("block").to_pylist(), batch.column("sketch").to_pylist(), strict=True):
+            if of != block:
+                if parts:
+                    yield told()
+                block, parts = of, []
+            parts.append(sketch)
+    if parts:
+        yield told()
 
 
 def _postings(least: float):
-    """(v, node, n, crowded, usual): the lists a representative (node, n, sketch, common values) goes to; crowded ones go to PREFIX lists more."""
+    """(v, node, n, crowded, usual): the lists that a block's representatives (node, n, sketch) go to; crowded ones go to PREFIX lists more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v, node, size, full, usual = [], [], [], [], []
-            for i, n, sketch, common in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "sketch", "common")), strict=True):
-                kept = np.frombuffer(sketch, np.uint64)
-                hot = np.isin(kept.view(np.int64), common) if common else np.zeros(len(kept), bool)
-                first = min(PREFIX, n - int(np.ceil(least * n - 1e-9)) + 1)
-                if not hot[:first].any():
-                    parts = [(kept[:first], False)]
-                else:
-                    shared = min(int(np.ceil(least * n - 1e-9)), _shared(least)) if n < SKETCH else _shared(least)
-                    parts = [(kept[~hot][: len(kept) - shared + 1], False)]
-                    if hot.sum() >= shared:
-                        parts.append((kept[:first], True))
-                for values, crowded in parts:
-                    v.append(values)
-                    node += [i] * len(values)
-                    size += [n] * len(values)
-                    full += [crowded] * len(values)
-                    usual += [int(hot.sum())] * len(values)
-            flat = np.concatenate(v).view(np.int64) if v else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(full, pa.bool_()), pa.array(usual, pa.int32())], ["v", "node", "n", "crowded", "usual"])
+            for sets, common in zip(batch.column("sets"), batch.column("common").to_pylist(), strict=True):
+                yield block(sets.values, common or [])
+
+    def block(sets: pa.StructArray, common: list[int]) -> pa.RecordBatch:
+        sketches = [np.frombuffer(x, np.uint64) for x in sets.field("sketch").to_pylist()]
+        any_hot = np.isin(np.concatenate(sketches).view(np.int64), np.array(common, np.int64))
+        hots = np.split(any_hot, np.cumsum([len(x) for x in sketches])[:-1])
+        v, node, size, full, usual = [], [], [], [], []
+        for i, n, kept, hot in zip(sets.field("node").to_pylist(), sets.field("n").to_pylist(), sketches, hots, strict=True):
+            first = min(PREFIX, n - int(np.ceil(least * n - 1e-9)) + 1)
+            if not hot[:first].any():
+                parts = [(kept[:first], False)]
+            else:
+                shared = min(int(np.ceil(least * n - 1e-9)), _shared(least)) if n < SKETCH else _shared(least)
+                parts = [(kept[~hot][: len(kept) - shared + 1], False)]
+                if hot.sum() >= shared:
+                    parts.append((kept[:first], True))
+            for values, crowded in parts:
+                v.append(values)
+                node += [i] * len(values)
+                size += [n] * len(values)
+                full += [crowded] * len(values)
+                usual += [int(hot.sum())] * len(values)
+        flat = np.concatenate(v).view(np.int64) if v else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(flat), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(full, pa.bool_()), pa.array(usual, pa.int32())], ["v", "node", "n", "crowded", "usual"])
 
     return run
 
@@ -235,13 +266,14 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text"))
     rows = written(docs.mapInArrow(_sketches(size), "doc_id long, n long, sig binary, sketch binary"), "sketches")
     sets = rows.filter("doc_id is not null and n > 0")
-    one_each = written(sets.groupBy("sig").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies")), "sets")
+    sets_of = sets.groupBy("sig").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
+    one_each = written(sets_of.mapInArrow(_blocked, "sig binary, node long, n long, sketch binary, copies long, block binary"), "sets")
     reps = one_each.select("node", "n", "sketch")
 
-    values = one_each.select("sig", "sketch").mapInArrow(_values, "sig binary, v long")
-    held = written(values.groupBy("v").count().filter(f"count > {RARE}"), "held")
-    common = values.join(held.select("v"), "v", "left_semi").groupBy("sig").agg(F.collect_list("v").alias("common"))  # SKETCH at most
-    known = one_each.join(common, "sig", "left").select("node", "n", "sketch", "common")
+    values = one_each.select("block", "sketch").mapInArrow(_values, "block binary, v long, held long")
+    held = written(values.groupBy("v").agg(F.sum("held").alias("held")).filter(f"held > {RARE}").select("v"), "held")
+    common = values.join(held, "v", "left_semi").groupBy("block").agg(F.collect_list("v").alias("common"))  # TOLD * SKETCH at most
+    known = one_each.groupBy("block").agg(F.collect_list(F.struct("node", "n", "sketch")).alias("sets")).join(common, "block", "left").select("sets", "common")
     lists = written(known.mapInArrow(_postings(least), "v long, node long, n long, crowded boolean, usual int"), "lists")
 
     sized = F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")

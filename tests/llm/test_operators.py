@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tally.llm import exact_dedup, language, licenses, near_dedup, packing, pieces, pii, scoring, tokens, top_k, toxicity
+from tally.llm import components, exact_dedup, language, licenses, near_dedup, packing, pieces, pii, scoring, tokens, top_k, toxicity
 from tally.llm import words as W
 from tally.llm.queries import byte_bpe_path, piece_model_path
 
@@ -99,6 +99,34 @@ def test_crowded_near_copies(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(group))
 
 
+def test_common_values_are_joined_by_block(spark, monkeypatch):
+    """A value that many near copies hold goes to the join once a block, not once a copy, and so do common ones leave it."""
+    monkeypatch.setattr(near_dedup, "RARE", 8)
+    written, found = near_dedup.written, {}
+    monkeypatch.setattr(near_dedup, "written", lambda df, name: found.setdefault(name, written(df, name)))
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*base[:k], f"other{k}", *base[k + 1 :]]) for k in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert {r.component_id for r in near_dedup.near_groups(docs, 4, 80).collect()} == {0}
+    sets, held = found["sets"], found["held"]
+    values = sets.mapInArrow(near_dedup._values, "block binary, v long, held long")
+    common, blocks = values.join(held, "v", "left_semi").count(), sets.rdd.getNumPartitions()
+    assert sets.count() == 200 and common <= blocks * held.count() and common < 200 * near_dedup.SKETCH / 8
+
+
+def test_components_end_at_a_star_forest(spark, monkeypatch):
+    """Links that are stars already take no step; a chain takes few and is one component."""
+    steps = []
+    small = components._small_star
+    monkeypatch.setattr(components, "_small_star", lambda edges: steps.append(1) or small(edges))
+    stars = spark.createDataFrame([(1, 9), (9, 1), (5, 1), (7, 7), (2, 3)], "a long, b long")
+    assert {tuple(r) for r in components.components(stars).collect()} == {(1, 1), (9, 1), (5, 1), (2, 2), (3, 2)} and not steps
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 50), (100, 60)], "a long, b long")
+    got = {r.node: r.component for r in components.components(chain).collect()}
+    assert got == {**dict.fromkeys(range(41), 0), 50: 50, 60: 50, 100: 50} and 1 <= len(steps) <= 10
+    assert components.components(stars.limit(0)).count() == 0
+
+
 def test_pii(spark, docs, empty):
     values = ["4845168114407329", "4845168114407328", "10.2.3.4", "300.2.3.4", "2024-02-29", "2023-02-30", "123-45-6789", "+1 (017) 555-7713", "ann@host.org", "DE89 3704 0044 0532 0130 00"]
     rows = spark.createDataFrame([(i, f"a {v}, b {v}!") for i, v in enumerate(values)], "doc_id long, text string")
