@@ -34,7 +34,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, short_batches, written
+from .common import lean, remainder, short_batches, written
 
 #: Frequent words that contexts know, of so many bytes at most; classes: none of them yet, each, and that a piece of a long word came before.
 FREQUENT, SHORT = 16, 4
@@ -80,9 +80,9 @@ def tokens(text: str) -> list[bytes]:
     return text.encode().translate(_LOWER).split()
 
 
-def chunks(text: str | None) -> Iterator[bytes]:
+def chunks(text: bytes | None) -> Iterator[bytes]:
     """A text's bytes, lower-cased, in pieces of about CHUNK that end where words do."""
-    data = (text or "").encode().translate(_LOWER)
+    data = (text or b"").translate(_LOWER)
     first = 0
     while len(data) - first > CHUNK:
         last = first + CHUNK
@@ -93,6 +93,11 @@ def chunks(text: str | None) -> Iterator[bytes]:
     yield data[first:]
 
 
+def texts_of(column: pa.Array) -> Iterator[bytes | None]:
+    """The column's texts as bytes, one at a time."""
+    return (x.as_py() for x in column.cast(pa.large_binary()))
+
+
 def split_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
     """All words of texts that are lower-cased already, and how many each has."""
     lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
@@ -127,18 +132,24 @@ class Tokens:
     """The tokens of a lot of texts, as numbers of their own vocabulary, with the frequent word before each.
 
     Keys: words; a space and a piece of a long word; 0xFF and the digest of a long word (no word begins with these); the end.
+    The known keys' numbers come first; ``known`` is many tasks' and large, so it is neither changed nor copied.
     """
 
     def __init__(self, frequent: dict[bytes, int], known: dict[bytes, int] | None = None):
         self.frequent, self.known = frequent, known or {}
+        self.known_ranks = self._ranks(self.known)
         self.clear()
 
+    def _ranks(self, keys: Iterable[bytes]) -> np.ndarray:
+        return np.fromiter((self.frequent.get(k, 0) for k in keys), np.int32)
+
     def clear(self) -> None:
-        self.place: dict[bytes, int] = dict(self.known)
-        self.ranks: list[int] = []
+        self.place: dict[bytes, int] = {}
+        self.ranks = self.known_ranks
 
     def number(self, key: bytes) -> int:
-        return self.place.setdefault(key, len(self.place))
+        found = self.known.get(key)
+        return self.place.setdefault(key, len(self.known) + len(self.place)) if found is None else found
 
     def pieces(self, word: bytes) -> list[int]:
         """Numbers of a long word's pieces and of its digest."""
@@ -150,11 +161,10 @@ class Tokens:
         """(word, class, row) of all tokens of (row, bytes, whether the text ends here), and the class after them."""
         words, sizes = split_words([data for _, data, _ in pieces])
         encoded = words.dictionary_encode()
-        spelled = encoded.dictionary.to_pylist()
-        place = self.place
-        numbers = np.array([place.setdefault(w, len(place)) if len(w) < PIECE else -1 for w in spelled], np.int64)
+        number = self.number
+        numbers = np.fromiter((number(w) if len(w) < PIECE else -1 for w in encoded.dictionary.to_pylist()), np.int32)
         word = numbers[encoded.indices.to_numpy()]
-        row = np.repeat(np.arange(len(pieces)), sizes)
+        row = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
         continued = long = np.zeros(0, np.int64)
         at = np.flatnonzero(word < 0)
         if len(at):
@@ -171,15 +181,21 @@ class Tokens:
         put = np.searchsorted(row, ending, "right")
         word, row = np.insert(word, put, self.number(END)), np.insert(row, put, ending)
         continued, long = (x + np.searchsorted(put, x, "right") for x in (continued, long))
-        row = np.array([r for r, _, _ in pieces], np.int64)[row]
+        of = np.array([r for r, _, _ in pieces], np.int64)
         if not len(word):
-            return word, word, row, before
-        at = np.arange(len(word))
-        start = np.maximum.accumulate(np.where(np.r_[True, row[1:] != row[:-1]], at, 0))
-        self.ranks += [self.frequent.get(k, 0) for k in islice(place, len(self.ranks), None)]
-        rank = np.array(self.ranks, np.int64)[word]
-        last = np.r_[-1, np.maximum.accumulate(np.where(rank > 0, at, -1))[:-1]]
-        kind = np.where(last >= start, rank[np.maximum(last, 0)], 0)
+            return word, word, of[row], before
+        new = self._ranks(islice(self.place, len(self.ranks) - len(self.known), None))
+        if len(new):
+            self.ranks = np.concatenate([self.ranks, new])
+        del words, encoded, numbers
+        at, none = np.arange(len(word), dtype=np.int32), np.int32(0)  # of four bytes, as all that is a number a token
+        row = of[row]
+        start = np.maximum.accumulate(np.where(np.r_[True, row[1:] != row[:-1]], at, none))
+        rank = self.ranks[word]
+        last = np.empty_like(at)
+        last[0] = -1
+        np.maximum.accumulate(np.where(rank > 0, at, np.int32(-1))[:-1], out=last[1:])
+        kind = np.where(last >= start, rank[np.maximum(last, 0)], none)
         if before >= 0:  # the first row goes on from the lot before
             kind[(start == 0) & (last < 0)] = before
         after = int(rank[-1] or kind[-1])
@@ -193,7 +209,7 @@ def _lots(batches: Iterator[pa.RecordBatch], tokens_: Tokens, number: int) -> It
     others: dict[int, tuple] = {}
     size, before, row = 0, -1, number
     for batch in batches:
-        for text, *other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for text, *other in zip(texts_of(batch.column(0)), *(c.to_pylist() for c in batch.columns[1:]), strict=True):
             row += 1
             parts = chunks(text)
             part = next(parts)
@@ -221,7 +237,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
     for batch in batches:
-        words, _ = split_words([part for text in batch.column(0).to_pylist() for part in chunks(text)])
+        words, _ = split_words([part for text in texts_of(batch.column(0)) for part in chunks(text)])
         few = words.filter(pc.less_equal(pc.binary_length(words), SHORT)).value_counts()
         counts.update(dict(zip(few.field("values").to_pylist(), few.field("counts").to_pylist(), strict=True)))
         if len(counts) > COUNTED:
@@ -235,32 +251,32 @@ def _pairs(frequent: dict[bytes, int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Tokens(frequent)
-        keys: list[np.ndarray] = []
-        learned: list[np.ndarray] = []
+        held: list[np.ndarray] = []  # of each token, its pair's number and, in the lowest bit, whether it is learned from
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if not keys:
+            if not held:
                 return
-            key, learn = np.concatenate(keys), np.concatenate(learned)
-            every = np.bincount(key, minlength=len(found.place) * KINDS) > 0
-            at = np.flatnonzero(every)
-            n = np.bincount(key[learn], minlength=len(every))[at]
-            words = pa.array([spell(k) for k in found.place], pa.binary())
+            key = np.concatenate(held)
+            held.clear()
+            key.sort()  # a table of all pairs that there could be would be many times as large
+            starts = np.flatnonzero(np.r_[True, (key[1:] ^ key[:-1]) > 1])
+            at = key[starts] >> 1
+            key &= 1
+            n = np.add.reduceat(key, starts, dtype=np.int64)
+            del key
+            words = pa.array((spell(k) for k in found.place), pa.binary())
             for i in range(0, len(at), 1 << 16):
                 some = at[i : i + (1 << 16)]
                 columns = [words.take(pa.array(some // KINDS)), pa.array((some % KINDS).astype(np.int32)), pa.array(n[i : i + (1 << 16)])]
                 yield pa.RecordBatch.from_arrays(columns, ["spelled", "kind", "n"])
-            keys.clear()
-            learned.clear()
             found.clear()
 
         for others, word, kind, row in _lots(batches, found, -1):
             if len(word):
                 first = int(row[0])
                 learn = np.array([others.get(r, (False,))[0] for r in range(first, int(row[-1]) + 1)], bool)
-                keys.append(word * KINDS + kind)
-                learned.append(learn[row - first])
-            if len(found.place) > COUNTED or sum(map(len, keys)) > HELD:
+                held.append((word * KINDS + kind) * 2 + learn[row - first])
+            if len(found.place) > COUNTED or sum(map(len, held)) > HELD:
                 yield from flush()
         yield from flush()
 
@@ -517,37 +533,34 @@ def _documents(frequent: dict[bytes, int], head):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, first_facts, scores_ = head.value  # the head's words are the first of all keys
         found = Tokens(frequent, place)
-        names_of, facts = [spell(k) for k in place], first_facts
         for others, word, kind, row in _lots(batches, found, TaskContext.get().partitionId() << 33):
-            new = [spell(k) for k in islice(found.place, len(names_of), None)]
-            if new:
-                facts = np.concatenate([facts, key_facts(new, np.full(len(new), -1))])
-                names_of += new
+            new = [spell(k) for k in found.place]
+            facts = np.concatenate([first_facts, key_facts(new, np.full(len(new), -1))])
+            found.clear()  # words that aren't the head's are rare, so few come again
             first = min(others)
             r, many = row - first, max(others) - first + 1
             sums, score = np.zeros((many, 4)), np.zeros(many)
             if len(word):
-                each = facts[word]
                 part = kind == CONTINUED
-                if part.any():  # the last piece of a long word is no token
-                    each[part, :3] = 0
                 starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-                sums[r[starts]] = np.add.reduceat(each, starts)
+                for i in range(4):
+                    each = facts[word, i]
+                    if i < 3:  # the last piece of a long word is no token
+                        each[part] = 0
+                    sums[r[starts], i] = np.add.reduceat(each, starts)
                 score[r[starts]] = np.add.reduceat(scores_[np.minimum(word, len(place)) * KINDS + kind].astype(float), starts)
             values = [sums[:, 0], sums[:, 1], sums[:, 2], score, sums[:, 3]]
             # The other pairs, counted by text.
             other = np.flatnonzero(word >= len(place))
-            key, n = np.unique((r[other] * len(names_of) + word[other]) * KINDS + kind[other], return_counts=True)
-            ends = np.searchsorted(key // (KINDS * max(len(names_of), 1)), np.arange(many + 1))
-            words = np.array([*names_of, b""], object)[key // KINDS % max(len(names_of), 1)]
+            width = max(len(new), 1)
+            key, n = np.unique((r[other] * width + (word[other] - len(place))) * KINDS + kind[other], return_counts=True)
+            ends = np.searchsorted(key // (KINDS * width), np.arange(many + 1))
+            words = np.array([*new, b""], object)[key // KINDS % width]
             rest = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array((key % KINDS).astype(np.int32)), pa.array(n)], ["spelled", "kind", "k"])
             ids = [others[i + first][0] if i + first in others else None for i in range(many)]
             columns = [np.arange(many) + first, ids, *values]
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rest)
             yield pa.RecordBatch.from_arrays([*(pa.array(list(v), k) if isinstance(v, list) else pa.array(v).cast(k, safe=False) for v, k in zip(columns, kinds, strict=True)), lists], names)
-            if len(found.place) > len(place) + COUNTED:
-                found.clear()
-                names_of, facts = names_of[: len(place)], first_facts
 
     return run
 
@@ -590,11 +603,11 @@ def scores(docs: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     short_batches(spark)
     learn = F.coalesce(remainder(F.col("doc_id"), 10) != 0, F.lit(False)).alias("learn")
-    words = docs.filter(learn).select("text").mapInArrow(_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = docs.filter(learn).select("text").mapInArrow(lean(_words), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = words.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
     frequent = {bytes(r.word): i + 1 for i, r in enumerate(top)}
 
-    counted = docs.select("text", learn).mapInArrow(_pairs(frequent), "spelled binary, kind int, n long")
+    counted = docs.select("text", learn).mapInArrow(lean(_pairs(frequent)), "spelled binary, kind int, n long")
     every = written(counted.groupBy("spelled", "kind").agg(F.sum("n").alias("n")), "pairs")
     pairs = every.filter(F.col("kind") != LONG)
     leaves, begun = beginnings(pairs)
@@ -603,8 +616,8 @@ def scores(docs: DataFrame) -> DataFrame:
     # A bucket is in one file, and far smaller than a row group, so each is read by one task, in this order.
     sorted_ = written(bucketed.repartitionByRange(max(8, total), "bucket").sortWithinPartitions("bucket", "spelled", "kind"), "buckets")
 
-    sliced = sorted_.mapInArrow(_tables, "part long, at binary, counts binary")
-    merged = sliced.repartition(8, "part").mapInArrow(_merged, "part long, counts binary")
+    sliced = sorted_.mapInArrow(lean(_tables), "part long, at binary, counts binary")
+    merged = sliced.repartition(8, "part").mapInArrow(lean(_merged), "part long, counts binary")
     tables = np.zeros(2 * sum(SIZES), np.float16)
     for r in merged.collect():  # SIZES bound it
         tables[r.part * 2 * SLICE : (r.part + 1) * 2 * SLICE] = np.frombuffer(r.counts, np.float16)
@@ -613,7 +626,7 @@ def scores(docs: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         score = mixer.run(first, tables)
     start = {(b, k): s for (b, k, _), s in zip(leaves, score.tolist(), strict=True)}
-    spelled = sorted_.mapInArrow(_scored(sc.broadcast(tables), sc.broadcast((start, mixer))), "spelled binary, kind int, score float, known long")
+    spelled = sorted_.mapInArrow(lean(_scored(sc.broadcast(tables), sc.broadcast((start, mixer)))), "spelled binary, kind int, score float, known long")
     long = every.filter(F.col("kind") == LONG).select("spelled", "kind", F.lit(0.0).cast("float").alias("score"), F.col("n").alias("known"))
     scored = written(spelled.unionByName(long), "spelled")
     token = F.substring("spelled", -1, 1).isin(b" ", END) & (F.col("kind") != CONTINUED) | (F.col("kind") == LONG)
@@ -631,7 +644,7 @@ def scores(docs: DataFrame) -> DataFrame:
     head = sc.broadcast((place, key_facts(words_of, rows["known"].to_numpy()), table.ravel()))
 
     schema = "row long, doc_id long, n_tokens long, n_known long, base double, score double, bytes long, rest array<struct<spelled: binary, kind: int, k: long>>"
-    texts = written(docs.select("text", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(_documents(frequent, head), schema), "texts")
+    texts = written(docs.select("text", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(lean(_documents(frequent, head)), schema), "texts")
     rest = texts.select("row", "doc_id", F.explode("rest").alias("x")).select("row", "doc_id", "x.*").join(scored, ["spelled", "kind"])
     some = F.when(token, F.col("k")).otherwise(0)
     zero = F.lit(0).cast("long")

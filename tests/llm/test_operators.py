@@ -3,7 +3,12 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
+import tracemalloc
 import zlib
+from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -359,6 +364,15 @@ def slow_scores(spelled, kind, n, first, mixer, tables):
     return total
 
 
+def peak(f):
+    """What ``f`` gives, and the MB that Python and numpy held at most meanwhile."""
+    tracemalloc.start()
+    try:
+        return f(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_mixer_by_brute_force():
     """Twenty short texts: the same scores from a loop over bits with dictionaries."""
     texts = [sentence(R.randrange(1, 9)) for _ in range(20)]
@@ -426,6 +440,41 @@ def test_scores_do_not_depend_on_tasks(spark, monkeypatch):
     assert want[500][0] == 2 and want[502][0] == 1
 
 
+def test_tasks_of_scores_take_little_memory(monkeypatch):
+    """A task that counts pairs, or reads texts with many frequent words, holds a few bytes a token and no copy of the head."""
+    r = np.random.default_rng(5)
+    words = np.array(["%x" % (x * 7919) for x in range(200_000)])
+    texts = [" ".join(words[r.integers(0, len(words), 20_000)].tolist()) for _ in range(30)]
+    batches = lambda name, column: [pa.RecordBatch.from_arrays([pa.array([t]), pa.array([column[i]])], ["text", name]) for i, t in enumerate(texts)]
+    place = {w.encode(): i for i, w in enumerate(words[:100_000].tolist())}
+    head = place, scoring.key_facts([scoring.spell(k) for k in place], np.ones(len(place), int)), np.full((len(place) + 1) * scoring.KINDS, -1, np.float32)
+    monkeypatch.setattr(scoring, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    counted, pairs_mb = peak(lambda: sum(b.column("n").to_numpy().sum() for b in scoring._pairs({})(iter(batches("learn", [True] * 30)))))
+    (n, rest), texts_mb = peak(lambda: np.sum([(b.column("n_tokens").to_numpy().sum(), len(b.column("rest").flatten())) for b in scoring._documents({}, SimpleNamespace(value=head))(iter(batches("doc_id", range(30))))], 0))
+    apart = sum(len({w for w in t.split() if w.encode() not in place}) for t in texts)
+    assert counted == n == 30 * 20_001 and rest == apart + 30  # the head has no end
+    assert pairs_mb < 80 and texts_mb < 70, (pairs_mb, texts_mb)
+
+
+def test_tasks_give_memory_back():
+    """What a task has freed isn't kept by its process, which lives on as another task's worker."""
+    code = """
+import re, sys
+import pyarrow as pa
+from tally.llm import common, scoring
+def taken():
+    return sum(map(int, re.findall(r"Pss_Anon: +([0-9]+)", open("/proc/self/smaps_rollup").read()))) / 1024
+texts = [" ".join("%x" % (i * 7919 + j * 104729) for j in range(20000)) for i in range(30)]
+batches = lambda: (pa.RecordBatch.from_arrays([pa.array([t]), pa.array([True])], ["text", "learn"]) for t in texts)
+first = taken()
+for _ in getattr(common, "lean", lambda f: f)(scoring._pairs({}))(batches()):
+    pass
+print(taken() - first)
+"""
+    left = float(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2]).stdout)
+    assert left < 50, left
+
+
 def test_beginnings_are_lengthened(spark, monkeypatch):
     monkeypatch.setattr(scoring, "SHARED", 5)
     words = [b"ab%c%c " % (97 + i, 97 + j) for i in range(3) for j in range(1 + 3 * i)] + [b"a ", b"\n", b"xyz "]
